@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from srcfacts.llm import simhash
+from srcfacts.llm import pii, quality, secrets, simhash
 
-QUERIES = {"op2_simhash": simhash.op2_simhash}
+QUERIES = {
+    "op2_simhash": simhash.op2_simhash,
+    "op5_quality": quality.op5_quality,
+    "op8_pii": pii.op8_pii,
+    "op9_secrets": secrets.op9_secrets,
+}
 ORACLE_SQL: dict[str, str] = {}
