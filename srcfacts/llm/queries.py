@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from srcfacts.llm import pii, quality, secrets, simhash
+from srcfacts.llm import langid, pii, quality, secrets, simhash, toxicity
 
 QUERIES = {
     "op2_simhash": simhash.op2_simhash,
     "op5_quality": quality.op5_quality,
+    "op7_langid": langid.op7_langid,
     "op8_pii": pii.op8_pii,
     "op9_secrets": secrets.op9_secrets,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {}
