@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from srcfacts.llm import langid, pii, quality, secrets, simhash, toxicity
+from srcfacts.llm import html, langid, pii, quality, secrets, simhash, toxicity
 
 QUERIES = {
     "op2_simhash": simhash.op2_simhash,
     "op5_quality": quality.op5_quality,
+    "op6_html": html.op6_html,
     "op7_langid": langid.op7_langid,
     "op8_pii": pii.op8_pii,
     "op9_secrets": secrets.op9_secrets,
