@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from srcfacts.llm import html, langid, pii, quality, secrets, simhash, toxicity
+from srcfacts.llm import embeddings, html, langid, mixing, pii, quality, secrets, simhash, toxicity
 
 QUERIES = {
+    "op1_mixing": mixing.op1_mixing,
     "op2_simhash": simhash.op2_simhash,
+    "op3_embeddings": embeddings.op3_embeddings,
     "op5_quality": quality.op5_quality,
     "op6_html": html.op6_html,
     "op7_langid": langid.op7_langid,
@@ -13,4 +15,4 @@ QUERIES = {
     "op9_secrets": secrets.op9_secrets,
     "op10_toxicity": toxicity.op10_toxicity,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_mixing": mixing.OP1_SQL}
