@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from srcfacts.llm import embeddings, html, langid, mixing, pii, quality, secrets, simhash, toxicity
+from srcfacts.llm import embeddings, html, langid, mixing, pieces, pii, quality, secrets, simhash, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_simhash": simhash.op2_simhash,
     "op3_embeddings": embeddings.op3_embeddings,
+    "op4_pieces": pieces.op4_pieces,
     "op5_quality": quality.op5_quality,
     "op6_html": html.op6_html,
     "op7_langid": langid.op7_langid,
