@@ -2,19 +2,42 @@
 
 from __future__ import annotations
 
+import importlib
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from srcfacts.plans.standins import Inputs, with_ctes
+
+MODULES = ("mining_queries",)
+_queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_oracles: dict[str, str] = {}
+
+
+def add(name: str, query: Callable[[Inputs], DataFrame], sql: str | None = None) -> None:
+    """Registers a query over the stand-in inputs; without SQL where SQL can't express it."""
+    if name in _queries:
+        raise ValueError(f"{name} is registered twice")
+    _queries[name] = lambda spark, sf_dir: query(Inputs(spark, sf_dir))
+    if sql is not None:
+        _oracles[name] = with_ctes(sql)
+
+
+def _load() -> None:
+    for module in MODULES:
+        importlib.import_module(f"srcfacts.plans.{module}")
 
 
-def queries() -> dict:
-    return QUERIES
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
+    return dict(_queries)
 
 
-def oracle_sql() -> dict:
-    return ORACLES
+def oracle_sql() -> dict[str, str]:
+    _load()
+    return dict(_oracles)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Exact linear transfers of every segment."""
+    return queries()["m04_linear"](spark, sf_dir)
