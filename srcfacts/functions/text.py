@@ -40,15 +40,15 @@ def span_to_semicolon(text: Column, begin: Column, end: Column) -> Column:
 
 def function_declaration(code: Column) -> Column:
     """Head of a function definition as a declaration; ``inline`` goes, and so do old-style parameter types."""
-    head = F.trim(F.substring_index(code, "{", 1))
+    head = trimmed(F.substring_index(code, "{", 1))
     old_style = F.regexp_extract(head, r"(?s)^(.*?\))[^()]*;\s*$", 1)
     head = F.when(old_style != "", old_style).otherwise(head)
-    return F.concat(F.trim(F.regexp_replace(head, r"\b(__)?inline(__)?\b\s*", "")), F.lit(";"))
+    return F.concat(trimmed(F.regexp_replace(head, r"\b(__)?inline(__)?\b\s*", "")), F.lit(";"))
 
 
 def record_declaration(code: Column) -> Column:
     """``struct a {...};`` to ``struct a;``."""
-    return F.concat(F.trim(F.substring_index(code, "{", 1)), F.lit(";"))
+    return F.concat(trimmed(F.substring_index(code, "{", 1)), F.lit(";"))
 
 
 def typedef_declaration(code: Column) -> Column:
