@@ -59,8 +59,8 @@ add("m13_sign_facts", lambda i: M.sign_facts(i.trace()), """SELECT seg, side, ke
 add("m14_column_classes", lambda i: M.column_classes(i.trace()), "SELECT seg, side, key, CASE WHEN min(value) = max(value) THEN 'unchanged' WHEN bool_and(value IN ('0', '1')) THEN 'binary' ELSE 'changed' END AS class FROM known GROUP BY 1, 2, 3")
 add("m15_features", lambda i: M.features(i.runs().select("seg", "test", "qty", "line"), ["qty", "line"]), """SELECT seg, test, qty, line, CAST(qty AS DOUBLE) * line AS qty_x_line, CAST(qty AS DOUBLE) / nullif(line, 0) AS qty_by_line, CAST(line AS DOUBLE) / nullif(qty, 0) AS line_by_qty,
  CAST(qty AS DOUBLE) * qty AS qty_2, CAST(qty AS DOUBLE) * qty * qty AS qty_3, CAST(line AS DOUBLE) * line * line AS line_3 FROM runs""")
-add("m19_run_differences", lambda i: M.run_differences(*[i.trace().where(f"side = '{s}' and seg % 3 = 0 and key in ('int_qty', 'int_a')").select(F.concat_ws("_", "seg", "test").alias("row"), F.concat(F.lit("int_"), F.col("seg")).alias("key"), "value") for s in ("input", "output")]),
-    "SELECT 'int_' || seg AS key, min(CAST(yv AS BIGINT) - CAST(xv AS BIGINT)) AS difference, count(*) AS n FROM pairs WHERE seg % 3 = 0 AND x = 'int_qty' AND y = 'int_a' GROUP BY 1 HAVING count(*) >= 3 AND min(CAST(yv AS BIGINT) - CAST(xv AS BIGINT)) = max(CAST(yv AS BIGINT) - CAST(xv AS BIGINT))")
+add("m19_run_differences", lambda i: M.run_differences(*[i.trace().where(f"side = '{s}' and key in ('int_qty', 'int_a')").select(F.concat_ws("_", "seg", "test").alias("row"), F.concat(F.lit("int_"), F.col("seg")).alias("key"), "value") for s in ("input", "output")]),
+    "SELECT 'int_' || seg AS key, min(CAST(yv AS BIGINT) - CAST(xv AS BIGINT)) AS difference, count(*) AS n FROM pairs WHERE x = 'int_qty' AND y = 'int_a' GROUP BY 1 HAVING count(*) >= 3 AND min(CAST(yv AS BIGINT) - CAST(xv AS BIGINT)) = max(CAST(yv AS BIGINT) - CAST(xv AS BIGINT))")
 _TRANSFERS = "SELECT seg, 'output_' || y AS lhs, min_by('input_' || x, x) AS rhs FROM pairs WHERE NOT contains(x, 'addr') AND NOT contains(y, 'addr') GROUP BY seg, y, x HAVING count(*) >= 2 AND bool_and(xv = yv)"
 
 
