@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from srcfacts.operators import mining as M
+from srcfacts.operators import regression as L
 from srcfacts.plans.registry import add
 
 FORMULAS = ["output_int_a > input_int_qty", "output_int_e >= input_int_qty", "output_int_c = 3", "output_addr_n = nil", "input_int_qty < input_int_line + output_int_e", "output_int_zz = 1"]
@@ -98,3 +99,7 @@ add("a05_segment_flags", lambda i: M.segment_flags(i.runs()), "SELECT seg, bool_
 add("a07_reach_summary", lambda i: M.reach_summary(i.runs()), """SELECT seg, sum((reach_code >= 5 AND status_code = 0)::INT) AS reached_success, sum((reach_code >= 5 AND status_code <> 0)::INT) AS reached_failure,
  sum((reach_code < 5 AND status_code = 0)::INT) AS missed_success, sum((reach_code < 5 AND status_code <> 0)::INT) AS missed_failure, count(*) AS total FROM runs GROUP BY 1""")
 
+
+add("m16_least_squares", lambda i: L.least_squares(i.trace()).select("seg", "y", "xs", F.transform("slopes", lambda v: F.round(v, 4)).alias("slopes"), F.round("r2", 6).alias("r2"), "n"))
+add("m17_subset_regression", lambda i: L.subset_regression(i.trace()).select("seg", "y", "xs", F.transform("slopes", lambda v: F.round(v, 4)).alias("slopes"), F.round("r2", 6).alias("r2"), "n"))
+add("m18_piecewise", lambda i: L.piecewise(i.trace()))
