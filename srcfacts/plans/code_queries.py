@@ -11,6 +11,7 @@ from srcfacts.operators import graph as G
 from srcfacts.operators import sampling as R
 from srcfacts.operators import tree as T
 from srcfacts.plans.registry import add
+from srcfacts.sources import files as S
 
 # --- graphs
 _SEEDS = "SELECT src AS q, src AS node FROM edges"
@@ -256,3 +257,10 @@ _TESTS = "(SELECT o_orderkey AS test, 'prio' AS name, o_orderpriority AS value F
 add("a21_pair_coverage", lambda i: R.pair_coverage(_test_rows(i)), f"""WITH t AS (SELECT * FROM {_TESTS}), k AS (SELECT DISTINCT name, value FROM t) SELECT a.name AS name1, a.value AS value1, b.name AS name2, b.value AS value2, count(x.test) AS n, coalesce(list(x.test ORDER BY x.test) FILTER (x.test IS NOT NULL), []) AS tests
  FROM k a JOIN k b ON a.name < b.name LEFT JOIN (SELECT p.test, p.name AS n1, p.value AS v1, q.name AS n2, q.value AS v2 FROM t p JOIN t q ON p.test = q.test) x ON n1 = a.name AND v1 = a.value AND n2 = b.name AND v2 = b.value GROUP BY 1, 2, 3, 4""")
 add("r05_r06_pairwise_pool", lambda i: R.pairwise_pool(_test_rows(i).select("name", "value").distinct()))
+
+# --- exports
+add("s21_graph_dot", lambda i: S.graph_to_text(i.table("part").select((F.col("p_partkey") + 1).alias("id"), F.col("p_brand").alias("label")), i.dag().withColumn("label", F.lit("up")), "dot"), """SELECT 'digraph {' AS value UNION ALL SELECT '}' UNION ALL SELECT '  "' || (p_partkey + 1) || '" [label="' || p_brand || '"];' FROM part
+ UNION ALL SELECT '  "' || src || '" -> "' || dst || '" [label="up"];' FROM dag""")
+add("s22_benchmark_of", lambda i: i.table("pages").select("page_id", S.benchmark_of(F.col("url"), "https:/").alias("bench")), "SELECT page_id, string_split(CASE WHEN starts_with(url, 'https:/') THEN substring(url, 8) ELSE url END, '/')[1] AS bench FROM pages")
+add("t03_dense_tokens", lambda i: T.dense_tokens(i.tree(), ["node_id"]).select("node_id", F.col("token").cast("long").alias("token")), "SELECT node_id, row_number() OVER (ORDER BY file, node_id) - 1 AS token FROM tree WHERE node_id NOT IN (SELECT parent_id FROM tree WHERE parent_id IS NOT NULL)")
+add("x03_span_to_semicolon", lambda i: i.table("part").select("p_partkey", X.span_to_semicolon(F.concat(F.lit("int a\n = "), "p_size", F.lit("; b")), F.struct(F.lit(1).alias("line"), F.lit(1).alias("col")), F.struct(F.lit(1).alias("line"), F.lit(5).alias("col"))).alias("code")), "SELECT p_partkey, 'int a' || chr(10) || ' = ' || p_size || ';' AS code FROM part")
