@@ -12,8 +12,19 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from srcfacts.session import cut
 
-#: Rows handed to a text function at once; bounds a worker's memory whatever the Arrow batch size.
+#: Rows handed to a text function at once, and rows of an Arrow batch at most: Spark builds batches outside its heap, by
+#: doubling buffers, so that 10,000 rows (its default) with long texts would take gigabytes of an executor.
 ROWS_AT_ONCE = 256
+ROWS_PER_BATCH = 512
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bound_batches(df: DataFrame) -> None:
+    """Lowers the session's Arrow batch size to ``ROWS_PER_BATCH``; a smaller one set by the user stays."""
+    conf = df.sparkSession.conf
+    now = int(conf.get(_BATCH))
+    if now <= 0 or now > ROWS_PER_BATCH:
+        conf.set(_BATCH, str(ROWS_PER_BATCH))
 
 
 def text_pass(
@@ -28,8 +39,10 @@ def text_pass(
 
     Only the id, the text and ``keep`` are read; other columns, whatever their names, play no part.
     """
+    bound_batches(docs)
     kept = [id_col, *keep]
-    picked = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias("__text"))
+    text = text_col if text_col in kept else "__text"
+    picked = docs.select(*[F.col(f"`{c}`") for c in kept], *([] if text == text_col else [F.col(f"`{text_col}`").alias(text)]))
     schema = T.StructType([docs.schema[c] for c in kept] + fields)
     names, types = [f.name for f in fields], [f.type for f in to_arrow_schema(T.StructType(fields))]
 
@@ -37,7 +50,7 @@ def text_pass(
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS_AT_ONCE):
                 batch = whole.slice(at, ROWS_AT_ONCE)
-                texts = [t or "" for t in batch.column("__text").to_pylist()]
+                texts = [t or "" for t in batch.column(text).to_pylist()]
                 made = [x if isinstance(x, pa.Array) else pa.array(x, type=t) for x, t in zip(fn(texts), types, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *made], names=[*kept, *names])
 
