@@ -158,6 +158,11 @@ def header_first_order(snippets: DataFrame, include_edges_: DataFrame) -> DataFr
     return snippets.join(ranks, "file", "left").orderBy((~F.endswith("file", F.lit(".h"))).cast("int"), F.col("rank").asc_nulls_last(), "file", "begin")
 
 
+def valid_locations(tokens: DataFrame) -> DataFrame:
+    """Tokens without those at 0:0-0:0, which stand for no place in a text."""
+    return tokens.where("not (begin = 0 and end = 0)")
+
+
 def selection_union(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.union(right.select(*left.columns)).distinct()
 

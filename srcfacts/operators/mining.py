@@ -34,8 +34,16 @@ def side(trace: DataFrame, which: str, key: str, value: str) -> DataFrame:
 
 
 def pairs(trace: DataFrame) -> DataFrame:
-    """(seg, test, x, xv, y, yv): every input with every output of the same test."""
-    return side(trace, "input", "x", "xv").join(side(trace, "output", "y", "yv"), ["seg", "test"])
+    """(seg, test, x, xv, y, yv): every input with every output of the same test.
+
+    One test's values meet in one row and are exploded from there: a single shuffle and no join. A test has as many
+    values as its program has variables in reach.
+    """
+    cell = F.struct("key", "value")
+    mine = lambda which: F.collect_list(F.when(F.col("side") == which, cell))
+    tests = known(trace).groupBy("seg", "test").agg(mine("input").alias("ins"), mine("output").alias("outs"))
+    ins = tests.select("seg", "test", "outs", F.explode("ins").alias("i")).select("seg", "test", "outs", F.col("i.key").alias("x"), F.col("i.value").alias("xv"))
+    return ins.select("seg", "test", "x", "xv", F.explode("outs").alias("o")).select("seg", "test", "x", "xv", F.col("o.key").alias("y"), F.col("o.value").alias("yv"))
 
 
 def select_trials(runs: DataFrame, option: str = "all") -> DataFrame:
@@ -154,8 +162,9 @@ def argument_outputs(trace: DataFrame, argument: str = "argv", least: int = MIN_
 
 def relations(trace: DataFrame, strict: bool = False, least: int = 2, which: tuple[str, str] = ("input", "output")) -> DataFrame:
     """(seg, x, y, op, confidence): x op y in every common row: =, else <= (strict: <), else >= (strict: >)."""
-    left, right = side(trace, which[0], "x", "xv"), side(trace, which[1], "y", "yv")
-    both = left.join(right, ["seg", "test"]).where(is_address_key(F.col("x")) == is_address_key(F.col("y")))
+    plain = which == ("input", "output")
+    both = pairs(trace) if plain else side(trace, which[0], "x", "xv").join(side(trace, which[1], "y", "yv"), ["seg", "test"])
+    both = both.where(is_address_key(F.col("x")) == is_address_key(F.col("y")))
     both = both if which[0] != which[1] else both.where("x < y")
     value = lambda c: F.coalesce(number(c).cast("decimal(20,0)"), X.address_value(F.col(c)))
     rows = both.select("seg", "x", "y", value("xv").alias("a"), value("yv").alias("b")).where("a is not null and b is not null")

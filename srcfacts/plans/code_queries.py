@@ -218,7 +218,7 @@ add("u02_added", lambda i: K.added(i.table("lineitem").select("l_orderkey", "l_p
 add("u03_equal_sets", lambda i: K.equal_sets(i.table("lineitem").select("l_suppkey", "l_linenumber"), i.table("lineitem").where("l_returnflag <> 'A'").select("l_suppkey", "l_linenumber"), "l_suppkey", "l_linenumber"), "SELECT l_suppkey, list_sort(list_distinct(list(l_linenumber))) = list_sort(list_distinct(list(l_linenumber) FILTER (l_returnflag <> 'A'))) AS equal FROM lineitem GROUP BY 1")
 add("u06_first_per_signature", lambda i: K.first_per_signature(i.table("part").select(F.col("p_partkey").alias("id"), "p_brand", "p_size"), ["p_brand", "p_size"]), "SELECT min(p_partkey) AS id, p_brand, p_size FROM part GROUP BY 2, 3")
 add("u07_first_per_kind_and_keys", lambda i: K.first_per_kind_and_keys(i.table("orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("kind")), i.table("lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("key"))), "SELECT min(o_orderkey) AS id, o_orderstatus AS kind FROM (SELECT o_orderkey, o_orderstatus, (SELECT list_sort(list_distinct(list(l_linenumber))) FROM lineitem WHERE l_orderkey = o_orderkey) AS keys FROM orders) GROUP BY o_orderstatus, keys")
-add("p03_valid_locations", lambda i: i.intervals().where("not (begin = 0 and end = 0)"), 'SELECT * FROM intervals WHERE NOT (begin = 0 AND "end" = 0)')
+add("p03_valid_locations", lambda i: K.valid_locations(i.intervals()), 'SELECT * FROM intervals WHERE NOT (begin = 0 AND "end" = 0)')
 add("x02_span", lambda i: i.table("documents").select("doc_id", X.span(F.col("text"), F.struct(F.lit(1).alias("line"), F.lit(3).alias("col")), F.struct(F.lit(1).alias("line"), F.lit(20).alias("col"))).alias("code")), "SELECT doc_id, substring(string_split(text, chr(10))[1], 3, 18) AS code FROM documents")
 
 # --- clones
