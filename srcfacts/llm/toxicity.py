@@ -147,18 +147,27 @@ def _logistic(u: float) -> float:
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, u))))
 
 
-def score(text: str, weights: dict[str, float], bias: float) -> tuple[float, list[tuple[int, int, float]]]:
-    """(document score, sentences that score ``THRESHOLD`` or more as (start, end, score))."""
+HEAD = min(BEGINNINGS)
+
+
+def heads_of(weights: dict[str, float]) -> frozenset[str]:
+    """How words begin that have a feature with a weight: all others need no further look."""
+    return frozenset(w[:HEAD] for w in weights)
+
+
+def score(text: str, weights: dict[str, float], bias: float, heads: frozenset[str]) -> tuple[float, list[tuple[int, int, float]]]:
+    """(document score, sentences that score ``THRESHOLD`` or more as (start, end, score)); heads: ``heads_of(weights)``."""
     if bias == -math.inf:
         return 0.0, []
     plain = math.log1p(-_logistic(bias))
-    if weights.keys().isdisjoint(features(set(WORD.findall(text.lower())))):
+    near = {w for w in set(WORD.findall(text.lower())) if w[:HEAD] in heads}
+    if weights.keys().isdisjoint(features(near)):
         return -math.expm1(_sentences(text) * plain), []
     none, found = 0.0, []
     for m in SENTENCE.finditer(text):
         if m[0].isspace():
             continue
-        held = features(set(WORD.findall(m[0].lower()))) & weights.keys()
+        held = features({w for w in WORD.findall(m[0].lower()) if w[:HEAD] in heads}) & weights.keys()
         if held:
             p = _logistic(bias + sum(weights[w] for w in sorted(held)))
             none += math.log1p(-min(p, 1 - 1e-12))
@@ -174,7 +183,7 @@ FOUND = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.Str
 
 def scored(docs: DataFrame, model: tuple[dict[str, float], float], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, score double, sentences array<struct<start,end,score>>) of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MOST_WORDS words
+    shared = docs.sparkSession.sparkContext.broadcast((*model, heads_of(model[0])))  # at most MOST_WORDS words
 
     def run(texts: list[str]) -> list:
         found = [score(t, *shared.value) for t in texts]
