@@ -16,15 +16,16 @@ MOST_ROUNDS = 10_000
 
 def closure(edges: DataFrame, seeds: DataFrame, keep_seeds: bool = True, most_rounds: int = MOST_ROUNDS) -> DataFrame:
     """(q, node): all nodes reachable from the seeds (q, node) of each question q; without keep_seeds the seeds are left out."""
-    step = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
+    step = cut(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
     start = cut(seeds.select("q", "node").distinct())
-    seen, frontier = start, start
-    for _ in range(most_rounds):
+    seen, frontier, parts = start, start, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    for i in range(most_rounds):
         found = frontier.join(step, frontier["node"] == step["src"]).select("q", F.col("dst").alias("node")).distinct()
         frontier = cut(found.join(seen, ["q", "node"], "left_anti"))
         if frontier.isEmpty():
             return seen if keep_seeds else seen.join(start, ["q", "node"], "left_anti")
-        seen = cut(seen.union(frontier))
+        seen = seen.union(frontier)  # all parts are checkpointed; written anew only so that they don't become too many
+        seen = cut(seen.coalesce(parts)) if i % 16 == 15 else seen
     raise RuntimeError(f"closure is deeper than {most_rounds} steps")
 
 

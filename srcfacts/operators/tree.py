@@ -23,7 +23,7 @@ def ancestors(tree: DataFrame, most_depth: int = MOST_DEPTH) -> DataFrame:
         level = cut(level.where("next is not null").select("node_id", "next").join(parent.toDF("next", "above"), "next").select("node_id", F.col("next").alias("anc"), F.lit(up).alias("up"), F.col("above").alias("next")))
         if level.isEmpty():
             return done
-        done = cut(done.union(level.drop("next")))
+        done = done.union(level.drop("next"))
     raise RuntimeError(f"the tree is deeper than {most_depth}")
 
 
