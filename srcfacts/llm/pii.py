@@ -83,21 +83,28 @@ SPELLED = {
     "null": "0", "eins": "1", "zwei": "2", "drei": "3", "vier": "4", "fünf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
-_DIGIT = "(?:" + "|".join(sorted(SPELLED, key=len, reverse=True)) + "|[0-9])"
+_DIGIT = "(?:" + "|".join(sorted(SPELLED, key=len, reverse=True)) + "|[0-9]+)"
 _WORD = "(?:" + "|".join(sorted(SPELLED, key=len, reverse=True)) + ")"
 _GAP = r"(?:\s*[-,./]\s*|\s+|\s+(?:dot|point|punto|punkt)\s+)"
 #: At least four digits, the first of them or the second in words, spelled one by one.
-SPELLED_RUN = re.compile(rf"(?<!\w)(?:(?:plus\s+|\+\s*)?)(?:{_WORD}{_GAP}{_DIGIT}|[0-9]{_GAP}{_WORD})(?:{_GAP}{_DIGIT}){{2,}}(?!\w)", re.I)
+SPELLED_RUN = re.compile(rf"(?<!\w)(?:(?:plus\s+|\+\s*)?)(?:{_WORD}{_GAP}{_DIGIT}|[0-9]+{_GAP}{_WORD})(?:{_GAP}{_DIGIT}){{2,}}(?!\w)", re.I)
 SPELLED_TOKEN = re.compile(rf"plus\s+|\+\s*|\s+(?:dot|point|punto|punkt)\s+|{_DIGIT}|\s*[-,./]\s*|\s+", re.I)
-HINT = re.compile(rf"\b{_WORD}[\s,./-]+{_DIGIT}\b|\b[0-9][\s,./-]+{_WORD}\b", re.I)
+HINT = re.compile(rf"\b{_WORD}[\s,./-]+{_DIGIT}\b|\b[0-9]+[\s,./-]+{_WORD}\b", re.I)
 
 BRACKETED = re.compile(r"\s*[\[({<]\s*(at|dot|punkt|punto|point|arobase|arroba|@|\.)\s*[\])}>]\s*", re.I)
-#: Bare "at" and "dot" only where they stand in a whole address.
-BARE = re.compile(r"(?<![\w.+%-])[A-Za-z0-9._%+-]+(\s+at\s+|@)[A-Za-z0-9-]+(?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+)*?(\s+dot\s+|\.)(?:com|org|net|edu|gov|io|info|example|test|co|de|fr|es|uk|us|eu)(?!\w)", re.I)
-BARE_WORD = re.compile(r"\s+(at|dot)\s+", re.I)
+_AT, _DOT, _SEP = "(?:at|arroba|arobase)", "(?:dot|punto|punkt|point)", r"(?:\s+|[_-])"
+#: Bare "at" and "dot" only where they stand in a whole address with a well-known ending.
+BARE = re.compile(rf"(?<![\w.+%-])[A-Za-z0-9._%+-]+?(?:{_SEP}{_AT}{_SEP}|@)[A-Za-z0-9-]+?(?:(?:{_SEP}{_DOT}{_SEP}|\.)[A-Za-z0-9-]+?)*?(?:{_SEP}{_DOT}{_SEP}|\.)(?:com|org|net|edu|gov|io|info|example|test|co|de|fr|es|uk|us|eu)(?!\w)", re.I)
+BARE_DOT = re.compile(rf"{_SEP}{_DOT}{_SEP}", re.I)
+LOCAL_ONLY = re.compile(r"[A-Za-z]*[0-9._%+-]")
+BARE_WORD = re.compile(rf"{_SEP}({_AT}|{_DOT}){_SEP}", re.I)
+#: Letters that stand for digits inside a number.
+DIGIT_LIKE = {"O": "0", "o": "0", "l": "1", "I": "1"}
+DIGIT_RUN = re.compile(r"(?<![A-Za-z0-9])[+]?[0-9OolI][0-9OolI ().-]{6,}[0-9OolI](?![A-Za-z0-9])")
+DIGIT_HINT = re.compile(r"[0-9][ ().-]?[OolI](?![a-km-np-zA-HJ-NP-Z])")
 #: Cheap signs that a text may need a transducer.
 BRACKET_HINT = re.compile(r"[\[({<]\s*(?:at|dot|punkt|punto|point|arobase|arroba|@|\.)\s*[\])}>]", re.I)
-BARE_HINT = re.compile(r"\sat\s+[A-Za-z0-9-]+(?:\.[A-Za-z0-9]|\s+dot\s)|@[A-Za-z0-9-]+\s+dot\s", re.I)
+BARE_HINT = re.compile(rf"[\s_-]{_AT}{_SEP}[A-Za-z0-9-]+?(?:\.[A-Za-z0-9]|{_SEP}{_DOT}[\s_-])|@[A-Za-z0-9-]+?{_SEP}{_DOT}[\s_-]", re.I)
 APART = bytes(32 if b in b",./-+" else b for b in range(256))
 SPELLED_BYTES = frozenset(w.encode() for w in SPELLED)
 
@@ -135,7 +142,9 @@ def _brackets(tape: Tape) -> list[tuple[int, int, str]]:
 
 
 def _bare_words(tape: Tape) -> list[tuple[int, int, str]]:
-    return [(w.start(), w.end(), "@" if w[1].lower() == "at" else ".") for m in BARE.finditer(tape.text) for w in BARE_WORD.finditer(tape.text, *m.span())]
+    """With plain dots only, the name has to look like more than a word: "look at example.com" is no address."""
+    sure = [m for m in BARE.finditer(tape.text) if BARE_DOT.search(m[0]) or LOCAL_ONLY.match(m[0])]
+    return [(w.start(), w.end(), "@" if w[1].lower() in ("at", "arroba", "arobase") else ".") for m in sure for w in BARE_WORD.finditer(tape.text, *m.span())]
 
 
 def _spelled(tape: Tape) -> list[tuple[int, int, str]]:
@@ -148,6 +157,12 @@ def _spelled(tape: Tape) -> list[tuple[int, int, str]]:
     return edits
 
 
+def _digit_letters(tape: Tape) -> list[tuple[int, int, str]]:
+    """In runs of six digits or more."""
+    runs = [m for m in DIGIT_RUN.finditer(tape.text) if sum(c in "0123456789" for c in m[0]) >= 6]
+    return [(i, i + 1, DIGIT_LIKE[tape.text[i]]) for m in runs for i in range(*m.span()) if tape.text[i] in DIGIT_LIKE]
+
+
 def _needed(text: str) -> list[Callable]:
     """The transducers that have something to rewrite in this text."""
     plain = text.isascii()
@@ -157,10 +172,12 @@ def _needed(text: str) -> list[Callable]:
     low = text.lower()
     if steps or BRACKET_HINT.search(text):
         steps.append(_brackets)
-    if steps or ("at" in low or "@" in low) and BARE_HINT.search(text):
+    if steps or ("at" in low or "@" in low or "aro" in low or "arr" in low) and BARE_HINT.search(text):
         steps.append(_bare_words)
     if steps or sum(map(SPELLED_BYTES.__contains__, low.encode("utf-8", "surrogatepass").translate(APART).split())) > 1 and HINT.search(text):
         steps.append(_spelled)
+    if steps or DIGIT_HINT.search(text):
+        steps.append(_digit_letters)
     return steps
 
 

@@ -41,6 +41,12 @@ def test_disguises_map_back_to_the_source():
         ("email", "mail jo​hn＠example．com ok", "jo​hn＠example．com"),
         ("phone", "call plus one five five five one two three four five six seven today", "plus one five five five one two three four five six seven"),
         ("card", "card four one one one one one one one one one one one one one one one end", "four one one one one one one one one one one one one one one one"),
+        ("phone", "ruf +49 one two three four five six seven eight an", "+49 one two three four five six seven eight"),
+        ("phone", "tel +1 (5O5) l23-4567 now", "+1 (5O5) l23-4567"),
+        ("card", "no 4111-llll-1111-1111.", "4111-llll-1111-1111"),
+        ("email", "correo ana arroba example punto org hoy", "ana arroba example punto org"),
+        ("email", "or jane.doe at example.com thanks", "jane.doe at example.com"),
+        ("email", "or john_at_example_dot_com thanks", "john_at_example_dot_com"),
         ("ip", "host 192 [dot] 168 (dot) 0 [.] 1 up", "192 [dot] 168 (dot) 0 [.] 1"),
     ]
     for kind, text, want in cases:
@@ -49,7 +55,7 @@ def test_disguises_map_back_to_the_source():
 
 
 def test_clean_text_and_redaction():
-    for text in ("", "he was at the dot of one two", "look at this. Dot com", "one, two, three, four"):
+    for text in ("", "he was at the dot of one two", "look at this. Dot com", "one, two, three, four", "3 lol 4 Ill", "look at example.com", "meet at noon. Dot", "vol. 3 l. 12 o 14"):
         assert pii.find(text)[1] == {k: [] for k in pii.KINDS}, text
     assert pii.redact("a x@y.zz b 1.2.3.4") == "a <email> b <ip>"
 
