@@ -33,6 +33,8 @@ STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 FLOOR = (0.10, 0.03, 0.01, 0.15)
 P = len(FLOOR)
 STEPS = 3
+#: Groups whose estimates (about 250 bytes each) are broadcast.
+MOST_BROADCAST = 10_000
 BINS_PER_DOUBLING = 32
 
 
@@ -115,8 +117,10 @@ def outlier_distances(stats: DataFrame, h: float = 0.75, least: int = 50, lang_c
     named = stats.withColumn("__l", lang).withColumn("__g", F.concat_ws("\1", lang, source))
     small = cut(named.groupBy("__l", "__g").agg(F.count("*").alias("n")))
     by_lang = small.groupBy("__l").agg(F.sum("n").alias("nl"))
+    # One row a group: broadcast while there are few groups, else joined by key.
+    near = F.broadcast if small.count() <= MOST_BROADCAST else lambda df: df
     keys = cut(small.join(by_lang, "__l").select("__g", F.when(F.col("n") >= least, F.col("__g")).when(F.col("nl") >= least, F.col("__l")).otherwise(F.lit("")).alias("g")))
-    points = named.join(keys, "__g").select("g", *[c.alias(f"x{i}") for i, c in enumerate(vector())])
+    points = named.join(near(keys), "__g").select("g", *[c.alias(f"x{i}") for i, c in enumerate(vector())])
     points = cut(points)
 
     # Starts: one from coordinate-wise medians, one from all rows.
@@ -126,16 +130,16 @@ def outlier_distances(stats: DataFrame, h: float = 0.75, least: int = 50, lang_c
     first = medians.select("g", F.lit(0).alias("start"), F.array(*[F.col(f"q{i}")[1] for i in range(P)]).alias("mean"), diagonal.alias("inverse"), F.lit(0.0).alias("logdet"))
     estimates = cut(first.union(_sums(points.withColumn("start", F.lit(1)))))
     for _ in range(STEPS):
-        measured = points.join(estimates.drop("logdet"), "g").withColumn("d2", _distance()).withColumn("bin", _bin()).drop("mean", "inverse")
+        measured = points.join(near(estimates.drop("logdet")), "g").withColumn("d2", _distance()).withColumn("bin", _bin()).drop("mean", "inverse")
         edges = cut(_edges(measured, h))
-        estimates = cut(_sums(measured.join(edges, ["g", "start"]).where("bin <= edge")))
+        estimates = cut(_sums(measured.join(near(edges), ["g", "start"]).where("bin <= edge")))
     best = estimates.groupBy("g").agg(F.min_by(F.struct("start", "mean", "inverse"), F.struct("logdet", "start")).alias("e")).select("g", F.col("e.start").alias("start"), F.col("e.mean").alias("mean"), F.col("e.inverse").alias("inverse"))
     best = cut(best)
-    measured = points.join(best, "g").withColumn("d2", _distance()).withColumn("bin", _bin())
+    measured = points.join(near(best), "g").withColumn("d2", _distance()).withColumn("bin", _bin())
     scale = cut(_edges(measured, h).select("g", (chi2_quantile(h) / F.pow(F.lit(2.0), (F.col("edge") + 1) / BINS_PER_DOUBLING)).alias("scale")))
     known = cut(keys.join(best.join(scale, "g"), "g").drop("start"))
     xs = {f"x{i}": c for i, c in enumerate(vector())}
-    return named.join(known, "__g").withColumns(xs).withColumn("d2", _distance() * F.col("scale")).drop("__l", "__g", "g", "mean", "inverse", "scale", *xs)
+    return named.join(near(known), "__g").withColumns(xs).withColumn("d2", _distance() * F.col("scale")).drop("__l", "__g", "g", "mean", "inverse", "scale", *xs)
 
 
 def verdicts(docs: DataFrame, h: float = 0.75, least: int = 50, alpha: float = 1e-9) -> DataFrame:
