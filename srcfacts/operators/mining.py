@@ -39,11 +39,34 @@ def pairs(trace: DataFrame) -> DataFrame:
     One test's values meet in one row and are exploded from there: a single shuffle and no join. A test has as many
     values as its program has variables in reach.
     """
-    cell = F.struct("key", "value")
+    return _exploded(known(trace).withColumn("v", F.col("value"))).toDF("seg", "test", "x", "xv", "y", "yv")
+
+
+def _exploded(values: DataFrame) -> DataFrame:
+    """(seg, test, x, a, y, b) of (seg, test, side, key, v)."""
+    cell = F.struct("key", "v")
     mine = lambda which: F.collect_list(F.when(F.col("side") == which, cell))
-    tests = known(trace).groupBy("seg", "test").agg(mine("input").alias("ins"), mine("output").alias("outs"))
-    ins = tests.select("seg", "test", "outs", F.explode("ins").alias("i")).select("seg", "test", "outs", F.col("i.key").alias("x"), F.col("i.value").alias("xv"))
-    return ins.select("seg", "test", "x", "xv", F.explode("outs").alias("o")).select("seg", "test", "x", "xv", F.col("o.key").alias("y"), F.col("o.value").alias("yv"))
+    tests = values.groupBy("seg", "test").agg(mine("input").alias("ins"), mine("output").alias("outs"))
+    ins = tests.select("seg", "test", "outs", F.explode("ins").alias("i")).select("seg", "test", "outs", F.col("i.key").alias("x"), F.col("i.v").alias("a"))
+    return ins.select("seg", "test", "x", "a", F.explode("outs").alias("o")).select("seg", "test", "x", "a", F.col("o.key").alias("y"), F.col("o.v").alias("b"))
+
+
+def number_pairs(trace: DataFrame) -> DataFrame:
+    """(seg, test, x, a, y, b): ``pairs`` of the whole-number columns, as decimal(18,0), read once a value."""
+    values = known(trace).where(~is_address_key(F.col("key"))).withColumn("v", number("value")).where("v is not null")
+    return _exploded(values)
+
+
+#: Below this numbers are multiplied and summed as longs, exact for up to 2^33 rows; above it as decimals.
+SMALL = 1 << 15
+
+
+def _sum_of_products(p: str, q: str) -> Column:
+    small = (F.abs(F.col(p)) < SMALL) & (F.abs(F.col(q)) < SMALL)
+    quick = F.sum(F.when(small, F.col(p).cast("long") * F.col(q).cast("long")))
+    exact = F.sum(F.when(~small, F.col(p) * F.col(q)))
+    zero = F.lit(0).cast("decimal(38,0)")
+    return F.coalesce(quick.cast("decimal(38,0)"), zero) + F.coalesce(exact.cast("decimal(38,0)"), zero)
 
 
 def select_trials(runs: DataFrame, option: str = "all") -> DataFrame:
@@ -111,10 +134,9 @@ def linear(trace: DataFrame) -> DataFrame:
     The fit is exact: (n Sxy - Sx Sy)^2 = (n Sxx - Sx^2)(n Syy - Sy^2), tested as equality of every row with the line
     through the sums, in whole numbers. Columns that are constant have no line; sums that leave 38 digits give none.
     """
-    both = pairs(trace).where(~is_address_key(F.col("x")) & ~is_address_key(F.col("y"))).select("seg", "x", "y", number("xv").alias("a"), number("yv").alias("b")).where("a is not null and b is not null")
-    a, b = _exact(F.col("a")), _exact(F.col("b"))
+    both = number_pairs(trace)
     sums = both.groupBy("seg", "x", "y").agg(
-        F.count("*").alias("n"), F.sum(a).alias("sx"), F.sum(b).alias("sy"), F.sum(F.col("a") * F.col("a")).cast("decimal(38,0)").alias("sxx"), F.sum(F.col("a") * F.col("b")).cast("decimal(38,0)").alias("sxy"), F.sum(F.col("b") * F.col("b")).cast("decimal(38,0)").alias("syy")
+        F.count("*").alias("n"), F.sum("a").cast("decimal(38,0)").alias("sx"), F.sum("b").cast("decimal(38,0)").alias("sy"), *[_exact(_sum_of_products(p, q)).alias(m) for p, q, m in (("a", "a", "sxx"), ("a", "b", "sxy"), ("b", "b", "syy"))]
     )
     n = F.col("n").cast("decimal(10,0)")
     product = lambda p, q: _exact(F.try_multiply(p, q))
