@@ -77,3 +77,16 @@ def test_repeated_ids_and_empty_table(spark, folder):
     none = docs.limit(0)
     for name, stage in P.STAGES:
         assert stage(spark, none, folder).count() == 0, name
+
+
+def test_run_keeps_the_mix(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for _, stage in P.STAGES[:3]:
+        docs = spark.createDataFrame(stage(spark, docs, folder).collect(), docs.schema)
+    want = [r.doc_id for r in mixing.mix(docs).orderBy(F.col("position").asc_nulls_last()).collect()]
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several files
+    try:
+        assert [r.doc_id for r in P.run(spark, folder).collect()] == want
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
