@@ -7,6 +7,9 @@ or the text NA. Numbers are compared exactly, as decimals. All rules are found p
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,6 +72,21 @@ def _sum_of_products(p: str, q: str) -> Column:
     return F.coalesce(quick.cast("decimal(38,0)"), zero) + F.coalesce(exact.cast("decimal(38,0)"), zero)
 
 
+#: Large products are summed in two halves, so that no sum leaves 38 digits.
+SPLIT = 10**18
+
+
+def _split_sums(p: str, q: str) -> list[Column]:
+    """smallpq, lowpq and highpq as text: the sum of the products is small + low + SPLIT * high."""
+    small = (F.abs(F.col(p)) < SMALL) & (F.abs(F.col(q)) < SMALL)
+    product = (F.col(p) * F.col(q)).cast("decimal(38,0)")
+    split = F.lit(SPLIT).cast("decimal(19,0)")
+    low = product % split
+    high = ((product - low) / split).cast("decimal(20,0)")
+    text = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).cast("decimal(38,0)").cast("string").alias(f"{name}{p}{q}")
+    return [text(F.when(small, F.col(p).cast("long") * F.col(q).cast("long")), "small"), text(F.when(~small, low), "low"), text(F.when(~small, high), "high")]
+
+
 def select_trials(runs: DataFrame, option: str = "all") -> DataFrame:
     """fail: stopped at the point with a failure; success: stopped there without one; all: reached it."""
     reach, status = F.col("reach_code"), F.col("status_code")
@@ -155,21 +173,31 @@ def linear(trace: DataFrame) -> DataFrame:
 def linear_two(trace: DataFrame) -> DataFrame:
     """(seg, y, x1, x2, slope1, slope2, intercept, n): out = k1 in1 + k2 in2 + b in every test, both k non-zero integers.
 
-    Normal equations in whole numbers; inputs that depend on each other give no row.
+    Normal equations in whole numbers of any size, from exact sums; inputs that depend on each other give no row, and slopes
+    beyond 64 bits have no place in the result.
     """
-    numeric = lambda df, key, value, v: df.where(~is_address_key(F.col(key))).withColumn(v, number(value).cast("decimal(12,0)")).where(F.col(v).isNotNull()).drop(value)
+    numeric = lambda df, key, value, v: df.where(~is_address_key(F.col(key))).withColumn(v, number(value)).where(F.col(v).isNotNull()).drop(value)
     ins, outs = numeric(side(trace, "input", "x", "xv"), "x", "xv", "a"), numeric(side(trace, "output", "y", "yv"), "y", "yv", "c")
     two = ins.toDF("seg", "test", "x1", "a").join(ins.toDF("seg", "test", "x2", "b"), ["seg", "test"]).where("x1 < x2").join(outs, ["seg", "test"])
-    total = lambda c, name: F.sum(c).cast("double").alias(name)
-    a, b, c = F.col("a"), F.col("b"), F.col("c")
-    s = two.groupBy("seg", "x1", "x2", "y").agg(F.count("*").alias("n"), *[total(x, m) for x, m in ((a, "sa"), (b, "sb"), (c, "sc"), (a * a, "saa"), (b * b, "sbb"), (c * c, "scc"), (a * b, "sab"), (a * c, "sac"), (b * c, "sbc"))])
-    n = F.col("n")
-    # n^2 times the variances and covariances; whole numbers that doubles hold exactly up to 2^53
-    v = {x + y: n * F.col(f"s{x}{y}") - F.col(f"s{x}") * F.col(f"s{y}") for x, y in ("aa", "bb", "cc", "ab", "ac", "bc")}
-    fit = s.where("n >= 3").select("*", *[e.alias(f"v{k}") for k, e in v.items()]).withColumn("det", F.expr("vaa * vbb - vab * vab")).where("det <> 0 and vcc <> 0")
-    fit = fit.withColumn("k1", F.expr("(vac * vbb - vbc * vab) / det")).withColumn("k2", F.expr("(vbc * vaa - vac * vab) / det"))
-    whole = fit.where("k1 = round(k1) and k2 = round(k2) and k1 <> 0 and k2 <> 0 and k1 * vac + k2 * vbc = vcc")
-    return whole.select("seg", "y", "x1", "x2", F.col("k1").cast("long").alias("slope1"), F.col("k2").cast("long").alias("slope2"), F.round(F.expr("(sc - k1 * sa - k2 * sb) / n"), 3).alias("intercept"), "n")
+    products = [x for p, q in ("aa", "bb", "cc", "ab", "ac", "bc") for x in _split_sums(p, q)]
+    s = two.groupBy("seg", "x1", "x2", "y").agg(F.count("*").alias("n"), *[F.sum(x).cast("string").alias(f"s{x}") for x in "abc"], *products)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                n, sums = int(r.n), {x: int(getattr(r, f"s{x}")) for x in "abc"}
+                v = {p + q: n * sum(int(getattr(r, f"{part}{p}{q}")) * by for part, by in (("small", 1), ("low", 1), ("high", SPLIT))) - sums[p] * sums[q] for p, q in ("aa", "bb", "cc", "ab", "ac", "bc")}
+                det = v["aa"] * v["bb"] - v["ab"] ** 2
+                if not det or not v["cc"]:
+                    continue
+                (k1, rest1), (k2, rest2) = divmod(v["ac"] * v["bb"] - v["bc"] * v["ab"], det), divmod(v["bc"] * v["aa"] - v["ac"] * v["ab"], det)
+                if not rest1 and not rest2 and k1 and k2 and k1 * v["ac"] + k2 * v["bc"] == v["cc"] and max(abs(k1), abs(k2)) < 1 << 63:
+                    out.append((r.seg, r.y, r.x1, r.x2, k1, k2, float(sums["c"] - k1 * sums["a"] - k2 * sums["b"]), n))
+            yield pd.DataFrame(out, columns=["seg", "y", "x1", "x2", "slope1", "slope2", "rest", "n"])
+
+    found = s.where("n >= 3").mapInPandas(run, f"seg {trace.schema['seg'].dataType.simpleString()}, y string, x1 string, x2 string, slope1 long, slope2 long, rest double, n long")
+    return found.select("seg", "y", "x1", "x2", "slope1", "slope2", F.round(F.col("rest") / F.col("n"), 3).alias("intercept"), "n")
 
 
 def argument_outputs(trace: DataFrame, argument: str = "argv", least: int = MIN_ROWS, most_missed: float = 0.1) -> DataFrame:

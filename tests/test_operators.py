@@ -137,3 +137,15 @@ def test_small_tables(spark):
     assert values.count() == 100 and values.where("type = 'int' and (int(value) < -3 or int(value) > 3)").count() == 0
     rate = E.build_rate(spark.createDataFrame([(1, True, True), (1, False, False), (1, True, False), (2, False, False)], "p int, b boolean, r boolean"), "p", F.col("b"), F.col("r"), 2)
     assert {(r.p, r.build_rate, r.run_rate) for r in rate.collect()} == {(1, 0.66, 0.5), (2, 0.0, None)}
+
+
+def test_two_input_rules_of_large_segments(spark):
+    n = F.col("id")
+    a, b = F.pmod(F.xxhash64(n, F.lit(1)), F.lit(50)) + 1, F.pmod(F.xxhash64(n, F.lit(2)), F.lit(7)) + 1
+    wide = spark.range(40 * 5000).select((n % 40).cast("int").alias("seg"), n.cast("int").alias("test"), a.alias("a"), b.alias("b"))
+    big = 10**17  # the last segments have numbers of 18 digits
+    base = F.when(F.col("seg") >= 35, F.lit(big)).otherwise(F.lit(0))
+    cells = [("input", "int_a", F.col("a") + base), ("input", "int_b", F.col("b")), ("output", "int_y", 2 * (F.col("a") + base) - 3 * F.col("b") + 1), ("output", "int_z", 2 * (F.col("a") + base) - 3 * F.col("b") + (F.col("test") < 40).cast("long"))]
+    trace = wide.select("seg", "test", F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.lit(k).alias("key"), v.cast("string").alias("value")) for s, k, v in cells])).alias("x")).select("seg", "test", "x.*")
+    got = sorted(M.linear_two(trace).collect())
+    assert [tuple(r) for r in got] == [(g, "int_y", "int_a", "int_b", 2, -3, 1.0, 5000) for g in range(40)]
