@@ -90,3 +90,13 @@ def test_run_keeps_the_mix(spark, folder):
         assert [r.doc_id for r in P.run(spark, folder).collect()] == want
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+
+
+def test_last_stage_has_the_order_of_the_files(spark, tmp_path):
+    """Larger files are read first; the order in which the files were written must come back."""
+    rows = [(i, f"{i} " + "alpha beta " * (1 + 400 * (i // 30)), "en", "s0", 0) for i in range(120)]
+    docs = spark.sparkContext.parallelize(rows, 4).toDF("doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/mixing")
+    again = spark.read.parquet(f"{tmp_path}/mixing")
+    assert [r.doc_id for r in again.collect()] != list(range(120))
+    assert [r.doc_id for r in P.encode(spark, again, "").collect()] == list(range(120))
