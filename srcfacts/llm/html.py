@@ -22,7 +22,7 @@ from srcfacts.llm.base import text_pass
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-INVISIBLE = frozenset("head script style template noscript title meta link base iframe object embed svg math canvas audio video datalist noembed noframes dialog".split())
+INVISIBLE = frozenset("head script style template noscript title meta link base iframe object embed canvas audio video datalist noembed noframes desc metadata defs symbol annotation annotation-xml".split())
 #: Two line breaks around these, one around the other blocks.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table article section figure fieldset hr".split())
 BLOCK = SPACED | frozenset("html body div header footer nav aside main address li dt dd form figcaption details summary legend center tr caption thead tbody tfoot option optgroup select".split())
@@ -47,7 +47,8 @@ SCOPE = frozenset({"table", "td", "th", "html"})
 
 MARK = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>)")
 LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
-HIDDEN = re.compile(r"(?:^|[\s\"'])hidden(?=[\s=/>]|$)(?!\s*=\s*[\"']?false)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*(?:\"[^\"]*|'[^']*)(?:display\s*:\s*none|visibility\s*:\s*hidden)|type\s*=\s*[\"']?hidden", re.I)
+ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?|\"[^\"]*\"|'[^']*'")
+UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\s*(?:!\s*important\s*)?(?=;|$)", re.I)
 BLANKS = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -91,6 +92,21 @@ def _tokens(page: str):
             at = close.end() if close else n
 
 
+def hidden(name: str, rest: str) -> bool:
+    """Not on the screen: by the element, its hidden attribute, an input's type or its style; a dialog that isn't open."""
+    if name in INVISIBLE:
+        return True
+    if name != "dialog" and (not rest or rest.isspace()):
+        return False
+    found: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(rest):
+        if m[1]:
+            found.setdefault(m[1].lower(), next((x for x in m.groups()[1:] if x is not None), ""))
+    if "hidden" in found and found["hidden"].strip().lower() != "false" or name == "dialog" and "open" not in found:
+        return True
+    return name == "input" and found.get("type", "").strip().lower() == "hidden" or bool(UNSEEN.search(unescape(found.get("style", ""))))
+
+
 class Node:
     __slots__ = ("name", "hidden", "start", "parts")
 
@@ -132,7 +148,7 @@ def tree(page: str) -> Node:
             if name in IMPLIED:
                 close(*IMPLIED[name])
             start = START.search(rest) if name == "ol" else None
-            node = Node(name, name in INVISIBLE or bool(rest) and bool(HIDDEN.search(rest)), int(start[1]) if start else 1)
+            node = Node(name, hidden(name, rest), int(start[1]) if start else 1)
             stack[-1].parts.append(node)
             if name not in VOID and not rest.endswith("/"):
                 stack.append(node)

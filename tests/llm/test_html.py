@@ -39,3 +39,12 @@ def test_all_visible_words_are_kept():
                 parts.append(f"<{'/' if kind > 0.75 else ''}{rng.choice(tags)}>")
         got = re.findall(r"w\d+", text_of("".join(parts)))
         assert sorted(got) == sorted(f"w{i}" for i in range(1, n + 1)), "".join(parts)
+
+
+def test_visibility_is_read_by_attribute():
+    for shown in ('class="hidden md:block"', 'title="The hidden truth"', 'data-type="hidden"', "aria-hidden=true", 'data-style="display:none"', "alt='style=\"display:none\"'"):
+        assert text_of(f"<div {shown}>yes</div>") == "yes", shown
+    for gone in ("hidden", 'HIDDEN=""', 'class="a" hidden', "style='color:red; display : none'", 'style="visibility:hidden!important"', "style=display:none"):
+        assert text_of(f"<div {gone}>no</div>yes") == "yes", gone
+    assert text_of("<dialog open>yes</dialog><dialog>no</dialog>") == "yes"
+    assert text_of("<svg><title>no</title><text>one</text></svg> <math><mi>x</mi></math>") == "one x"
