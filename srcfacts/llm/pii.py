@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -56,7 +57,7 @@ def emails(text: str) -> list[tuple[int, int]]:
 
 def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     found: dict[str, list[tuple[int, int]]] = {"email": emails(text)}
-    found["ip"] = [m.span() for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+    found["ip"] = [m.span() for m in IP.finditer(text) if all(len(d := p.lstrip("0")) <= 3 and int(d or 0) <= 255 for p in m[0].split("."))]
     found["card"] = [m.span() for m in CARD.finditer(text) if m.end() - m.start() >= 13 and 13 <= len(d := DIGITS.sub("", m[0])) <= 19 and luhn(d)]
     found["phone"] = [m.span() for m in PHONE.finditer(text) if 9 <= len(DIGITS.sub("", m[0])) <= 15] if "+" in text else []
     return found
@@ -91,20 +92,20 @@ SPELLED_RUN = re.compile(rf"(?<!\w)(?:(?:plus\s+|\+\s*)?)(?:{_WORD}{_GAP}{_DIGIT
 SPELLED_TOKEN = re.compile(rf"plus\s+|\+\s*|\s+(?:dot|point|punto|punkt)\s+|{_DIGIT}|\s*[-,./]\s*|\s+", re.I)
 HINT = re.compile(rf"\b{_WORD}[\s,./-]+{_DIGIT}\b|\b[0-9]+[\s,./-]+{_WORD}\b", re.I)
 
-BRACKETED = re.compile(r"\s*[\[({<]\s*(at|dot|punkt|punto|point|arobase|arroba|@|\.)\s*[\])}>]\s*", re.I)
-_AT, _DOT, _SEP = "(?:at|arroba|arobase)", "(?:dot|punto|punkt|point)", r"(?:\s+|[_-])"
-#: Bare "at" and "dot" only where they stand in a whole address with a well-known ending.
-BARE = re.compile(rf"(?<![\w.+%-])[A-Za-z0-9._%+-]+?(?:{_SEP}{_AT}{_SEP}|@)[A-Za-z0-9-]+?(?:(?:{_SEP}{_DOT}{_SEP}|\.)[A-Za-z0-9-]+?)*?(?:{_SEP}{_DOT}{_SEP}|\.)(?:com|org|net|edu|gov|io|info|example|test|co|de|fr|es|uk|us|eu)(?!\w)", re.I)
-BARE_DOT = re.compile(rf"{_SEP}{_DOT}{_SEP}", re.I)
+BRACKETED = re.compile(r"[\[({<]\s*(at|dot|punkt|punto|point|arobase|arroba|@|\.)\s*[\])}>]\s*", re.I)
+_AT, _DOT = "(?:at|arroba|arobase)", "(?:dot|punto|punkt|point)"
+AT = re.compile(rf"@|(?<=[\s_-]){_AT}(?:\s+|[_-])", re.I)
+DOT = re.compile(rf"\.|(?:\s+|[_-]){_DOT}(?:\s+|[_-])", re.I)
+#: A hyphen that begins "-at-" or "-dot-" isn't a label's own, so that an address reads in one way only.
+LABEL = re.compile(rf"(?:[A-Za-z0-9]|-(?!(?:{_AT}|{_DOT})[\s_-]))+", re.I)
+ENDINGS = frozenset("com org net edu gov io info example test co de fr es uk us eu".split())
 LOCAL_ONLY = re.compile(r"[A-Za-z]*[0-9._%+-]")
-BARE_WORD = re.compile(rf"{_SEP}({_AT}|{_DOT}){_SEP}", re.I)
 #: Letters that stand for digits inside a number.
 DIGIT_LIKE = {"O": "0", "o": "0", "l": "1", "I": "1"}
 DIGIT_RUN = re.compile(r"(?<![A-Za-z0-9])[+]?[0-9OolI][0-9OolI ().-]{6,}[0-9OolI](?![A-Za-z0-9])")
 DIGIT_HINT = re.compile(r"[0-9][ ().-]?[OolI](?![a-km-np-zA-HJ-NP-Z])")
-#: Cheap signs that a text may need a transducer.
+#: A cheap sign of bracketed words.
 BRACKET_HINT = re.compile(r"[\[({<]\s*(?:at|dot|punkt|punto|point|arobase|arroba|@|\.)\s*[\])}>]", re.I)
-BARE_HINT = re.compile(rf"[\s_-]{_AT}{_SEP}[A-Za-z0-9-]+?(?:\.[A-Za-z0-9]|{_SEP}{_DOT}[\s_-])|@[A-Za-z0-9-]+?{_SEP}{_DOT}[\s_-]", re.I)
 APART = bytes(32 if b in b",./-+" else b for b in range(256))
 SPELLED_BYTES = frozenset(w.encode() for w in SPELLED)
 
@@ -138,13 +139,54 @@ def _look_alikes(tape: Tape) -> list[tuple[int, int, str]]:
 
 
 def _brackets(tape: Tape) -> list[tuple[int, int, str]]:
-    return [(m.start(), m.end(), "@" if m[1].lower() in ("at", "@", "arobase", "arroba") else ".") for m in BRACKETED.finditer(tape.text)]
+    """The blanks around a bracket go with it."""
+    text, edits, free = tape.text, [], 0
+    for m in BRACKETED.finditer(text):
+        start = free + len(text[free : m.start()].rstrip())
+        edits.append((start, m.end(), "@" if m[1].lower() in ("at", "@", "arobase", "arroba") else "."))
+        free = m.end()
+    return edits
+
+
+def addresses(text: str) -> list[tuple[int, int, str]]:
+    """Edits of bare "at" and "dot", only where they stand in a whole address with a well-known ending.
+
+    One pass: each "at" (or @) with the name before it, back to the last "at" at most, and the labels behind it, up to the
+    next. With plain dots only, the name has to look like more than a word: "look at example.com" is no address.
+    """
+    edits: list[tuple[int, int, str]] = []
+    free = 0
+    for m in AT.finditer(text):
+        plain = m[0] == "@"
+        before = text[free : m.start()]
+        gap = 0 if plain else 1 if before[-1:] in ("_", "-") else len(before) - len(before.rstrip())
+        name = before[: len(before) - gap]
+        start = free + len(name.rstrip(LOCAL))
+        begin, free = free, m.end()
+        if start == begin + len(name) or start and (text[start - 1].isalnum() or text[start - 1] == "_") and start > begin:
+            continue
+        found: list[tuple[int, int, str]] = [] if plain else [(begin + len(name), m.end(), "@")]
+        at, worded, kept = m.end(), False, 0
+        label = LABEL.match(text, at)
+        while label:
+            at = label.end()
+            dot = DOT.match(text, at)
+            after = dot and LABEL.match(text, dot.end())
+            if not after:
+                break
+            if dot[0] != ".":
+                found.append((*dot.span(), "."))
+            label = after
+            if after[0].lower() in ENDINGS and not (text[after.end() : after.end() + 1].isalnum() or text[after.end() : after.end() + 1] == "_"):
+                kept, worded = len(found), any(e[2] == "." for e in found)
+                free = after.end()
+        if free > m.end() and (worded or LOCAL_ONLY.match(text, start)):
+            edits += found[:kept]
+    return edits
 
 
 def _bare_words(tape: Tape) -> list[tuple[int, int, str]]:
-    """With plain dots only, the name has to look like more than a word: "look at example.com" is no address."""
-    sure = [m for m in BARE.finditer(tape.text) if BARE_DOT.search(m[0]) or LOCAL_ONLY.match(m[0])]
-    return [(w.start(), w.end(), "@" if w[1].lower() in ("at", "arroba", "arobase") else ".") for m in sure for w in BARE_WORD.finditer(tape.text, *m.span())]
+    return addresses(tape.text)
 
 
 def _spelled(tape: Tape) -> list[tuple[int, int, str]]:
@@ -172,7 +214,7 @@ def _needed(text: str) -> list[Callable]:
     low = text.lower()
     if steps or BRACKET_HINT.search(text):
         steps.append(_brackets)
-    if steps or ("at" in low or "@" in low or "aro" in low or "arr" in low) and BARE_HINT.search(text):
+    if steps or ("at" in low or "@" in low or "aro" in low or "arr" in low) and addresses(text):
         steps.append(_bare_words)
     if steps or sum(map(SPELLED_BYTES.__contains__, low.encode("utf-8", "surrogatepass").translate(APART).split())) > 1 and HINT.search(text):
         steps.append(_spelled)
@@ -181,6 +223,12 @@ def _needed(text: str) -> list[Callable]:
     return steps
 
 
+def _apart(spans: list[tuple[int, int]], own: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans that touch none of ``own``, which are sorted and apart."""
+    begins = [a for a, _ in own]
+    return [(a, b) for a, b in spans if not (k := bisect_left(begins, b)) or own[k - 1][1] <= a]
+
+
 def find(text: str) -> tuple[dict[str, list[tuple[int, int]]], dict[str, list[tuple[int, int]]]]:
     """(base spans, all spans) by kind, each sorted."""
     base = base_spans(text)
@@ -197,9 +245,7 @@ def find(text: str) -> tuple[dict[str, list[tuple[int, int]]], dict[str, list[tu
     every = {}
     for kind, spans in base_spans(tape.text).items():
         mapped = [tape.source(a, b) for a, b in spans]
-        own = base[kind]
-        extra = [s for s in mapped if not any(a < s[1] and s[0] < b for a, b in own)] if own else mapped
-        every[kind] = sorted([*own, *extra])
+        every[kind] = sorted([*base[kind], *_apart(mapped, base[kind])])
     return base, every
 
 
@@ -231,11 +277,13 @@ def redact(text: str) -> str:
 
 
 def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The documents with personal data replaced in the text, in one pass; null texts stay null, other columns as they are."""
-    others = tuple(c for c in docs.columns if c != text_col)
-    marked = docs.withColumn("__null", F.col(text_col).isNull())
-    out = text_pass(marked, lambda texts: [[redact(t) for t in texts]], [T.StructField(text_col, T.StringType())], "__null", text_col, others)
-    return out.select(*[F.when(~F.col("__null"), F.col(c)).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    """The documents with personal data replaced in the text, in one pass; null texts stay null, other columns, whatever
+    their names, as they are."""
+    others = [c for c in docs.columns if c != text_col]
+    packed = docs.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)]).alias("row"), F.col(f"`{text_col}`").isNull().alias("missing"), F.col(f"`{text_col}`").alias("text"))
+    out = text_pass(packed, lambda texts: [[redact(t) for t in texts]], [T.StructField("clean", T.StringType())], "row", "text", ("missing",))
+    place = {c: F.col(f"row.c{i}") for i, c in enumerate(others)} | {text_col: F.when(~F.col("missing"), F.col("clean"))}
+    return out.select(*[place[c].alias(c) for c in docs.columns])
 
 
 def op8_pii(spark, sf_dir: str) -> DataFrame:

@@ -1,5 +1,8 @@
 import random
 import re
+import time
+
+import pytest
 
 from srcfacts.llm import pii
 
@@ -62,3 +65,27 @@ def test_clean_text_and_redaction():
 
 def test_long_runs_stay_linear():
     assert pii.find("7" * 200_000 + "a" * 200_000 + "@")[1]["email"] == []
+
+
+def test_odd_numbers_and_separators_neither_fail_nor_hang():
+    assert pii.find("0" * 5000 + ".1.1.1")[0]["ip"] == [(0, 5006)]
+    assert not pii.find("9" * 5000 + ".1.1.1")[0]["ip"]
+    assert not pii.find("x@a" + "-dot-a" * 5000)[1]["email"]
+
+
+TOKENS = ["x@a", "-dot-", "-at-", "a", " at ", " dot ", "0", ".1", "one ", "1 one ", "O", "(", "+1", "+ ", " ", "[at]", "[ ", "\n", "plus ", "1-", "@", "а", "​", "%", "_dot_", "l", "٣", "a@b.c ", "1.1.1.1 "]
+
+
+@pytest.mark.parametrize("token", TOKENS)
+def test_time_grows_with_the_text(token):
+    """Twice the text takes about twice the time, for every transducer."""
+
+    def taken(n: int) -> float:
+        texts = [start + (token * (n // len(token) + 1))[:n] for start in ("", "x [at] a ", "one two three four ")]
+        start = time.process_time()
+        for t in texts:
+            pii.find(t)
+        return time.process_time() - start
+
+    short = min(taken(15_000) for _ in range(2))
+    assert taken(60_000) < 4 * 2.5 * max(short, 0.02)
