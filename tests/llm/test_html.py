@@ -1,5 +1,8 @@
 import random
 import re
+import time
+
+import pytest
 
 from srcfacts.llm.html import text_of
 
@@ -48,3 +51,133 @@ def test_visibility_is_read_by_attribute():
         assert text_of(f"<div {gone}>no</div>yes") == "yes", gone
     assert text_of("<dialog open>yes</dialog><dialog>no</dialog>") == "yes"
     assert text_of("<svg><title>no</title><text>one</text></svg> <math><mi>x</mi></math>") == "one x"
+
+
+def test_visibility_as_a_browser_paints():
+    cases = {
+        '<div hidden="false">no</div>yes': "yes",
+        "<div hidden/>no</div>yes": "yes",
+        '<div hidden style="display:block">yes</div>': "yes",
+        '<p style="display:none;display:inline">yes</p>': "yes",
+        '<p style="display:none!important;display:inline">no</p>yes': "yes",
+        '<div style="visibility:hidden">no <b style="visibility:visible">yes</b> no</div>': "yes",
+        '<div style="display:none"><b style="visibility:visible;display:block">no</b></div>yes': "yes",
+        '<table style="visibility:hidden"><tr><td>no<td style="visibility: visible">yes</table>': "  yes",
+        "<details><summary>yes</summary>no</details>": "yes",
+        "<details open><summary>a</summary>b</details>": "a\nb",
+        "<head><title>no</title><p>yes": "yes",
+        "<svg><g hidden/><text>yes</text></svg>": "yes",
+        "<svg><![CDATA[a<b]]></svg> <![CDATA[no]]>": "a<b",
+        "a</ no >b<?no?><!no>c": "abc",
+        "<ol><li value=7>x<li>y</ol>": "7. x\n8. y",
+        "yes<b no": "yes",
+    }
+    for page, want in cases.items():
+        assert text_of(page) == want, page
+
+
+def test_cells_keep_their_columns():
+    page = "<table><tr><td rowspan=2>a<td colspan=2>b<td>c<tr><td>d<td>e<td>f<tbody><tr><td>g<td>h<td>i<td rowspan=0>jj<tr><td colspan=3>k</table>"
+    assert text_of(page).split("\n") == ["a  b     c", "   d  e  f", "g  h  i  jj", "k"]
+    assert text_of("<table><tfoot><tr><td>z<td>1<tbody><tr><td>y<td>2<thead><tr><td>x<td>3</table>").split("\n") == ["x  3", "y  2", "z  1"]
+    assert text_of("<table><tr><td><table><tr><td>a<td>b<tr><td>ccc<td>d</table><td>e</table>").split("\n") == ["a    b  e", "ccc  d"]
+
+
+def test_lists_of_any_depth_keep_their_marks():
+    lines = text_of("".join(f"<ul><li>w{i} " for i in range(200))).split("\n")
+    assert [x.strip() for x in lines] == [f"- w{i}" for i in range(200)] and all(len(x) < 100 for x in lines)
+
+
+def brute_table(rows):
+    """The grid cell by cell; one line a cell."""
+    grid = {}
+    for r, row in enumerate(rows):
+        c = 0
+        for text, across, down in row:
+            while (r, c) in grid:
+                c += 1
+            for i in range(r, min(r + down, len(rows))):
+                for j in range(c, c + across):
+                    grid.setdefault((i, j), ("", False))
+            grid[r, c] = (text, across)
+            c += across
+    starts = sorted({c for (_, c), (_, across) in grid.items() if across})
+    wide = {c: 0 for c in starts}
+    for (_, c), (text, across) in grid.items():
+        if across and [x for x in starts if c <= x < c + across] == [c]:
+            wide[c] = max(wide[c], len(text))
+    spans = sorted(([x for x in starts if c <= x < c + across], text) for (_, c), (text, across) in grid.items() if across)
+    for inside, text in sorted(spans, key=lambda s: (len(s[0]), s[0], len(s[1]))):
+        if len(inside) > 1 and inside[-1] != starts[-1]:
+            wide[inside[-1]] += max(0, len(text) - sum(wide[x] for x in inside) - 2 * (len(inside) - 1))
+    lines = []
+    for r in range(len(rows)):
+        line = ""
+        for c in starts:
+            text, across = grid.get((r, c), ("", False))
+            if across and text:
+                offset = sum(wide[x] + 2 for x in starts if x < c)
+                line = line.ljust(offset) + text
+        lines.append(line)
+    return [x for x in lines if x]
+
+
+def test_tables_against_a_plain_grid():
+    rng = random.Random(5)
+    for _ in range(1500):
+        rows = [[("".join(rng.choice("xyz") for _ in range(rng.randint(1, 9))), rng.choice([1, 1, 2, 3]), rng.choice([1, 1, 2])) for _ in range(rng.randint(1, 4))] for _ in range(rng.randint(1, 4))]
+        page = "<table>" + "".join("<tr>" + "".join(f"<td colspan={a} rowspan='{d}'>{t}" for t, a, d in row) for row in rows) + "</table>"
+        got = text_of(page).split("\n")
+        if len({c for row in rows for c in range(len(row))}) > 1:
+            assert got == brute_table(rows), page
+
+
+def brute_lines(node, seen, lines):
+    """Words of a tree (tag, style, children): a new line at each edge of a block."""
+    tag, style, children = node
+    if style == "hidden":
+        return
+    seen = {"visibility:hidden": False, "visibility:visible": True}.get(style, seen)
+    if tag == "div":
+        lines.append([])
+    for x in children:
+        if isinstance(x, str):
+            lines[-1] += [x] if seen else []
+        else:
+            brute_lines(x, seen, lines)
+    if tag == "div":
+        lines.append([])
+
+
+def test_trees_against_a_plain_walk():
+    rng = random.Random(6)
+
+    def grown(depth):
+        style = rng.choice(["", "", "", "hidden", "visibility:hidden", "visibility:visible", "color:red"])
+        return rng.choice(["div", "div", "b"]), style, [f"w{rng.randint(0, 99)}" if depth > 4 or rng.random() < 0.5 else grown(depth + 1) for _ in range(rng.randint(0, 4))]
+
+    def written(node):
+        if isinstance(node, str):
+            return f" {node} "
+        tag, style, children = node
+        return f"<{tag}{' hidden' if style == 'hidden' else f' style={style}' if style else ''}>" + "".join(map(written, children)) + f"</{tag}>"
+
+    for _ in range(2000):
+        node = ("div", "", [grown(0) for _ in range(3)])
+        lines = [[]]
+        brute_lines(node, True, lines)
+        assert text_of(written(node)) == "\n".join(" ".join(x) for x in lines if x), written(node)
+
+
+TOKENS = ["<div>", "<p>", "<ul><li>", "<ul><li>a", "<table><tr><td>", "<table><tr><td>x<td>", "<td>a<br>", "<td rowspan=9999>a<tr>", "<td colspan=1000 rowspan=9>", '<a "x ', "<a x='y ", '<a x="y> ', "<a ", "<!--", "</p>", "<script></script ", "<dl><dd>", "<pre>a\n", "<ul><li><table><tr><td>", "<table><tr><td>a<td>b<br>c", "<p><button>", "a<table>b", "<table><tr><td>x<br>y<td>"]
+
+
+@pytest.mark.parametrize("token", TOKENS)
+def test_time_grows_with_the_page(token):
+    def taken(n: int) -> float:
+        page = (token * (n // len(token) + 1))[:n]
+        start = time.process_time()
+        text_of(page)
+        return time.process_time() - start
+
+    assert taken(80_000) < 4 * 2.5 * max(min(taken(20_000) for _ in range(2)), 0.02)
