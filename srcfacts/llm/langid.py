@@ -1,9 +1,9 @@
 """Language identification by interpolated Kneser-Ney character models.
 
-For every language an order-4 model over letters and word breaks; the n-grams of all languages share one sorted array
-of keys per order, with a column of probabilities for each language, so that one binary search scores a position in
-every language. The language of the lowest cross-entropy per character wins; a rejection limit per language
-comes from documents that the counts didn't use.
+For every language an order-4 model over letters and word breaks, kept as sorted arrays of n-gram keys per order with
+their probabilities: only n-grams that the language has take room. A symbol has 16 bits, so that every letter of the
+sample has one of its own. A batch's distinct n-grams are searched once a language. The language of the lowest
+cross-entropy per character wins; a rejection limit per language comes from documents that the counts didn't use.
 
 Learning uses at most about ``most_docs`` documents a language (a documented bound, picked by a hash of the id);
 counts are summed on Spark. Scoring reads every text whole. ``und`` with score 0 for null texts and texts without a
@@ -27,20 +27,26 @@ from srcfacts.llm.base import held_out, text_pass
 from srcfacts.session import cut
 
 ORDER = 4
-BITS = 6
+BITS = 16
 MOST_DOCS = 2500
 #: Letters that get a symbol of their own; 0 is a word break, 1 any other letter.
 MOST_LETTERS = (1 << BITS) - 2
 REJECT_Z = 6.0
 
 
+class Grams(NamedTuple):
+    """One language: per order 1..ORDER its sorted n-grams and histories."""
+
+    keys: list[np.ndarray]
+    probs: list[np.ndarray]
+    past: list[np.ndarray]
+    back: list[np.ndarray]  # of a history, the weight of the next lower order
+
+
 class Model(NamedTuple):
     langs: list[str]
     letters: str
-    keys: list[np.ndarray]  # per order 1..ORDER: sorted n-grams
-    probs: list[np.ndarray]  # per order: n-grams x languages
-    past: list[np.ndarray]  # per order: sorted histories
-    back: list[np.ndarray]  # per order: histories x languages, the weight of the next lower order
+    grams: list[Grams]  # per language
     limits: np.ndarray  # per language: largest accepted cross-entropy
 
 
@@ -50,7 +56,7 @@ _tables: dict[str, np.ndarray] = {}
 def symbols(letters: str) -> np.ndarray:
     """Code point -> symbol."""
     if letters not in _tables:
-        table = np.zeros(0x110000, np.uint8)
+        table = np.zeros(0x110000, np.uint16)
         for c in range(0x110000):
             if chr(c).isalpha():
                 table[c] = 1
@@ -81,12 +87,17 @@ def encode(texts: list[str], letters: str) -> tuple[np.ndarray, np.ndarray]:
 def grams(code: np.ndarray, order: int) -> np.ndarray:
     """Key of the n-gram that ends at each position from ``order - 1`` on."""
     n = len(code) - order + 1
-    key = np.zeros(max(n, 0), np.uint32)
+    key = np.zeros(max(n, 0), np.uint64)
     for i in range(order):
-        key = key << np.uint32(BITS) | code[i : i + n].astype(np.uint32)
+        key = key << np.uint64(BITS) | code[i : i + n].astype(np.uint64)
     return key
 
 
+def _suffix(key: np.ndarray, order: int) -> np.ndarray:
+    """The last ``order`` symbols."""
+    return key & np.uint64((1 << BITS * order) - 1)
+
+
 def _positions(code: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Positions that belong to a text, not to the padding before the next."""
     mine = np.ones(len(code), bool)
@@ -96,51 +107,42 @@ def _positions(code: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return mine
 
 
-def _kneser_ney(counts: np.ndarray, keys: np.ndarray, n_langs: int) -> tuple[list, list, list, list]:
-    """counts: order-n n-grams x languages."""
+def _kneser_ney(keys: np.ndarray, counts: np.ndarray, symbols: int) -> Grams:
+    """keys: sorted n-grams of order ``ORDER`` of a language; symbols: how many there are."""
     by_order = {ORDER: (keys, counts.astype(np.float64))}
     for n in range(ORDER - 1, 0, -1):  # continuation counts: distinct symbols before
-        high, c = by_order[n + 1]
-        low, at = np.unique(high & np.uint32((1 << BITS * n) - 1), return_inverse=True)
-        grown = np.zeros((len(low), n_langs))
-        np.add.at(grown, at, (c > 0).astype(np.float64))
-        by_order[n] = (low, grown)
-    out_keys, probs, past, back = [], [], [], []
-    lower = np.full((1, n_langs), 1.0 / (1 << BITS))
+        low, grown = np.unique(_suffix(by_order[n + 1][0], n), return_counts=True)
+        by_order[n] = (low, grown.astype(np.float64))
+    made = Grams([], [], [], [])
     for n in range(1, ORDER + 1):
         key, c = by_order[n]
-        n1, n2 = (c == 1).sum(axis=0), (c == 2).sum(axis=0)
-        d = np.clip(n1 / np.maximum(n1 + 2 * n2, 1), 0.1, 0.95)
-        hist, at = np.unique(key >> np.uint32(BITS), return_inverse=True)
-        total, kinds = np.zeros((len(hist), n_langs)), np.zeros((len(hist), n_langs))
-        np.add.at(total, at, c)
-        np.add.at(kinds, at, (c > 0).astype(np.float64))
-        weight = np.where(total > 0, d * kinds / np.maximum(total, 1), 1.0)
-        if n == 1:
-            under = np.broadcast_to(lower, c.shape)
-        else:
-            under = probs[-1][np.searchsorted(out_keys[-1], key & np.uint32((1 << BITS * (n - 1)) - 1))]
-        probs.append(np.where(total[at] > 0, np.maximum(c - d, 0) / np.maximum(total[at], 1), 0) + weight[at] * under)
-        out_keys.append(key)
-        past.append(hist)
-        back.append(weight)
-    return out_keys, probs, past, back
-
-
-def _probability(model: Model, key: np.ndarray, order: int) -> np.ndarray:
-    """n-grams x languages; n-grams that no language has fall back on the lower order."""
+        n1, n2 = (c == 1).sum(), (c == 2).sum()
+        d = np.clip(n1 / max(n1 + 2 * n2, 1), 0.1, 0.95)
+        hist, at = np.unique(key >> np.uint64(BITS), return_inverse=True)
+        total = np.bincount(at, c)
+        weight = d * np.bincount(at) / total
+        under = 1.0 / symbols if n == 1 else made.probs[-1][np.searchsorted(made.keys[-1], _suffix(key, n - 1))]
+        made.probs.append(np.maximum(c - d, 0) / total[at] + weight[at] * under)
+        made.keys.append(key)
+        made.past.append(hist)
+        made.back.append(weight)
+    return made
+
+
+def _probability(lang: Grams, key: np.ndarray, order: int, symbols: int) -> np.ndarray:
+    """Of sorted or unsorted n-grams; those that the language doesn't have fall back on the lower order."""
     if order == 0:
-        return np.full((len(key), len(model.langs)), 1.0 / (1 << BITS))
-    keys = model.keys[order - 1]
+        return np.full(len(key), 1.0 / symbols)
+    keys = lang.keys[order - 1]
     at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-    out = model.probs[order - 1][at]
+    out = lang.probs[order - 1][at]
     missing = np.nonzero(keys[at] != key)[0]
     if len(missing):
         lost = key[missing]
-        hist = model.past[order - 1]
-        h = np.minimum(np.searchsorted(hist, lost >> np.uint32(BITS)), len(hist) - 1)
-        weight = np.where((hist[h] == lost >> np.uint32(BITS))[:, None], model.back[order - 1][h], 1.0)
-        out[missing] = weight * _probability(model, lost & np.uint32((1 << BITS * (order - 1)) - 1), order - 1)
+        hist, before = lang.past[order - 1], lost >> np.uint64(BITS)
+        h = np.minimum(np.searchsorted(hist, before), len(hist) - 1)
+        weight = np.where(hist[h] == before, lang.back[order - 1][h], 1.0)
+        out[missing] = weight * _probability(lang, _suffix(lost, order - 1), order - 1, symbols)
     return out
 
 
@@ -156,9 +158,10 @@ def cross_entropies(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndar
         own = mine[part]
         key = grams(code[part.start : part.stop + ORDER - 1], ORDER)[own]
         owner = doc[ORDER - 1 :][part][own]
-        logs = np.log(_probability(model, key, ORDER))
-        for k in range(len(model.langs)):
-            sums[:, k] -= np.bincount(owner, logs[:, k], len(texts))
+        distinct, place = np.unique(key, return_inverse=True)
+        for k, lang in enumerate(model.grams):
+            logs = np.log(_probability(lang, distinct, ORDER, len(model.letters) + 2))
+            sums[:, k] -= np.bincount(owner, logs[place], len(texts))
         n += np.bincount(owner, minlength=len(texts))
     return sums / np.maximum(n, 1)[:, None], letters
 
@@ -174,7 +177,6 @@ def fit(docs: DataFrame, most_docs: int = MOST_DOCS) -> Model | None:
     share = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(int(min(1.0, most_docs / n) * (1 << 20))))])
     sample = known.where(F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1 << 20)) < share[F.col("lang")]).select("lang", "text", (F.pmod(F.xxhash64("doc_id", F.lit(31)), F.lit(8)) == 0).alias("apart"))
     sample = cut(sample)  # bounded: most_docs documents a language
-    langs = sorted(sizes)
 
     def alphabet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0x110000, np.int64)
@@ -186,26 +188,31 @@ def fit(docs: DataFrame, most_docs: int = MOST_DOCS) -> Model | None:
 
     counted = sample.select("text").mapInArrow(alphabet, "c int, n long").groupBy("c").agg(F.sum("n").alias("n")).collect()
     letters = "".join(sorted(chr(r.c) for r in sorted((r for r in counted if chr(r.c).isalpha()), key=lambda r: (-r.n, r.c))[:MOST_LETTERS]))
-    place = {x: i for i, x in enumerate(langs)}
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
             for lang, texts in whole.groupby("lang")["text"]:
                 code, starts = encode(list(texts), letters)
                 keys, n = np.unique(grams(code, ORDER)[_positions(code, starts)[ORDER - 1 :]], return_counts=True)
-                yield pd.DataFrame({"lang": lang, "key": keys.astype(np.int64), "n": n})
+                yield pd.DataFrame({"lang": lang, "key": keys.view(np.int64), "n": n})
 
     table = sample.where(~F.col("apart")).select("lang", "text").mapInPandas(count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")).toPandas()
     if not len(table):
         return None
-    keys, at = np.unique(table.key.to_numpy(np.uint32), return_inverse=True)
-    counts = np.zeros((len(keys), len(langs)))
-    counts[at, table.lang.map(place).to_numpy()] = table.n
-    model = Model(langs, letters, *_kneser_ney(counts, keys, len(langs)), np.full(len(langs), np.inf))
+    langs = sorted(set(table.lang))  # a language whose sample is all set apart for calibration has no model
+    place = {x: i for i, x in enumerate(langs)}
+    models = []
+    for lang in langs:
+        own = table[table.lang == lang]
+        keys = own.key.to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(keys)
+        models.append(_kneser_ney(keys[order], own.n.to_numpy()[order], len(letters) + 2))
+    model = Model(langs, letters, models, np.full(len(langs), np.inf))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def calibrate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            b = b[b.lang.isin(langs)]
             h, n = cross_entropies(shared.value, list(b.text))
             own = h[np.arange(len(b)), b.lang.map(place).to_numpy()]
             yield pd.DataFrame({"lang": b.lang.to_numpy(), "h": own})[np.asarray(n) >= 200]

@@ -37,7 +37,7 @@ def brute_model(texts_by_lang, letters):
 
     def prob(levels, g):
         if not g:
-            return 1 / 64
+            return 1 / 7
         c = levels[len(g)]
         n1, n2 = sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())
         d = min(max(n1 / max(n1 + 2 * n2, 1), 0.1), 0.95)
@@ -56,13 +56,12 @@ def test_matches_plain_kneser_ney():
     texts = {"aa": ["".join(rng.choice("abé .") for _ in range(40)) for _ in range(6)], "bb": ["".join(rng.choice("bcd1\n") for _ in range(40)) for _ in range(6)]}
     letters = "abcdé"
     langs = sorted(texts)
-    counts = {}
-    for k, lang in enumerate(langs):
+    grams = []
+    for lang in langs:
         code, starts = langid.encode(texts[lang], letters)
-        for key in langid.grams(code, langid.ORDER)[langid._positions(code, starts)[langid.ORDER - 1 :]]:
-            counts.setdefault(int(key), [0, 0])[k] += 1
-    keys = np.array(sorted(counts), np.uint32)
-    model = langid.Model(langs, letters, *langid._kneser_ney(np.array([counts[int(k)] for k in keys], float), keys, 2), np.full(2, np.inf))
+        keys, n = np.unique(langid.grams(code, langid.ORDER)[langid._positions(code, starts)[langid.ORDER - 1 :]], return_counts=True)
+        grams.append(langid._kneser_ney(keys, n, len(letters) + 2))
+    model = langid.Model(langs, letters, grams, np.full(2, np.inf))
     models, prob = brute_model(texts, letters)
     asked = ["Abé bad", "", "123", "  dcb zß", "a", "cab\n\ndab. ", "ÉÉ"]
     got, n = langid.cross_entropies(model, asked)
@@ -83,3 +82,14 @@ def test_batch_has_no_effect():
         end = starts[i + 1] - 3 if i + 1 < len(texts) else len(code)
         alone, s = langid.encode([t], "ab")
         assert list(code[starts[i] : end]) == list(alone[s[0] :]), (i, t)
+
+
+def test_every_letter_keeps_its_identity(spark):
+    """Languages in scripts of hundreds of letters, beside Latin, Greek and Cyrillic ones."""
+    rng = random.Random(9)
+    scripts = {"el": "αβγδεζηθικλμνξοπρστυφχψω", "ru": "абвгдежзийклмнопрстуфхцчшщъыьэюя", "en": "abcdefghijklmnopqrstuvwxyz", "h1": "".join(chr(0x4E00 + 2 * i) for i in range(300)), "h2": "".join(chr(0x4E01 + 2 * i) for i in range(300)), "g1": "".join(chr(0x20000 + i) for i in range(200))}
+    rows = [(i, "".join(rng.choice(scripts[x]) + " " * (rng.random() < 0.2) for _ in range(60)), x) for i in range(360) for x in [sorted(scripts)[i % 6]]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df)
+    assert len(model.letters) == sum(len(s) for s in scripts.values())
+    assert [r.lang_pred for r in langid.predict(df, model).orderBy("doc_id").collect()] == [x for _, _, x in rows]
