@@ -1,3 +1,7 @@
+import hashlib
+import heapq
+import random
+
 from pyspark.sql import functions as F
 
 from srcfacts.llm import mixing as M
@@ -43,3 +47,40 @@ def test_order_of_the_rows(spark):
     got = [r.doc_id for r in M.in_mix_order(df, block=2).collect()]
     want = [r.doc_id for r in M.mix(df, block=2).orderBy("position").collect()]
     assert got == want
+
+
+def plain_edf(shares, period):
+    """Slot by slot with a heap: (source, nth) -> slot."""
+    released = {}
+    for s, a in shares.items():
+        for i in range(a):
+            released.setdefault(i * period // a, []).append((-(-(i + 1) * period // a), a, hashlib.md5(s.encode()).hexdigest(), s, i))
+    ready, out = [], {}
+    for t in range(period):
+        for x in released.get(t, ()):
+            heapq.heappush(ready, x)
+        if ready:
+            _, _, _, s, i = heapq.heappop(ready)
+            out[s, i] = t
+    return out
+
+
+def test_schedule_against_a_plain_one(spark):
+    rng = random.Random(2)
+    for k, period in ((1, 7), (12, 300), (40, 1100)):
+        cuts = sorted(rng.sample(range(1, period), k - 1))
+        shares = {f"s{i}": b - a for i, (a, b) in enumerate(zip([0, *cuts], [*cuts, period]))}
+        got = M.template(spark.createDataFrame(list(shares.items()), "source string, share int"), period).collect()
+        assert {(r.source, r.nth): r.slot for r in got} == plain_edf(shares, period)
+
+
+def test_very_many_sources(spark):
+    """20,000 sources: no row holds them all, and each keeps its windows."""
+    n = 20_000
+    df = spark.range(60_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.pmod(F.col("id") * F.col("id"), F.lit(n))).alias("source"))
+    shared = {r.source: r.share for r in M.shares(df.groupBy("source").agg(F.count("*").alias("n")), n).collect()}
+    assert sum(shared.values()) == n
+    got = M.mix(df, block=1).where("slot < release or slot >= deadline or position is null")
+    assert got.count() == 0
+    slots = M.template(spark.createDataFrame(list(shared.items()), "source string, share int"), n).agg(F.count("*"), F.count_distinct("slot")).first()
+    assert tuple(slots) == (n, n)
