@@ -70,8 +70,8 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     """(node, component) of every node on an edge (a, b); component = its smallest node.
 
     Alternating large and small stars: each round sends every node's neighbours to the smallest one,
-    so that the rounds grow with the logarithm of a component's size. Every round is checkpointed to the
-    shared folder. Null ends and self-loops are left out; no edges give an empty result.
+    so that the rounds grow with the logarithm of a component's size. Smallest nodes are combined before the shuffle, and
+    Spark splits the rows of a hub in the joins (adaptive skew joins). Every round is checkpointed to the shared folder. Null ends and self-loops are left out; no edges give an empty result.
     """
     links = cut(edges.select("a", "b").where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
 

@@ -7,7 +7,8 @@ bin), their mean and covariance, and again. Starts are two robust ones; the smal
 rejected if its squared Mahalanobis distance, scaled so that the ``h`` quantile is that of chi-square, exceeds the
 chi-square quantile of ``1 - alpha``.
 
-Groups under ``least`` rows are estimated with their language, languages under ``least`` rows with all rows. A floor
+An estimate takes ``ROWS_PER_STATISTIC`` rows for each statistic: smaller groups are estimated with their language, smaller
+languages with all rows, and ``estimated_with`` says which it was. A floor
 under each statistic's spread keeps constant columns from making the covariance singular. Null language or source is
 a group of its own; null and empty texts have no words and fail the base rules. Extra columns are ignored, repeated
 rows keep a row each, an empty table gives an empty result. Whole groups never meet in one task: only sums do.
@@ -32,6 +33,7 @@ STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 #: Least spread of each transformed statistic.
 FLOOR = (0.10, 0.03, 0.01, 0.15)
 P = len(FLOOR)
+ROWS_PER_STATISTIC = 12
 STEPS = 3
 #: Groups whose estimates (about 250 bytes each) are broadcast.
 MOST_BROADCAST = 10_000
@@ -111,16 +113,16 @@ def _edges(measured: DataFrame, h: float) -> DataFrame:
     return run.where(F.col("up_to") >= h * F.col("all")).groupBy("g", "start").agg(F.min("bin").alias("edge"))
 
 
-def outlier_distances(stats: DataFrame, h: float = 0.75, least: int = 50, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """``stats`` with ``d2``, the scaled squared distance from the document's group."""
+def outlier_distances(stats: DataFrame, h: float = 0.75, least: int = ROWS_PER_STATISTIC * P, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """``stats`` with ``d2``, the scaled squared distance from the centre of what ``estimated_with`` names: source, language, all."""
     lang, source = (F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in (lang_col, source_col))
     named = stats.withColumn("__l", lang).withColumn("__g", F.concat_ws("\1", lang, source))
     small = cut(named.groupBy("__l", "__g").agg(F.count("*").alias("n")))
     by_lang = small.groupBy("__l").agg(F.sum("n").alias("nl"))
     # One row a group: broadcast while there are few groups, else joined by key.
     near = F.broadcast if small.count() <= MOST_BROADCAST else lambda df: df
-    keys = cut(small.join(by_lang, "__l").select("__g", F.when(F.col("n") >= least, F.col("__g")).when(F.col("nl") >= least, F.col("__l")).otherwise(F.lit("")).alias("g")))
-    points = named.join(near(keys), "__g").select("g", *[c.alias(f"x{i}") for i, c in enumerate(vector())])
+    keys = cut(small.join(by_lang, "__l").select("__g", F.when(F.col("n") >= least, F.col("__g")).when(F.col("nl") >= least, F.col("__l")).otherwise(F.lit("")).alias("g"), F.when(F.col("n") >= least, "source").when(F.col("nl") >= least, "language").otherwise("all").alias("estimated_with")))
+    points = named.join(near(keys.drop("estimated_with")), "__g").select("g", *[c.alias(f"x{i}") for i, c in enumerate(vector())])
     points = cut(points)
 
     # Starts: one from coordinate-wise medians, one from all rows.
@@ -142,7 +144,7 @@ def outlier_distances(stats: DataFrame, h: float = 0.75, least: int = 50, lang_c
     return named.join(near(known), "__g").withColumns(xs).withColumn("d2", _distance() * F.col("scale")).drop("__l", "__g", "g", "mean", "inverse", "scale", *xs)
 
 
-def verdicts(docs: DataFrame, h: float = 0.75, least: int = 50, alpha: float = 1e-9) -> DataFrame:
+def verdicts(docs: DataFrame, h: float = 0.75, least: int = ROWS_PER_STATISTIC * P, alpha: float = 1e-9) -> DataFrame:
     """(doc_id, counts, base_failed, d2, kept) for documents (doc_id, text, lang, source)."""
     stats = cut(statistics(docs))
     found = outlier_distances(stats, h, least).withColumn("base_failed", base_failed())
@@ -151,4 +153,4 @@ def verdicts(docs: DataFrame, h: float = 0.75, least: int = 50, alpha: float = 1
 
 def op5_quality(spark, sf_dir: str) -> DataFrame:
     found = verdicts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("d2", 3).alias("distance"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("d2", 3).alias("distance"), "estimated_with")
