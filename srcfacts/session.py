@@ -2,16 +2,27 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all executors see. Where it is unset a single machine gets a folder of
+    its own; a cluster gets an error, as executors couldn't read one another's files."""
+    context = spark.sparkContext
+    known = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")
+    if known is None and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        raise ValueError("spark.checkpoint.dir isn't set: name a folder that the driver and all executors share")
+    return known or tempfile.mkdtemp(prefix="srcfacts-")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder of ``spark.checkpoint.dir``; a private one only where that is unset."""
+    """Checkpoint to the shared folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="srcfacts-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
