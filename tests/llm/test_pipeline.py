@@ -100,3 +100,18 @@ def test_last_stage_has_the_order_of_the_files(spark, tmp_path):
     again = spark.read.parquet(f"{tmp_path}/mixing")
     assert [r.doc_id for r in again.collect()] != list(range(120))
     assert [r.doc_id for r in P.encode(spark, again, "").collect()] == list(range(120))
+
+
+def test_stages_keep_columns_of_any_name(spark, folder):
+    """Names that the operators use themselves."""
+    names = ["score", "sentences", "row", "missing", "clean", "component", "rep", "sig", "position", "slot", "file", "at", "__null", "__spare", "__text", "hash", "range", "_metadata", "c0"]
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 60").withColumns({n: F.lit(n) for n in names})
+    for name, stage in P.STAGES[:-1]:
+        docs.write.parquet(f"{folder}/{name}-in")
+        out = stage(spark, spark.read.parquet(f"{folder}/{name}-in"), folder)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and all(r[n] == n for r in rows for n in names), name
+        docs = spark.createDataFrame(rows, docs.schema)
+    docs.write.parquet(f"{folder}/last-in")
+    assert P.encode(spark, spark.read.parquet(f"{folder}/last-in"), folder).count() == docs.count()
