@@ -13,24 +13,40 @@ def fragment_values(values: DataFrame) -> DataFrame:
     return values.groupBy("id").agg(n("input").alias("in_n"), n("output").alias("out_n"), mine("input", "type").alias("in_types"), mine("output", "type").alias("out_types"), mine("input", "value").alias("ins"), mine("output", "value").alias("outs"))
 
 
-def pairs(fragments: DataFrame, ids: DataFrame | None = None) -> DataFrame:
-    """(class, type, id1, id2), id1 < id2, of fragments (class, type, id) in one class; only those with results in ids (id).
+#: Fragments of a class that a task pairs with one another.
+BLOCK = 512
+
 
-    Classes are as a clone detector reports them: small groups.
+def _paired(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(class, type, l, r): structs of the rows (class, type, id, ..) of one class, l.id < r.id.
+
+    A large class is dealt in blocks: one side stays in its block, the other visits all of them.
     """
+    sizes = rows.groupBy("class").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
+    sized = rows.join(sizes, "class")
+    kept = [c for c in rows.columns if c not in ("class", "type")]
+    home = sized.select("class", "type", F.struct(*kept).alias("l"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
+    visits = sized.select("class", F.struct(*kept).alias("r"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    return home.join(visits, ["class", "block"]).where("l.id < r.id").select("class", "type", "l", "r")
+
+
+def pairs(fragments: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """(class, type, id1, id2), id1 < id2, of fragments (class, type, id) in one class; only those with results in ids (id)."""
     kept = fragments.join(ids.select("id").distinct(), "id", "left_semi") if ids is not None else fragments
-    left, right = kept.select("class", "type", F.col("id").alias("id1")), kept.select("class", F.col("id").alias("id2"))
-    return left.join(right, "class").where("id1 < id2").select("class", "type", "id1", "id2")
+    return _paired(kept.select("class", "type", "id")).select("class", "type", F.col("l.id").alias("id1"), F.col("r.id").alias("id2"))
 
 
 def compare(fragments: DataFrame, values: DataFrame) -> DataFrame:
-    """(class, type, id1, id2, verdict, clone): arity of inputs and outputs, then sorted inputs, then outputs."""
-    facts = fragment_values(values)
-    side = lambda k: facts.select(*[F.col(c).alias(f"{c}{k}") for c in facts.columns])
-    met = pairs(fragments, values).join(side(1), "id1").join(side(2), "id2")
-    same = lambda c: F.col(f"{c}1") == F.col(f"{c}2")
+    """(class, type, id1, id2, verdict, clone): arity of inputs and outputs, then sorted inputs, then outputs.
+
+    Each fragment takes its counts and digests along, so that pairs need no look-up.
+    """
+    digest = lambda c: F.sha2(F.to_json(F.struct(c)), 256).alias(c)
+    facts = fragment_values(values).select("id", "in_n", "out_n", *[digest(c) for c in ("in_types", "out_types", "ins", "outs")])
+    met = _paired(fragments.select("class", "type", "id").join(facts, "id").select("class", "type", "id", "in_n", "out_n", "in_types", "out_types", "ins", "outs"))
+    same = lambda c: F.col(f"l.{c}") == F.col(f"r.{c}")
     verdict = F.when(~same("in_n"), "input arity").when(~same("out_n"), "output arity").when(~same("ins"), "inputs").when(~same("outs"), "outputs").otherwise("equal")
-    return met.select("class", "type", "id1", "id2", verdict.alias("verdict"), (verdict == "equal").alias("clone"), (same("in_n") & same("out_n")).alias("same_arity"), (same("in_types") & same("out_types")).alias("same_types"))
+    return met.select("class", "type", F.col("l.id").alias("id1"), F.col("r.id").alias("id2"), verdict.alias("verdict"), (verdict == "equal").alias("clone"), (same("in_n") & same("out_n")).alias("same_arity"), (same("in_types") & same("out_types")).alias("same_types"))
 
 
 def results(compared: DataFrame) -> DataFrame:

@@ -56,7 +56,11 @@ def language_share(df: DataFrame, languages: str, name: str) -> DataFrame:
     return df.withColumn("share", F.try_divide(F.coalesce(F.try_element_at(languages, F.lit(name)), F.lit(0)), total))
 
 
-def filter_c_repos(df: DataFrame, languages: str = "languages", size: str = "size", others: tuple[str, ...] = ("C++", "Objective-C", "Java", "Python", "Go"), least_share: float = 0.7, most_bytes: int = 100_000, most_size: int = 1000) -> DataFrame:
+# Languages that a repository of C must not hold.
+OTHER_LANGUAGES = ("Objective-C", "C++", "Ruby", "Java", "JavaScript")
+
+
+def filter_c_repos(df: DataFrame, languages: str = "languages", size: str = "size", others: tuple[str, ...] = OTHER_LANGUAGES, least_share: float = 0.7, most_bytes: int = 100_000, most_size: int = 1000) -> DataFrame:
     """Small repositories that are mostly C and hold none of the other languages."""
     has = lambda n: F.coalesce(F.map_contains_key(languages, n), F.lit(False))
     none = F.lit(True)

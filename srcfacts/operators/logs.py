@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from srcfacts.functions import text as X
+from srcfacts.session import cut
 
 
 def _ordered(keys: tuple[str, ...] = ("file",), order: tuple[str, ...] = ("line_no",)):
@@ -71,7 +72,7 @@ def trace_records(lines: DataFrame, stages=STAGES, closings=CLOSINGS, order: tup
     return tests.join(values, ["file", "test"], "left").select("file", "test", "side", "key", "value", F.coalesce("reach_code", F.lit(1)).alias("reach_code"), "status_code")
 
 
-#: Field lines of a run log: (text, column, type).
+# Field lines of a run log, as (text, column, type).
 RUN_FIELDS = (
     ("Segment Size", "seg_size", "int"), ("Procedure Number", "proc_num", "int"), ("Branch Number", "branch_num", "int"), ("Loop Number", "loop_num", "int"),
     ("Compile", "compilible", "boolean"), ("Number of input", "var_num", "int"), ("Number of tests", "test_num", "int"), ("Test Generation Time", "gen_time", "string"),
@@ -114,15 +115,19 @@ def written_with_counts(lines: DataFrame, counts: str = r"IOData\D*(\d+)\D+(\d+)
     return rows.select("file", F.regexp_extract("line", written, 2).cast("long").alias("id"), F.col("state.i").alias("n_input"), F.col("state.o").alias("n_output"), F.regexp_extract("line", written, 1).alias("path"))
 
 
-def number_rows(df: DataFrame, key: str, order: list[Column | str], name: str, start: int = 1) -> DataFrame:
-    """Dense numbers over all rows in the order (key, order) without a global window: rank inside a key plus the rows of
-    the keys before. Keys should be many and small (files)."""
-    counts = df.groupBy(key).agg(F.count("*").alias("__n"))
-    # one row a key: the only part that is ordered as a whole
-    offsets = counts.select(key, (F.sum("__n").over(Window.orderBy(F.col(key).asc_nulls_first())) - F.col("__n")).alias("__before"))
-    ranked = df.withColumn("__nth", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
-    joined = ranked.join(offsets.withColumnRenamed(key, "__key"), F.col(key).eqNullSafe(F.col("__key")))
-    return joined.withColumn(name, F.col("__before") + F.col("__nth") - 1 + start).drop("__n", "__before", "__nth", "__key")
+def number_rows(df: DataFrame, order: list[str], name: str, start: int = 1) -> DataFrame:
+    """Dense numbers over all rows in an order, nulls first, without a window over all of them.
+
+    Rows go to ranges of the order, are sorted there and checkpointed with their place; what is ordered as a whole is one
+    count a range. No key has to fit into a task.
+    """
+    place = F.monotonically_increasing_id()  # the range in the upper 31 bits, the place in it in the lower 33
+    placed = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", place))
+    part = F.shiftright("__at", 33)
+    sizes = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))  # one row a range
+    joined = placed.withColumn("__part", part).join(F.broadcast(before), "__part")
+    return joined.withColumn(name, F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + start).drop("__part", "__before", "__at")
 
 
 def first_after(lines: DataFrame, opens: str, wanted: str, order: tuple[str, ...] = ("line_no",)) -> DataFrame:
@@ -195,7 +200,7 @@ def parse_clone_report(lines: DataFrame) -> DataFrame:
     rows = rows.withColumn("type", carry(kind)).withColumn("path", carry(path, ("file", "class")))
     position = r"Position:\D*(\d+)\D+(\d+)"
     kept = rows.where(line.rlike(position) & (F.col("type") != 1)).select("file", "line_no", "class", "type", "path", F.regexp_extract("line", position, 1).cast("int").alias("begin"), F.regexp_extract("line", position, 2).cast("int").alias("end"))
-    return number_rows(kept, "file", ["line_no"], "id").select("file", "class", "type", F.col("id").cast("long").alias("id"), "path", "begin", "end")
+    return number_rows(kept, ["file", "line_no"], "id").select("file", "class", "type", F.col("id").cast("long").alias("id"), "path", "begin", "end")
 
 
 IO_VALUE = r"^\s*(input|output):\s*(.*?)\s*([A-Za-z_][\w.\[\]]*)\s*=\s*(.*?)\s*$"

@@ -19,7 +19,7 @@ MIN_ROWS = 3
 
 
 def known(trace: DataFrame) -> DataFrame:
-    """Without missing values; a key that a test repeats keeps its largest value, so that pairs stay one a test."""
+    """Without missing values. Rules on pairs of columns take the largest text of a key that a test repeats."""
     return trace.where(F.col("value").isNotNull() & (F.col("value") != "NA"))
 
 
@@ -45,19 +45,31 @@ def pairs(trace: DataFrame) -> DataFrame:
     return _exploded(known(trace).withColumn("v", F.col("value"))).toDF("seg", "test", "x", "xv", "y", "yv")
 
 
+def _tests(values: DataFrame) -> DataFrame:
+    """(seg, test, ins, outs) of (seg, test, side, key, value, v): arrays of (key, v), each key once, with its largest value."""
+
+    def mine(which: str) -> Column:
+        cells = F.array_sort(F.collect_list(F.when(F.col("side") == which, F.struct("key", "value", "v"))))
+        # sorted by key and value: the last of a key stays
+        kept = F.filter(cells, lambda x, i: F.coalesce(F.get(cells, i + 1)["key"] != x["key"], F.lit(True)))
+        return F.transform(kept, lambda x: F.struct(x["key"].alias("key"), x["v"].alias("v")))
+
+    return values.groupBy("seg", "test").agg(mine("input").alias("ins"), mine("output").alias("outs"))
+
+
 def _exploded(values: DataFrame) -> DataFrame:
-    """(seg, test, x, a, y, b) of (seg, test, side, key, v)."""
-    cell = F.struct("key", "v")
-    mine = lambda which: F.collect_list(F.when(F.col("side") == which, cell))
-    tests = values.groupBy("seg", "test").agg(mine("input").alias("ins"), mine("output").alias("outs"))
-    ins = tests.select("seg", "test", "outs", F.explode("ins").alias("i")).select("seg", "test", "outs", F.col("i.key").alias("x"), F.col("i.v").alias("a"))
+    """(seg, test, x, a, y, b) of (seg, test, side, key, value, v)."""
+    ins = _tests(values).select("seg", "test", "outs", F.explode("ins").alias("i")).select("seg", "test", "outs", F.col("i.key").alias("x"), F.col("i.v").alias("a"))
     return ins.select("seg", "test", "x", "a", F.explode("outs").alias("o")).select("seg", "test", "x", "a", F.col("o.key").alias("y"), F.col("o.v").alias("b"))
 
 
+def _numbers(trace: DataFrame) -> DataFrame:
+    return known(trace).where(~is_address_key(F.col("key"))).withColumn("v", number("value")).where("v is not null")
+
+
 def number_pairs(trace: DataFrame) -> DataFrame:
     """(seg, test, x, a, y, b): ``pairs`` of the whole-number columns, as decimal(18,0), read once a value."""
-    values = known(trace).where(~is_address_key(F.col("key"))).withColumn("v", number("value")).where("v is not null")
-    return _exploded(values)
+    return _exploded(_numbers(trace))
 
 
 #: Below this numbers are multiplied and summed as longs, exact for up to 2^33 rows; above it as decimals.
@@ -176,9 +188,10 @@ def linear_two(trace: DataFrame) -> DataFrame:
     Normal equations in whole numbers of any size, from exact sums; inputs that depend on each other give no row, and slopes
     beyond 64 bits have no place in the result.
     """
-    numeric = lambda df, key, value, v: df.where(~is_address_key(F.col(key))).withColumn(v, number(value)).where(F.col(v).isNotNull()).drop(value)
-    ins, outs = numeric(side(trace, "input", "x", "xv"), "x", "xv", "a"), numeric(side(trace, "output", "y", "yv"), "y", "yv", "c")
-    two = ins.toDF("seg", "test", "x1", "a").join(ins.toDF("seg", "test", "x2", "b"), ["seg", "test"]).where("x1 < x2").join(outs, ["seg", "test"])
+    tests = _tests(_numbers(trace))
+    couples = F.flatten(F.transform("ins", lambda p, i: F.transform(F.slice("ins", i + 2, F.size("ins")), lambda q: F.struct(p.alias("p"), q.alias("q")))))
+    both = tests.select("seg", "test", "outs", F.explode(couples).alias("i")).select("seg", "test", "i", F.explode("outs").alias("o"))
+    two = both.select("seg", F.col("i.p.key").alias("x1"), F.col("i.p.v").alias("a"), F.col("i.q.key").alias("x2"), F.col("i.q.v").alias("b"), F.col("o.key").alias("y"), F.col("o.v").alias("c"))
     products = [x for p, q in ("aa", "bb", "cc", "ab", "ac", "bc") for x in _split_sums(p, q)]
     s = two.groupBy("seg", "x1", "x2", "y").agg(F.count("*").alias("n"), *[F.sum(x).cast("string").alias(f"s{x}") for x in "abc"], *products)
 
@@ -263,17 +276,25 @@ def parse_formulas(formulas: DataFrame) -> DataFrame:
 
 
 def evaluate(trace: DataFrame, formulas: DataFrame) -> DataFrame:
-    """(seg, test, formula, holds) for every test that has all values of the formula. ``(nil)`` and nil are 0."""
-    parsed = F.broadcast(parse_formulas(formulas))  # a list written by hand
+    """(seg, test, formula, holds) for every test that has all values of the formula. ``(nil)`` and nil are 0.
+
+    A test's named values meet in one row, and every formula - a list written by hand, read by the driver - is decided on it.
+    """
+    parsed = parse_formulas(formulas).distinct().collect()
+    names = sorted({x for f in parsed for x in (f.lhs, f.r1, f.r2) if x is not None})
     value = F.coalesce(number("value").cast("decimal(20,0)"), X.address_value(F.col("value")))
-    values = known(trace).select("seg", "test", F.concat_ws("_", "side", "key").alias("name"), value.alias("v")).where("v is not null")
-    found = values.join(parsed, F.col("name") == F.col("lhs")).select("seg", "test", "formula", "op", "r1", "r2", F.col("v").alias("left"))
-    constant = lambda c: F.when(F.col(c).isin("nil", "(nil)", "NULL"), F.lit(0)).otherwise(F.col(c).try_cast("decimal(20,0)")).cast("decimal(20,0)")
-    for i in ("r1", "r2"):
-        named = values.select("seg", "test", F.col("name").alias(i), F.col("v").alias(f"{i}v"))
-        found = found.join(named, ["seg", "test", i], "left").withColumn(f"{i}v", F.coalesce(f"{i}v", constant(i)))
-    found = found.where("r1v is not null and (r2 is null or r2v is not null)")
-    return found.select("seg", "test", "formula", _holds(F.col("op"), F.col("left"), F.col("r1v") + F.coalesce("r2v", F.lit(0).cast("decimal(20,0)"))).alias("holds"))
+    cells = known(trace).select("seg", "test", F.concat_ws("_", "side", "key").alias("name"), value.alias("v")).where(F.col("name").isin(names) & F.col("v").isNotNull())
+    # one column a name; of a repeated key the largest value
+    tests = cells.groupBy("seg", "test").agg(*[F.max(F.when(F.col("name") == n, F.col("v"))).alias(f"v{i}") for i, n in enumerate(names)])
+    of = {n: F.col(f"v{i}") for i, n in enumerate(names)}
+
+    def term(name: str) -> Column:
+        return F.coalesce(of[name], (F.lit(0) if name in ("nil", "(nil)", "NULL") else F.lit(name).try_cast("decimal(20,0)")).cast("decimal(20,0)"))
+
+    decided = [F.struct(F.lit(f.formula).alias("formula"), _holds(F.lit(f.op), of[f.lhs], term(f.r1) + (term(f.r2) if f.r2 is not None else F.lit(0).cast("decimal(20,0)"))).alias("holds")) for f in parsed]
+    if not decided:
+        return trace.select("seg", "test", F.lit("").alias("formula"), F.lit(True).alias("holds")).limit(0)
+    return tests.select("seg", "test", F.explode(F.array(*decided)).alias("d")).select("seg", "test", "d.formula", "d.holds").where("holds is not null")
 
 
 def check_templates(trace: DataFrame, formulas: DataFrame) -> DataFrame:
@@ -285,7 +306,8 @@ def check_templates(trace: DataFrame, formulas: DataFrame) -> DataFrame:
 def condition_truth(trace: DataFrame, formulas: DataFrame) -> DataFrame:
     """(seg, formula, truth): always, never or sometimes on the rows at hand; unknown if no row has the values."""
     found = evaluate(trace, formulas).groupBy("seg", "formula").agg(F.min("holds").alias("every"), F.max("holds").alias("some"))
-    asked = trace.select("seg").distinct().join(F.broadcast(formulas.select("formula").distinct()))
+    listed = sorted({r.formula for r in formulas.select("formula").collect() if r.formula is not None})  # written by hand
+    asked = trace.select("seg").distinct().select("seg", F.explode(F.array(*map(F.lit, listed)) if listed else F.expr("cast(array() as array<string>)")).alias("formula"))
     truth = F.when(F.col("every"), "always").when(~F.col("some"), "never").when(F.col("some"), "sometimes").otherwise("unknown")
     return asked.join(found, ["seg", "formula"], "left").select("seg", "formula", truth.alias("truth"))
 
@@ -314,6 +336,18 @@ def sign_facts(trace: DataFrame) -> DataFrame:
     return signs.union(filled)
 
 
+def pair_facts(trace: DataFrame) -> DataFrame:
+    """(seg, x, y, fact): number columns of either side where x is never above y in any test that has both: ``<``, or ``<=``
+    where they are equal somewhere. Both must have a value in the same number of tests, two at least; x and y are side_key."""
+    numbers = _numbers(trace).select("seg", "test", "key", "value", F.col("v"), F.lit("input").alias("side"), F.concat_ws("_", F.col("side"), "key").alias("name")).drop("key").withColumnRenamed("name", "key")
+    counts = numbers.groupBy("seg", "key").agg(F.count_distinct("test").alias("n"))
+    tests = _tests(numbers).select("seg", F.explode(F.flatten(F.transform("ins", lambda p: F.transform("ins", lambda q: F.struct(p.alias("p"), q.alias("q")))))).alias("i"))
+    two = tests.select("seg", F.col("i.p.key").alias("x"), F.col("i.q.key").alias("y"), F.col("i.p.v").alias("a"), F.col("i.q.v").alias("b")).where("x <> y")
+    found = two.groupBy("seg", "x", "y").agg(F.count("*").alias("common"), F.min(F.expr("a <= b")).alias("le"), F.max(F.expr("a = b")).alias("eq")).where("le and common >= 2")
+    same = found.join(counts.toDF("seg", "x", "nx"), ["seg", "x"]).join(counts.toDF("seg", "y", "ny"), ["seg", "y"]).where("nx = ny")
+    return same.select("seg", "x", "y", F.when(F.col("eq"), "<=").otherwise("<").alias("fact"))
+
+
 def column_classes(trace: DataFrame) -> DataFrame:
     """(seg, side, key, class): unchanged, binary (0 and 1) or changed."""
     found = known(trace).groupBy("seg", "side", "key").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.min(F.col("value").isin("0", "1")).alias("bits"))
@@ -363,7 +397,8 @@ def mappable(transfers: DataFrame, conditions: DataFrame) -> DataFrame:
     good = transfers.where(is_entry(F.col("rhs"))).select("seg", "lhs").distinct()
     segs = transfers.select("seg").distinct()
     counted = names.join(good, "lhs").groupBy("id", "seg").agg((F.count("*") == F.max("k")).alias("mapped"))
-    asked = names.select("id").distinct().join(segs)
+    ids = names.agg(F.collect_set("id").alias("ids")).first().ids  # conditions are written by hand
+    asked = segs.select("seg", F.explode(F.lit(ids) if ids else F.lit(ids).cast(f"array<{conditions.schema['id'].dataType.simpleString()}>")).alias("id"))
     return asked.join(counted, ["id", "seg"], "left").select("id", "seg", F.coalesce("mapped", F.lit(False)).alias("mapped"))
 
 

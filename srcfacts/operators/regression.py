@@ -1,7 +1,7 @@
-"""Least-squares rules: fitted per segment from sums, or per group by break-point search.
+"""Least-squares rules per segment, from sums alone.
 
-Gram matrices are summed on Spark, so a fit never sees more than one small matrix; only piecewise fits gather the rows of one
-(seg, output, input), thinned to ``most_points`` quantile means where there are more.
+Gram matrices are summed on Spark, so a fit never sees more than one small matrix. Piecewise fits take one row of sums for
+each distinct value of the input, all of them, and search their breaks on running sums.
 """
 
 from __future__ import annotations
@@ -17,25 +17,35 @@ from pyspark.sql import functions as F
 from srcfacts.operators.mining import is_address_key, known, number
 
 
-def grams(trace: DataFrame) -> DataFrame:
+def grams(trace: DataFrame, products: bool = False) -> DataFrame:
     """(seg, keys, n, sums, products): sums over the tests that have all number columns of their segment.
 
-    keys: side_key names, sorted; sums[i], products[i * k + j] by their order.
+    keys: side_key names, sorted, and behind them with ``products`` the products ``a*b`` of each two inputs, squares
+    included; sums[i], products[i * k + j] by their order.
     """
-    rows = known(trace).where(~is_address_key(F.col("key"))).select("seg", "test", F.concat_ws("_", "side", "key").alias("key"), number("value").cast("double").alias("v")).where("v is not null")
+    rows = known(trace).where(~is_address_key(F.col("key"))).select("seg", "test", F.concat_ws("_", "side", "key").alias("key"), number("value").cast("double").alias("v")).where("v is not null").groupBy("seg", "test", "key").agg(F.max("v").alias("v"))
     names = rows.groupBy("seg").agg(F.array_sort(F.collect_set("key")).alias("keys"))
     tests = rows.groupBy("seg", "test").agg(F.array_sort(F.collect_list(F.struct("key", "v"))).alias("x"))
-    full = tests.join(names, "seg").where(F.size("x") == F.size("keys")).select("seg", "keys", F.transform("x", lambda x: x["v"]).alias("v"))
+    full = tests.join(names, "seg").where(F.size("x") == F.size("keys"))
+    if products:
+        ins = F.filter("x", lambda x: F.startswith(x["key"], F.lit("input_")))
+        made = F.flatten(F.transform(ins, lambda p, i: F.transform(F.slice(ins, i + 1, F.size(ins)), lambda q: F.struct(F.concat_ws("*", p["key"], q["key"]).alias("key"), (p["v"] * q["v"]).alias("v")))))
+        full = full.withColumn("x", F.concat("x", made)).withColumn("keys", F.transform("x", lambda x: x["key"]))
+    full = full.select("seg", "keys", F.transform("x", lambda x: x["v"]).alias("v"))
     cells = full.select("seg", "keys", F.posexplode(F.flatten(F.transform("v", lambda a: F.transform(F.col("v"), lambda b: a * b)))).alias("pos", "p"))
-    products = cells.groupBy("seg", "keys", "pos").agg(F.sum("p").alias("p")).groupBy("seg", "keys").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "p"))), lambda x: x["p"]).alias("products"))
+    squares = cells.groupBy("seg", "keys", "pos").agg(F.sum("p").alias("p")).groupBy("seg", "keys").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "p"))), lambda x: x["p"]).alias("products"))
     sums = full.select("seg", F.posexplode("v").alias("pos", "v")).groupBy("seg", "pos").agg(F.sum("v").alias("s"), F.count("*").alias("n")).groupBy("seg").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda x: x["s"]).alias("sums"))
-    return products.join(sums, "seg")
+    return squares.join(sums, "seg")
+
+
+def _constant(s: np.ndarray, p: np.ndarray, n: float, y: int) -> bool:
+    return p[y, y] - s[y] ** 2 / n <= 1e-9 * max(1.0, p[y, y])
 
 
 def _fit(n: float, s: np.ndarray, p: np.ndarray, y: int, xs: list[int]) -> tuple[float, list[float], float] | None:
     """(r2, slopes, intercept) from sums; None where y is constant or the inputs depend on each other."""
     c = p - np.outer(s, s) / n
-    if c[y, y] <= 1e-9 * max(1.0, p[y, y]):
+    if _constant(s, p, n, y):
         return None
     if not xs:
         return 0.0, [], float(s[y] / n)
@@ -47,94 +57,138 @@ def _fit(n: float, s: np.ndarray, p: np.ndarray, y: int, xs: list[int]) -> tuple
     return float(k @ c[xs, y] / c[y, y]), k.tolist(), float((s[y] - k @ s[xs]) / n)
 
 
+COLUMNS = ["seg", "y", "xs", "slopes", "intercept", "r2", "n"]
 RULE = "seg {seg}, y string, xs array<string>, slopes array<double>, intercept double, r2 double, n long"
 
 
-def least_squares(trace: DataFrame, least_r2: float = 0.90, least_rows: int = 3) -> DataFrame:
-    """(seg, y, xs, slopes, intercept, r2, n): every changing output on all changing inputs of its segment, r2 above the
-    bound; inputs that depend on earlier ones are left out."""
+def _per_segment(trace: DataFrame, sums: DataFrame, rules) -> DataFrame:
+    """Rows that ``rules(keys, n, sums, products)`` gives for each segment, without its number."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for r in b.itertuples(index=False):
-                keys, s, k = list(r.keys), np.array(r.sums), len(r.keys)
-                p = np.array(r.products).reshape(k, k)
-                chosen: list[int] = []
-                for i in (i for i, name in enumerate(keys) if name.startswith("input_")):
-                    if r.n >= least_rows and _fit(r.n, s, p, i, []) is not None and (not chosen or (_fit(r.n, s, p, i, chosen) or (0,))[0] < 1 - 1e-9):
-                        chosen.append(i)
-                for y in (i for i, name in enumerate(keys) if name.startswith("output_")):
-                    found = _fit(r.n, s, p, y, chosen) if chosen and r.n > len(chosen) else None
-                    if found and found[0] > least_r2:
-                        out.append((r.seg, keys[y], [keys[i] for i in chosen], found[1], found[2], found[0], r.n))
-            yield pd.DataFrame(out, columns=["seg", "y", "xs", "slopes", "intercept", "r2", "n"])
+                k = len(r.keys)
+                out += [(r.seg, *row, r.n) for row in rules(list(r.keys), r.n, np.array(r.sums), np.array(r.products).reshape(k, k))]
+            yield pd.DataFrame(out, columns=COLUMNS)
 
-    return grams(trace).mapInPandas(run, RULE.format(seg=trace.schema["seg"].dataType.simpleString()))
+    return sums.mapInPandas(run, RULE.format(seg=trace.schema["seg"].dataType.simpleString()))
 
 
-def subset_regression(trace: DataFrame, most_inputs: int = 4, least_r2: float = 0.8, least_rows: int = 3) -> DataFrame:
-    """(seg, y, xs, slopes, intercept, r2, n): for every output the smallest set of up to ``most_inputs`` inputs with r2
-    at the bound, the best of that size, ties by name."""
+def least_squares(trace: DataFrame, least_r2: float = 0.90, least_rows: int = 3) -> DataFrame:
+    """(seg, y, xs, slopes, intercept, r2, n): every output on all changing inputs of its segment, r2 above the bound; inputs
+    that depend on earlier ones are left out. A constant output is a rule without inputs, r2 1."""
+
+    def rules(keys: list[str], n: int, s: np.ndarray, p: np.ndarray) -> Iterator[tuple]:
+        if n < least_rows:
+            return
+        chosen: list[int] = []
+        for i in (i for i, name in enumerate(keys) if name.startswith("input_")):
+            if _fit(n, s, p, i, []) is not None and (not chosen or (_fit(n, s, p, i, chosen) or (0,))[0] < 1 - 1e-9):
+                chosen.append(i)
+        for y in (i for i, name in enumerate(keys) if name.startswith("output_")):
+            if _constant(s, p, n, y):
+                yield keys[y], [], [], float(s[y] / n), 1.0
+                continue
+            found = _fit(n, s, p, y, chosen) if chosen and n > len(chosen) else None
+            if found and found[0] > least_r2:
+                yield keys[y], [keys[i] for i in chosen], found[1], found[2], found[0]
+
+    return _per_segment(trace, grams(trace), rules)
+
+
+def subset_regression(trace: DataFrame, most_inputs: int = 4, least_r2: float = 0.8, least_rows: int = 3, polynomial: bool = True) -> DataFrame:
+    """(seg, y, xs, slopes, intercept, r2, n): for every output all sets of up to ``most_inputs`` inputs with r2 at the bound.
+
+    Where none is found, with ``polynomial``: one or two terms out of a, b, a*a, b*b and a*b of each two inputs, a
+    product among them. Terms are named ``a*b``.
+    """
+
+    def rules(keys: list[str], n: int, s: np.ndarray, p: np.ndarray) -> Iterator[tuple]:
+        ins = [i for i, name in enumerate(keys) if name.startswith("input_") and "*" not in name]
+        terms = [i for i, name in enumerate(keys) if "*" in name]
+        of = {i: frozenset(keys[i].split("*")) for i in ins + terms}
+        bent = [xs for size in (1, 2) for xs in combinations(ins + terms, size) if any(i in terms for i in xs) and len(frozenset().union(*(of[i] for i in xs))) <= 2]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for r in b.itertuples(index=False):
-                keys, s, k = list(r.keys), np.array(r.sums), len(r.keys)
-                p = np.array(r.products).reshape(k, k)
-                ins = [i for i, name in enumerate(keys) if name.startswith("input_")]
-                for y in (i for i, name in enumerate(keys) if name.startswith("output_")):
-                    for size in range(1, min(most_inputs, len(ins)) + 1):
-                        tried = [(f[0], xs, f) for xs in map(list, combinations(ins, size)) if r.n >= max(least_rows, size + 1) and (f := _fit(r.n, s, p, y, xs))]
-                        best = max(tried, key=lambda t: (round(t[0], 9), [-i for i in t[1]]), default=None)
-                        if best and best[0] >= least_r2:
-                            out.append((r.seg, keys[y], [keys[i] for i in best[1]], best[2][1], best[2][2], best[0], r.n))
-                            break
-            yield pd.DataFrame(out, columns=["seg", "y", "xs", "slopes", "intercept", "r2", "n"])
-
-    return grams(trace).mapInPandas(run, RULE.format(seg=trace.schema["seg"].dataType.simpleString()))
-
-
-def _r2(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
-    n, mx, my = w.sum(), np.average(x, weights=w), np.average(y, weights=w)
-    sxx, syy, sxy = (w * (x - mx) ** 2).sum(), (w * (y - my) ** 2).sum(), (w * (x - mx) * (y - my)).sum()
-    return 1.0 if syy <= 1e-12 * max(1.0, n * my * my) else 0.0 if sxx <= 0 else float(sxy * sxy / (sxx * syy))
-
-
-def break_points(x: np.ndarray, y: np.ndarray, w: np.ndarray, least: int, good: float = 0.999) -> list[int]:
-    """Starts of segments, greedily: each reaches as far as its line fits, ``least`` points at least."""
-    starts, at, n = [0], 0, len(x)
+        def accepted(y: int, sets) -> list[tuple]:
+            tried = ((list(xs), _fit(n, s, p, y, list(xs))) for xs in sets if n >= max(least_rows, len(xs) + 2))
+            return [(keys[y], [keys[i] for i in xs], f[1], f[2], f[0]) for xs, f in tried if f and f[0] >= least_r2]
+
+        for y in (i for i, name in enumerate(keys) if name.startswith("output_")):
+            found = accepted(y, (xs for size in range(1, min(most_inputs, len(ins)) + 1) for xs in combinations(ins, size)))
+            yield from found or accepted(y, bent)
+
+    return _per_segment(trace, grams(trace, products=polynomial), rules)
+
+
+def break_points(sums: np.ndarray, least: int, good: float = 0.999) -> list[int]:
+    """Starts of segments of ``least`` rows at least: greedily, each reaches as far as its line fits; then each break goes to where
+    the lines on both sides leave the smallest squares. sums: rows of (n, x, y, xx, xy, yy), ordered by x; running sums make
+    each step linear."""
+    run = np.concatenate([np.zeros((1, 6)), np.cumsum(sums, axis=0)])
+    starts, at, n = [0], 0, len(sums)
     while n - at >= 2 * least:
-        ends = [e for e in range(at + least, n - least + 1) if _r2(x[at:e], y[at:e], w[at:e]) >= good]
-        if not ends or _r2(x[at:], y[at:], w[at:]) >= good:
+        ends = np.arange(at + least, n - least + 1)
+        fits = ends[r2_of(run[ends] - run[at]) >= good]
+        if not len(fits) or r2_of(run[n:] - run[at])[0] >= good:
             break
-        at = max(ends)
+        at = int(fits[-1])
         starts.append(at)
+    for i in [*range(1, len(starts))] * 2:
+        left, right = starts[i - 1], starts[i + 1] if i + 1 < len(starts) else n
+        cuts = np.arange(left + least, right - least + 1)
+        if len(cuts):
+            starts[i] = int(cuts[np.argmin(rest_of(run[cuts] - run[left]) + rest_of(run[right] - run[cuts]))])
     return starts
 
 
-def piecewise(trace: DataFrame, least_share: float = 0.03, most_points: int = 1000) -> DataFrame:
-    """(seg, y, x, segments, r2): the input by which an output is piecewise linear best: mean r2 of the segments,
-    each with ``least_share`` of the points at least; ties go to fewer segments, then by name."""
+def rest_of(t: np.ndarray) -> np.ndarray:
+    """Squares that the line of each row of sums leaves."""
+    n, _, y, _, _, yy = t.T
+    return np.maximum(yy - y * y / n, 0) * (1 - r2_of(t))
+
+
+def r2_of(t: np.ndarray) -> np.ndarray:
+    """Of rows of sums (n, x, y, xx, xy, yy): 1 for constant y, 0 for constant x."""
+    n, x, y, xx, xy, yy = t.T
+    sxx, sxy, syy = xx - x * x / n, xy - x * y / n, yy - y * y / n
+    flat = syy <= 1e-12 * np.maximum(1.0, yy)
+    same = sxx <= 1e-12 * np.maximum(1.0, xx)
+    fit = sxy * sxy / np.where(same | flat, 1.0, sxx * syy)
+    return np.where(flat, 1.0, np.where(same, 0.0, fit))
+
+
+def piecewise(trace: DataFrame, least_share: float = 0.03) -> DataFrame:
+    """(seg, y, x, segments, breaks, r2): the input by which an output is piecewise linear best: mean r2 of the segments, each
+    with ``least_share`` of the input's distinct values at least; ties go to fewer segments, then by name. breaks: the last input
+    value of every segment but the last.
+
+    Sums of each distinct input value are combined before the shuffle; the values of one (seg, x, y) meet in a task.
+    """
     rows = known(trace).where(~is_address_key(F.col("key"))).withColumn("v", number("value").cast("double")).where("v is not null")
-    ins = rows.where("side = 'input'").select("seg", "test", F.col("key").alias("x"), F.col("v").alias("a"))
-    outs = rows.where("side = 'output'").select("seg", "test", F.col("key").alias("y"), F.col("v").alias("b"))
-    points = ins.join(outs, ["seg", "test"]).groupBy("seg", "x", "y", "a").agg(F.avg("b").alias("b"), F.count("*").alias("w"))
-    cell = F.ntile(most_points).over(Window.partitionBy("seg", "x", "y").orderBy("a"))
-    weight = F.sum("w").alias("w")
-    thin = points.withColumn("cell", cell).groupBy("seg", "x", "y", "cell").agg((F.sum(F.col("a") * F.col("w")) / F.sum("w")).alias("a"), (F.sum(F.col("b") * F.col("w")) / F.sum("w")).alias("b"), weight)
+    cell = F.struct("key", "v")
+    mine = lambda which: F.collect_list(F.when(F.col("side") == which, cell))
+    tests = rows.groupBy("seg", "test").agg(mine("input").alias("ins"), mine("output").alias("outs")).select("seg", "outs", F.explode("ins").alias("i")).select("seg", "i", F.explode("outs").alias("o"))
+    a, b = F.col("i.v"), F.col("o.v")
+    points = tests.groupBy("seg", F.col("i.key").alias("x"), F.col("o.key").alias("y"), a.alias("a")).agg(F.count("*").alias("n"), F.sum(b).alias("b"), F.sum(b * b).alias("bb"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("a")
-        x, y, w = (pdf[c].to_numpy(float) for c in ("a", "b", "w"))
-        if len(x) < 3 or y.min() == y.max():
-            return pd.DataFrame(columns=["seg", "y", "x", "segments", "r2"])
-        starts = break_points(x, y, w, max(2, int(np.ceil(least_share * len(x)))))
-        score = float(np.mean([_r2(x[a:b], y[a:b], w[a:b]) for a, b in zip(starts, [*starts[1:], len(x)], strict=True)]))
-        return pd.DataFrame([(pdf.seg.iloc[0], pdf.y.iloc[0], pdf.x.iloc[0], len(starts), round(score, 9))], columns=["seg", "y", "x", "segments", "r2"])
+        name = pdf.y.iloc[0]
+        x, n, y, yy = (pdf[c].to_numpy(float) for c in ("a", "n", "b", "bb"))
+        made = pd.DataFrame(columns=["seg", "y", "x", "segments", "breaks", "r2"])
+        # centred, so that differences of running sums keep their digits
+        cx, cy = x.mean(), y.sum() / n.sum()
+        u, v, vv = x - cx, y - n * cy, yy - 2 * cy * y + n * cy * cy
+        sums = np.stack([n, n * u, v, n * u * u, u * v, vv], axis=1)
+        if len(x) < 3 or vv.sum() <= 1e-12 * max(1.0, yy.sum()):
+            return made
+        starts = break_points(sums, max(2, int(np.ceil(least_share * len(x)))))
+        ends = [*starts[1:], len(x)]
+        score = float(r2_of(np.stack([sums[i:j].sum(axis=0) for i, j in zip(starts, ends, strict=True)])).mean())
+        return pd.DataFrame([(pdf.seg.iloc[0], name, pdf.x.iloc[0], len(starts), x[[i - 1 for i in starts[1:]]].tolist(), round(score, 9))], columns=made.columns)
 
     seg = trace.schema["seg"].dataType.simpleString()
-    found = thin.groupBy("seg", "x", "y").applyInPandas(run, f"seg {seg}, y string, x string, segments int, r2 double")
+    found = points.groupBy("seg", "x", "y").applyInPandas(run, f"seg {seg}, y string, x string, segments int, breaks array<double>, r2 double")
     best = Window.partitionBy("seg", "y").orderBy(F.desc("r2"), "segments", "x")
     return found.withColumn("__n", F.row_number().over(best)).where("__n = 1").drop("__n")

@@ -54,7 +54,7 @@ def tokens(tree: DataFrame, order: list[str]) -> DataFrame:
 
 def dense_tokens(tree: DataFrame, order: list[str]) -> DataFrame:
     """Leaves with one dense number over all files."""
-    return number_rows(leaves(tree), "file", order, "token", 0)
+    return number_rows(leaves(tree), ["file", *order], "token", 0)
 
 
 def descendants(anc: DataFrame) -> DataFrame:
@@ -97,25 +97,45 @@ def anchors(tree: DataFrame, anc: DataFrame, rules: dict[str, list[str]]) -> Dat
     return met.groupBy("node_id").agg(F.min_by("anc", "up").alias("anchor"))
 
 
-#: What a selected parent brings along: (kind, roles). Fixed values of the language's grammar.
-MANDATORY = {
-    "if": ("keyword", "condition", "then", "brace"),
-    "else": ("keyword", "body", "brace"),
-    "while": ("keyword", "condition", "body", "brace"),
-    "do": ("keyword", "condition", "body", "while", "brace"),
-    "for": ("keyword", "init", "condition", "increment", "body", "brace"),
-    "switch": ("keyword", "condition", "body", "brace"),
-    "case": ("keyword", "condition"),
-    "function": ("type", "name", "parameters", "body", "brace"),
-    "compound": ("brace",),
-}
-
-
-def mandatory(tree: DataFrame, sets: DataFrame, rules: dict[str, tuple[str, ...]] = MANDATORY) -> DataFrame:
+# Fixed values of the language's grammar: what a selected parent brings along, as (kind, role, the role that has to be selected
+# for it; none: always). What a loop starts with is optional and stays out; an else comes with its keyword.
+MANDATORY = (
+    ("function", "type", None), ("function", "name", None), ("function", "parameters", None), ("function", "body", None),
+    ("compound", "brace", None),
+    ("if", "keyword", None), ("if", "condition", None), ("if", "then", None),
+    ("if", "else keyword", "else keyword"), ("if", "else keyword", "else"), ("if", "else", "else keyword"), ("if", "else", "else"),
+    ("switch", "keyword", None), ("switch", "condition", None),
+    ("case", "keyword", None), ("case", "condition", None),
+    ("default", "keyword", None),
+    ("for", "keyword", None), ("for", "body", None),
+    ("while", "keyword", None), ("while", "condition", None), ("while", "body", None),
+    ("do", "keyword", None), ("do", "while", None), ("do", "condition", None), ("do", "body", None),
+    ("return", "keyword", None), ("return", "value", None),
+)
+# A parent whose only selected child has this role (none: any) is passed over and brings nothing.
+ALONE = (("if", "then"), ("if", "else"), ("for", "body"), ("while", "body"), ("do", "body"), ("switch", "case"), ("compound", None))
+#: A brace calls for its partner even alone, and a case that stands by its own keyword or condition for its switch.
+OWN = ("brace", "keyword", "condition")
+
+
+def mandatory(tree: DataFrame, sets: DataFrame, rules=MANDATORY, alone=ALONE) -> DataFrame:
     """(q, node_id): children that the kinds of selected parents call for, by role."""
-    table = sets.sparkSession.createDataFrame([(k, r) for k, roles in rules.items() for r in roles], "parent_kind string, role string")
-    chosen = sets.distinct().join(tree.select("node_id", F.col("kind").alias("parent_kind")), "node_id").select("q", F.col("node_id").alias("parent_id"), "parent_kind")
-    return chosen.join(tree.select("node_id", "parent_id", "role"), "parent_id").join(F.broadcast(table), ["parent_kind", "role"]).select("q", "node_id").distinct()
+    spark, chosen = sets.sparkSession, sets.distinct()
+    nodes = chosen.join(tree.select("node_id", "parent_id", "kind", "role"), "node_id")
+    # of each node, whether some of its own tokens are selected too
+    own = nodes.where(F.col("role").isin(*OWN)).select("q", F.col("parent_id").alias("node_id")).distinct().withColumn("own", F.lit(True))
+    inside = nodes.where("parent_id is not null").join(own, ["q", "node_id"], "left").select("q", "parent_id", "role", F.coalesce("own", F.lit(False)).alias("own"))
+    single = inside.groupBy("q", "parent_id").agg(F.count("*").alias("n"), F.max("role").alias("only"), F.max("own").alias("own")).where("n = 1")
+    passed = spark.createDataFrame(list(alone), "parent_kind string, passed string")
+    parents = nodes.select("q", F.col("node_id").alias("parent_id"), F.col("kind").alias("parent_kind"))
+    over = parents.join(single, ["q", "parent_id"]).join(F.broadcast(passed), "parent_kind").where("(passed is null and only <> 'brace') or (passed = only and not (parent_kind = 'switch' and own))")
+    asking = parents.join(over.select("q", "parent_id"), ["q", "parent_id"], "left_anti")
+    table = spark.createDataFrame(list(rules), "parent_kind string, role string, needs string")
+    wanted = asking.join(F.broadcast(table), "parent_kind")
+    always = wanted.where("needs is null")
+    if_there = wanted.where("needs is not null").join(inside.select("q", "parent_id", F.col("role").alias("needs")).distinct(), ["q", "parent_id", "needs"], "left_semi")
+    called = always.select("q", "parent_id", "role").union(if_there.select("q", "parent_id", "role")).distinct()
+    return called.join(tree.select("node_id", "parent_id", "role"), ["parent_id", "role"]).select("q", "node_id").distinct()
 
 
 def complete(tree: DataFrame, anc: DataFrame, sets: DataFrame, most_rounds: int = 100) -> DataFrame:
@@ -187,17 +207,20 @@ def input_variables(uses: DataFrame, definitions: DataFrame, sets: DataFrame, gl
 
 
 def slice_features(lines: DataFrame, criteria: DataFrame, anc: DataFrame, members: DataFrame) -> DataFrame:
-    """(crit, file, line, same_var, var_type, distance, ast_distance, level, uses_global, in_slice) for every line of the criterion's function.
+    """(crit, file, line, same_var, var_type, distance, ast_distance, to_lca, criterion_to_lca, level, uses_global, in_slice) for every
+    line of the criterion's function: tree distances are null where no node is above both.
 
     lines: (file, function, line, node_id, variables array, var_type, uses_global); criteria: (crit, file, line);
     members: (crit, file, line) of the slice.
     """
     crit = criteria.join(lines.select("file", "function", "line", F.col("node_id").alias("c_node"), F.col("variables").alias("c_vars")), ["file", "line"]).select("crit", "file", "function", F.col("line").alias("c_line"), "c_node", "c_vars")
     rows = crit.join(lines, ["file", "function"])
-    way = distance(anc, rows.select(F.col("c_node").alias("a"), F.col("node_id").alias("b")))
-    level = depths(anc).toDF("lca", "level")
-    rows = rows.join(way, (rows["c_node"] == way["a"]) & (rows["node_id"] == way["b"]), "left").join(level, "lca", "left")
+    left, right = anc.toDF("c_node", "anc", "up_c"), anc.toDF("node_id", "anc", "up_n")
+    met = rows.select("c_node", "node_id").distinct().join(left, "c_node").join(right, ["node_id", "anc"])
+    way = met.groupBy("c_node", "node_id").agg(F.min_by(F.struct("anc", "up_c", "up_n"), "up_c").alias("way")).select("c_node", "node_id", F.col("way.anc").alias("lca"), F.col("way.up_c").alias("up_c"), F.col("way.up_n").alias("up_n"))
+    rows = rows.join(way, ["c_node", "node_id"], "left").join(depths(anc).toDF("lca", "level"), "lca", "left")
     hit = members.select("crit", "file", "line", F.lit(True).alias("hit")).distinct()
     return rows.join(hit, ["crit", "file", "line"], "left").select(
-        "crit", "file", "line", F.arrays_overlap("variables", "c_vars").cast("int").alias("same_var"), "var_type", F.abs(F.col("line") - F.col("c_line")).alias("distance"), way["distance"].alias("ast_distance"), "level", "uses_global", F.coalesce("hit", F.lit(False)).alias("in_slice")
-    )
+        "crit", "file", "line", F.arrays_overlap("variables", "c_vars").cast("int").alias("same_var"), "var_type", F.abs(F.col("line") - F.col("c_line")).alias("distance"), (F.col("up_c") + F.col("up_n")).alias("ast_distance"),
+        F.col("up_n").alias("to_lca"), F.col("up_c").alias("criterion_to_lca"), "level", "uses_global", F.coalesce("hit", F.lit(False)).alias("in_slice"),
+    )

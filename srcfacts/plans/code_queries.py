@@ -14,12 +14,12 @@ from srcfacts.plans.registry import add
 from srcfacts.sources import files as S
 
 # --- graphs
-_SEEDS = "SELECT src AS q, src AS node FROM edges"
-_CLOSURE = "c(q, node) AS (SELECT src, src FROM edges UNION SELECT q, dst FROM c JOIN edges ON src = node)"
+_CLOSURE = "c(q, node) AS (SELECT o_orderkey, o_orderkey FROM orders WHERE o_orderstatus = 'P' UNION SELECT q, dst FROM c JOIN edges ON src = node)"
 
 
 def _seeds(i):
-    return i.edges().select(F.col("src").alias("q"), F.col("src").alias("node"))
+    """Orders still open in part: each asks for all that it leads to."""
+    return _partial(i).select(F.col("node").alias("q"), "node")
 
 
 def _partial(i):
@@ -55,6 +55,14 @@ def _functions(i):
 _CALLS = "SELECT o_orderkey AS src, o_custkey * 2 + 1000000 AS dst, 'Call' AS label FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus = 'P' UNION ALL SELECT o_custkey * 2 + 1000001, o_orderkey, 'Return' FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus = 'P'"
 add("j11_call_edges", lambda i: G.call_edges(_sites(i), _functions(i)), _CALLS)
 add("g09_icfg", lambda i: G.icfg(i.edges(), _sites(i), _functions(i)), f"SELECT src, dst, label FROM edges UNION ALL SELECT * FROM ({_CALLS})")
+def _bodies(i):
+    """The edges with a way through each function."""
+    return G.union(i.edges(), _functions(i).select(F.col("entry").alias("src"), F.col("exit").alias("dst"), F.lit("body").alias("label")))
+
+
+add("g09_icfg_without_ends", lambda i: G.icfg(_bodies(i), _sites(i), _functions(i), remove_ends=True), f"""WITH s AS (SELECT o_orderkey AS node, o_custkey AS fn FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus = 'P'),
+ u AS (SELECT src, dst, label, 0 AS pos FROM edges WHERE (src, dst) NOT IN (SELECT (c_custkey * 2 + 1000000, c_custkey * 2 + 1000001) FROM customer) UNION ALL SELECT a.node, b.node, 'Return', 1 FROM s a JOIN s b USING (fn))
+ SELECT src, dst, arg_min(label, pos) AS label FROM u GROUP BY 1, 2""")
 add("g08_eliminate_callsites", lambda i: G.icfg(i.edges(), _sites(i), _functions(i), remove_sites=True), f"""WITH calls AS ({_CALLS}),
  u AS (SELECT src, dst, label, 0 AS pos FROM edges WHERE src NOT IN {_GONE} AND dst NOT IN {_GONE}
  UNION ALL SELECT e.src, c.dst, 'enter', 1 FROM edges e JOIN calls c ON c.src = e.dst AND c.label = 'Call' WHERE e.src NOT IN {_GONE}
@@ -123,7 +131,27 @@ def _roled(i):
 
 
 _ROLED = "(SELECT *, substring(kind, 1, 7) AS k, CASE WHEN size < 20 THEN 'a' WHEN size < 30 THEN 'b' ELSE 'c' END AS role FROM tree)"
-add("t09_mandatory", lambda i: T.mandatory(_roled(i), _sets(i), _ROLES), f"SELECT DISTINCT p.size AS q, c.node_id FROM {_ROLED} p JOIN {_ROLED} c ON c.parent_id = p.node_id WHERE (p.k = 'Brand#1' AND c.role IN ('a', 'b')) OR (p.k = 'Brand#2' AND c.role = 'c')")
+_KINDS = ["function", "compound", "if", "switch", "case", "default", "for", "while", "do", "return", "expr"]
+_CHILD_ROLES = ["keyword", "condition", "then", "else keyword", "else", "body", "while", "value", "brace", "case", "type", "name", "parameters"]
+
+
+def _grammar(i):
+    """The tree with kinds and roles of a language's grammar."""
+    pick = lambda names, n: F.get(F.array(*map(F.lit, names)), (F.col(n) % len(names)).cast("int"))
+    return i.tree().withColumn("kind", pick(_KINDS, "size")).withColumn("role", pick(_CHILD_ROLES, "node_id"))
+
+
+def _thirds(i):
+    return i.tree().where("size % 3 <> 0").select((F.col("size") % 3).alias("q"), "node_id").union(i.tree().select(F.lit(7).cast("long").alias("q"), "node_id"))
+
+
+_CALLED = "(" + ", ".join(f"('{k}', '{r}', {repr(w) if w else 'NULL'})" for k, r, w in T.MANDATORY).join(["VALUES ", ") m(parent_kind, role, needs)"])
+add("t09_mandatory", lambda i: T.mandatory(_grammar(i), _thirds(i)), f"""WITH g AS (SELECT node_id, parent_id, {_KINDS}[size % {len(_KINDS)} + 1] AS kind, {_CHILD_ROLES}[node_id % {len(_CHILD_ROLES)} + 1] AS role, size FROM tree),
+ s AS (SELECT size % 3 AS q, g.* FROM g WHERE size % 3 <> 0 UNION ALL SELECT 7, g.* FROM g),
+ k AS (SELECT p.q, p.node_id, p.kind, count(c.node_id) AS n, max(c.role) AS only_role, list(c.role) AS roles, max(c.node_id) AS child FROM s p LEFT JOIN s c ON c.q = p.q AND c.parent_id = p.node_id GROUP BY 1, 2, 3),
+ a AS (SELECT * FROM k WHERE NOT (n = 1 AND ((kind = 'compound' AND only_role <> 'brace') OR (kind = 'if' AND only_role IN ('then', 'else')) OR (kind IN ('for', 'while', 'do') AND only_role = 'body')
+  OR (kind = 'switch' AND only_role = 'case' AND NOT EXISTS (SELECT 1 FROM s o WHERE o.q = k.q AND o.parent_id = k.child AND o.role IN ('brace', 'keyword', 'condition'))))))
+ SELECT DISTINCT a.q, g.node_id FROM a JOIN {_CALLED} ON m.parent_kind = a.kind JOIN g ON g.parent_id = a.node_id AND g.role = m.role WHERE m.needs IS NULL OR list_contains(a.roles, m.needs)""")
 add("t10_function_headers", lambda i: T.function_headers(_roled(i), T.ancestors(i.tree()), _sets(i), "Brand#3", ("a",)), f"""WITH f AS (SELECT DISTINCT s.size AS q, a.anc AS fn FROM tree s JOIN anc a USING (node_id) JOIN tree k ON k.node_id = a.anc AND k.kind LIKE 'Brand#3%'), w AS (SELECT * FROM f WHERE q IN (SELECT q FROM f GROUP BY q HAVING count(*) >= 2))
  SELECT size AS q, node_id FROM tree UNION SELECT q, fn FROM w UNION SELECT q, c.node_id FROM w JOIN {_ROLED} c ON c.parent_id = fn AND c.role = 'a'""")
 add("t11_kind_path", lambda i: T.kind_path(i.tree(), T.ancestors(i.tree())), "SELECT a.node_id, string_agg(t.kind, '/' ORDER BY a.up DESC) AS path FROM anc a JOIN tree t ON t.node_id = a.anc GROUP BY 1")
@@ -146,6 +174,17 @@ add("t12_input_variables", lambda i: T.input_variables(i.tree().select("node_id"
     """WITH u AS (SELECT s.size AS q, CAST(s.size % 10 AS VARCHAR) AS name, s.parent_id AS d FROM tree s WHERE s.parent_id IS NULL OR (s.size, s.parent_id) NOT IN (SELECT (size, node_id) FROM tree))
  SELECT q, name, CASE WHEN bool_or(d IS NOT NULL) THEN 'local' WHEN name IN (SELECT CAST(r_regionkey AS VARCHAR) FROM region) THEN 'global' ELSE 'unknown' END AS source FROM u GROUP BY q, name""")
 
+def _feature_lines(i):
+    """Nodes as lines: a file of the tree is a file, sizes below and from 25 are its two functions."""
+    return i.tree().select("file", F.when(F.col("size") < 25, "f").otherwise("g").alias("function"), F.col("node_id").alias("line"), "node_id", F.array((F.col("size") % 10).cast("string"), (F.col("node_id") % 10).cast("string")).alias("variables"), (F.col("size") % 4).alias("var_type"), (F.col("size") % 2 == 0).alias("uses_global"))
+
+
+add("t14_slice_features", lambda i: T.slice_features(_feature_lines(i), i.tree().where("kind = 'Brand#11'").select(F.col("node_id").alias("crit"), "file", F.col("node_id").alias("line")), T.ancestors(i.tree()), i.tree().where("parent_id is not null").select(F.col("parent_id").alias("crit"), "file", F.col("node_id").alias("line"))), """WITH l AS (SELECT *, size < 25 AS fn FROM tree),
+ p AS (SELECT c.node_id AS crit, t.node_id AS line, c.size AS cs, t.size AS ts, t.file, t.parent_id FROM l c JOIN l t ON t.file = c.file AND t.fn = c.fn WHERE c.kind = 'Brand#11'),
+ w AS (SELECT p.crit, p.line, arg_min(x.anc, x.up) AS lca, min(x.up) + min(y.up) AS d, min(x.up) AS cl, min(y.up) AS tl FROM p JOIN anc x ON x.node_id = p.crit JOIN anc y ON y.node_id = p.line AND y.anc = x.anc GROUP BY 1, 2)
+ SELECT p.crit, p.file, p.line, (cs % 10 IN (ts % 10, p.line % 10) OR p.crit % 10 IN (ts % 10, p.line % 10))::INT AS same_var, ts % 4 AS var_type, abs(p.line - p.crit) AS distance, w.d AS ast_distance, w.tl AS to_lca, w.cl AS criterion_to_lca, z.depth AS level, ts % 2 = 0 AS uses_global, coalesce(p.parent_id = p.crit, FALSE) AS in_slice
+ FROM p LEFT JOIN w USING (crit, line) LEFT JOIN depths z ON z.node_id = w.lca""")
+
 # --- spans
 add("j02_enclosing", lambda i: K.enclosing(i.intervals(), 256), 'SELECT s.id AS src, o.id AS dst FROM intervals s JOIN intervals o ON o.file = s.file AND (o.begin, -o."end", o.id) < (s.begin, -s."end", s.id) AND s.begin < o."end" AND s.begin <= o."end" AND o.begin <= s."end"')
 
@@ -179,13 +218,13 @@ _USED = f"(SELECT id, name, unnest(list_distinct({_IDS})) AS key FROM {_CODE})"
 add("x01_identifiers", lambda i: _ascii_docs(i).select("id", F.array_sort(X.identifiers(F.col("code"))).alias("names")), f"SELECT id, list_sort(list_filter(list_distinct({_IDS}), lambda x: x NOT IN ({_KEY_LIST}))) AS names FROM {_CODE}")
 
 
-def _rare_keys(i):
-    """A word that few documents hold is a key of the first of them."""
+def _shared_words(i):
+    """A word that two documents or more hold is a key of the first of them."""
     used = _ascii_docs(i).select("id", F.explode(X.identifiers(F.col("code"))).alias("key"))
-    return used.groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("n")).where("n between 2 and 5").select("id", "key")
+    return used.groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("n")).where("n >= 2").select("id", "key")
 
 
-add("j01_dependences", lambda i: K.dependences(_ascii_docs(i), _rare_keys(i)), f"""WITH u AS (SELECT * FROM {_USED} WHERE key NOT IN ({_KEY_LIST})), k AS (SELECT key, min(id) AS id FROM u GROUP BY 1 HAVING count(*) BETWEEN 2 AND 5)
+add("j01_dependences", lambda i: K.dependences(_ascii_docs(i), _shared_words(i)), f"""WITH u AS (SELECT * FROM {_USED} WHERE key NOT IN ({_KEY_LIST})), k AS (SELECT key, min(id) AS id FROM u GROUP BY 1 HAVING count(*) >= 2)
  SELECT DISTINCT u.id AS src, k.id AS dst FROM u JOIN k USING (key) WHERE u.id <> k.id AND key <> u.name""")
 add("t13_p07_lookup", lambda i: K.lookup(i.table("part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("kind")), i.table("part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("key")), ["PROMO", "ECONOMY"], ["Brand#11", "Brand#23"]), "SELECT p_partkey AS id, p_brand AS kind FROM part WHERE p_type IN ('PROMO', 'ECONOMY') AND p_brand IN ('Brand#11', 'Brand#23')")
 _HREF = """(SELECT page_id, url, unnest(list_distinct(regexp_extract_all(html, 'href="/([^"]+)"', 1))) AS target FROM pages)"""
@@ -241,12 +280,35 @@ add("a19_clone_summary", lambda i: C.summary(C.compare(_fragments(i), _fragment_
 
 # --- samples
 _H = "(({0}) % 2147483648 * 1103515245 + 12345) % 2147483648"
-add("r01_random_selections", lambda i: R.random_selections(i.table("documents").select(F.col("source").alias("function"), F.col("doc_id").alias("id")), 3, 1000000).withColumnRenamed("sel_id", "function"), f"SELECT source AS function, doc_id AS id FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY {_H.format('doc_id')}, doc_id) AS n, count(*) OVER (PARTITION BY source) AS c FROM documents) WHERE n <= 3 AND c >= 3")
+_TWICE = lambda x: _H.format(_H.format(x))
+_TOKENS = "(SELECT source AS function, doc_id AS id FROM documents)"
+
+
+def _tokens(i):
+    return i.table("documents").select(F.col("source").alias("function"), F.col("doc_id").alias("id"))
+
+
+add("r01_random_selections", lambda i: R.random_selections(_tokens(i), 3, 200), f"""WITH f AS (SELECT function, row_number() OVER (ORDER BY function) - 1 AS nth, count(*) OVER () AS m FROM (SELECT function FROM {_TOKENS} GROUP BY 1 HAVING function IS NOT NULL AND count(*) >= 3)),
+ s AS (SELECT r.range AS sel_id, function FROM range(200) r JOIN f ON nth = {_TWICE("r.range * 4099")} % m)
+ SELECT sel_id, id FROM (SELECT sel_id, id, row_number() OVER (PARTITION BY sel_id ORDER BY {_TWICE("id + sel_id")}, id) AS n FROM s JOIN {_TOKENS} t USING (function)) WHERE n <= 3""")
+_POOL = f"""WITH n AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS nth, count(*) OVER () AS m FROM {{0}}),
+ d AS (SELECT r.range AS sel_id, j.range AS j, {_TWICE("r.range * 4099 + j.range")} % (SELECT max(m) FROM n) AS nth FROM range(200) r, range(113) j),
+ f AS (SELECT sel_id, nth, row_number() OVER (PARTITION BY sel_id ORDER BY min(j)) AS k FROM d GROUP BY 1, 2) SELECT sel_id, id FROM f JOIN n USING (nth) WHERE k <= 3"""
+add("r01_selections_in_functions", lambda i: R.random_selections(_tokens(i), 3, 200, "functions"), _POOL.format(f"(SELECT * FROM {_TOKENS} WHERE function IS NOT NULL)"))
+add("r01_selections_of_all", lambda i: R.random_selections(_tokens(i), 3, 200, "all"), _POOL.format(_TOKENS))
 add("r02_proportional", lambda i: R.proportional(i.table("documents").select("doc_id", "source"), "source", "doc_id", 1000), f"SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY {_H.format('doc_id')}, doc_id) AS n, count(*) OVER (PARTITION BY source) AS c, count(*) OVER () AS t FROM documents) WHERE n <= c * 1000 // t")
 add("r03_per_group", lambda i: R.per_group(i.table("lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.count("*").alias("n")), "l_suppkey", "l_orderkey", 20, seed=9), f"SELECT l_orderkey, l_suppkey, n FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY {_H.format('l_orderkey + 9')}, l_orderkey) AS k FROM (SELECT l_orderkey, l_suppkey, count(*) AS n FROM lineitem GROUP BY 1, 2)) WHERE k <= 20")
 add("r07_at_most", lambda i: R.at_most(i.table("orders").select("o_orderkey"), "o_orderkey", 100), f"SELECT o_orderkey FROM orders ORDER BY {_H.format('o_orderkey')}, o_orderkey LIMIT 100")
 add("r08_one_in", lambda i: R.one_in(i.table("orders").select("o_orderkey"), "o_orderkey", 5, done=i.table("orders").where("o_orderstatus = 'F'").select("o_orderkey")), f"SELECT o_orderkey FROM orders WHERE {_H.format('o_orderkey')} % 5 = 0 AND o_orderstatus <> 'F'")
-add("r04_random_values", lambda i: R.random_values(i.table("orders").select(F.col("o_orderkey").alias("test")), i.spark.createDataFrame([(n, t) for n, t in zip("abcdef", ["int", "char", "bool", "string", "array", "pointer"])], "name string, type string")))
+_VARIABLES = [(n, t) for n, t in zip("abcdef", ["int", "char", "bool", "string", "array", "pointer"])]
+_DRAW = lambda i: _H.format(f"{_H.format(_H.format('test') + ' + place * 7919')} + {i}")
+_BELOW = lambda i, n: f"({_DRAW(i)} // 1024 % {n})"
+add("r04_random_values", lambda i: R.random_values(i.table("orders").select(F.col("o_orderkey").alias("test")), i.spark.createDataFrame(_VARIABLES, "name string, type string")), f"""SELECT test, name, type, CASE type WHEN 'int' THEN CAST({_BELOW(0, 201)} - 100 AS VARCHAR) WHEN 'char' THEN chr(CAST(97 + {_BELOW(0, 26)} AS INTEGER)) WHEN 'bool' THEN CAST({_BELOW(0, 2)} AS VARCHAR)
+ WHEN 'string' THEN substring({" || ".join(f"chr(CAST(97 + {_BELOW(i, 26)} AS INTEGER))" for i in range(2, 12))}, 1, {_BELOW(1, 11)}) WHEN 'array' THEN {" || ',' || ".join(f"({_BELOW(i, 201)} - 100)" for i in range(4))}
+ ELSE CASE WHEN {_BELOW(0, 100)} < 10 THEN '(nil)' ELSE '0x' || lower(to_hex({_DRAW(1)} + 4096)) END END AS value
+ FROM (SELECT o_orderkey AS test FROM orders), (VALUES {", ".join(f"('{n}', '{t}', {k})" for k, (n, t) in enumerate(_VARIABLES))}) v(name, type, place)""")
+add("r05_corner_values", lambda i: R.corner_values(i.table("orders").withColumn("size", F.col("o_orderkey") % 100 + 1), "o_orderkey", "o_custkey", "size"), f"""SELECT DISTINCT o_orderkey, unnest([v - 2, v - 1, v, v + 1, v + 2]) AS value
+ FROM (SELECT o_orderkey, unnest([o_custkey, o_orderkey % 100 + 1, {", ".join(map(str, R.POWERS))}]) AS v FROM orders)""")
 
 
 def _test_rows(i):
@@ -254,13 +316,22 @@ def _test_rows(i):
 
 
 _TESTS = "(SELECT o_orderkey AS test, 'prio' AS name, o_orderpriority AS value FROM orders UNION ALL SELECT o_orderkey, 'status', o_orderstatus FROM orders UNION ALL SELECT o_orderkey, 'day', CAST(o_custkey % 7 AS VARCHAR) FROM orders)"
-add("a21_pair_coverage", lambda i: R.pair_coverage(_test_rows(i)), f"""WITH t AS (SELECT * FROM {_TESTS}), k AS (SELECT DISTINCT name, value FROM t) SELECT a.name AS name1, a.value AS value1, b.name AS name2, b.value AS value2, count(x.test) AS n, coalesce(list(x.test ORDER BY x.test) FILTER (x.test IS NOT NULL), []) AS tests
- FROM k a JOIN k b ON a.name < b.name LEFT JOIN (SELECT p.test, p.name AS n1, p.value AS v1, q.name AS n2, q.value AS v2 FROM t p JOIN t q ON p.test = q.test) x ON n1 = a.name AND v1 = a.value AND n2 = b.name AND v2 = b.value GROUP BY 1, 2, 3, 4""")
-add("r05_r06_pairwise_pool", lambda i: R.pairwise_pool(_test_rows(i).select("name", "value").distinct()))
+_COVERED = "SELECT p.name AS name1, p.value AS value1, q.name AS name2, q.value AS value2, p.test FROM t p JOIN t q ON p.test = q.test AND p.name < q.name"
+add("a21_pair_coverage", lambda i: R.pair_coverage(_test_rows(i)), f"""WITH t AS (SELECT * FROM {_TESTS}), k AS (SELECT DISTINCT name, value FROM t) SELECT a.name AS name1, a.value AS value1, b.name AS name2, b.value AS value2, count(x.test) AS n
+ FROM k a JOIN k b ON a.name < b.name LEFT JOIN ({_COVERED}) x ON x.name1 = a.name AND x.value1 = a.value AND x.name2 = b.name AND x.value2 = b.value GROUP BY 1, 2, 3, 4""")
+add("a21_pair_cases", lambda i: R.pair_cases(_test_rows(i)), f"WITH t AS (SELECT * FROM {_TESTS}) {_COVERED}")
+add("r06_pairwise_pool", lambda i: R.pairwise_pool(_test_rows(i).select("name", "value").distinct()), f"""WITH k AS (SELECT DISTINCT name, value FROM {_TESTS}), n AS (SELECT name, list(value ORDER BY value) AS vs FROM k GROUP BY 1),
+ p AS (SELECT a.name || '=' || a.value || ',' || b.name || '=' || b.value AS test, a.name AS n1, a.value AS v1, b.name AS n2, b.value AS v2 FROM k a JOIN k b ON a.name < b.name)
+ SELECT test, name, CASE name WHEN n1 THEN v1 WHEN n2 THEN v2 ELSE vs[('0x' || substring(md5(test || '|' || name), 1, 8))::BIGINT % len(vs) + 1] END AS value FROM p, n""")
 
 # --- exports
 add("s21_graph_dot", lambda i: S.graph_to_text(i.table("part").select((F.col("p_partkey") + 1).alias("id"), F.col("p_brand").alias("label")), i.dag().withColumn("label", F.lit("up")), "dot"), """SELECT 'digraph {' AS value UNION ALL SELECT '}' UNION ALL SELECT '  "' || (p_partkey + 1) || '" [label="' || p_brand || '"];' FROM part
  UNION ALL SELECT '  "' || src || '" -> "' || dst || '" [label="up"];' FROM dag""")
+_NODES = lambda i: i.table("part").select((F.col("p_partkey") + 1).alias("id"), F.concat(F.col("p_brand"), F.lit(' <&"')).alias("label"))
+add("s21_graph_grs", lambda i: S.graph_to_text(_NODES(i), i.dag().withColumn("label", F.lit("up")), "grs"), """SELECT 'new graph' AS value UNION ALL SELECT 'show graph' UNION ALL SELECT 'new :Node($="' || (p_partkey + 1) || '", label="' || p_brand || ' <&\\"")' FROM part
+ UNION ALL SELECT 'new @("' || src || '")-:Edge(label="up")->@("' || dst || '")' FROM dag""")
+add("s21_graph_xml", lambda i: S.graph_to_text(_NODES(i), i.dag().withColumn("label", F.when(F.col("src") % 2 == 0, "back").otherwise("up")), "xml"), """SELECT '<graph>' AS value UNION ALL SELECT '</graph>' UNION ALL SELECT '  <node id="' || (p_partkey + 1) || '" type="' || p_brand || ' &lt;&amp;&quot;"/>' FROM part
+ UNION ALL SELECT '  <edge from="' || src || '" to="' || dst || '" type="' || CASE src % 2 WHEN 0 THEN 'backward' ELSE 'forward' END || '" label="' || CASE src % 2 WHEN 0 THEN 'back' ELSE 'up' END || '"/>' FROM dag""")
 add("s22_benchmark_of", lambda i: i.table("pages").select("page_id", S.benchmark_of(F.col("url"), "https:/").alias("bench")), "SELECT page_id, string_split(CASE WHEN starts_with(url, 'https:/') THEN substring(url, 8) ELSE url END, '/')[1] AS bench FROM pages")
 add("t03_dense_tokens", lambda i: T.dense_tokens(i.tree(), ["node_id"]).select("node_id", F.col("token").cast("long").alias("token")), "SELECT node_id, row_number() OVER (ORDER BY file, node_id) - 1 AS token FROM tree WHERE node_id NOT IN (SELECT parent_id FROM tree WHERE parent_id IS NOT NULL)")
 add("x03_span_to_semicolon", lambda i: i.table("part").select("p_partkey", X.span_to_semicolon(F.concat(F.lit("int a\n = "), "p_size", F.lit("; b")), F.struct(F.lit(1).alias("line"), F.lit(1).alias("col")), F.struct(F.lit(1).alias("line"), F.lit(5).alias("col"))).alias("code")), "SELECT p_partkey, 'int a' || chr(10) || ' = ' || p_size || ';' AS code FROM part")

@@ -36,14 +36,17 @@ add("a11_loc_and_asserts", lambda i: E.loc_and_asserts(_pages_lines(i).select("s
 
 
 def _repos(i):
-    """A repository per user: bytes by language from the kinds of its events."""
-    counts = i.table("events").groupBy("user_id", F.when(F.col("event_type") == "view", "C").when(F.col("event_type") == "error", "Java").otherwise("make").alias("lang")).agg((F.count("*") * 1000).alias("n"))
-    return counts.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("languages"), (F.sum("n") / 100).cast("long").alias("size")).withColumnRenamed("user_id", "name")
+    """A repository per user: bytes by language from the kinds of its events, errors in a language of the user's own."""
+    own = F.get(F.array(*map(F.lit, _LANGUAGES)), F.pmod("user_id", F.lit(len(_LANGUAGES))).cast("int"))
+    kind = F.when(F.col("event_type") == "view", "C").when(F.col("event_type") == "error", own).otherwise("make")
+    counts = i.table("events").groupBy("user_id", kind.alias("lang")).agg(F.sum(F.when(F.col("event_type") == "view", 3000).otherwise(200)).alias("n"), F.count("*").alias("k"))
+    return counts.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("languages"), (F.sum("k") * 5).alias("size")).withColumnRenamed("user_id", "name")
 
 
-_REPOS = "(SELECT user_id AS name, sum((event_type = 'view')::INT) * 1000 AS c, sum((event_type = 'error')::INT) AS java, count(*) * 1000 AS total, count(*) * 10 AS size FROM events GROUP BY 1)"
+_LANGUAGES = ["Objective-C", "C++", "Ruby", "Java", "JavaScript", "Python", "Go"]
+_REPOS = f"(SELECT user_id AS name, sum((event_type = 'view')::INT) * 3000 AS c, sum((event_type = 'error')::INT) AS errors, {_LANGUAGES}[user_id % {len(_LANGUAGES)} + 1] AS language, sum(CASE event_type WHEN 'view' THEN 3000 ELSE 200 END) AS total, count(*) * 5 AS size FROM events GROUP BY 1)"
 add("a12_language_share", lambda i: E.language_share(_repos(i), "languages", "C").select("name", "size", "share"), f"SELECT name, size, c / total AS share FROM {_REPOS}")
-add("p05_c_repositories", lambda i: E.filter_c_repos(_repos(i), others=("Java",), least_share=0.3).select("name", "size"), f"SELECT name, size FROM {_REPOS} WHERE c > 0 AND java = 0 AND c / total >= 0.3 AND c <= 100000 AND size <= 1000")
+add("p05_c_repositories", lambda i: E.filter_c_repos(_repos(i)).select("name", "size"), f"SELECT name, size FROM {_REPOS} WHERE c > 0 AND NOT (errors > 0 AND language IN ('Objective-C', 'C++', 'Ruby', 'Java', 'JavaScript')) AND c / total >= 0.7 AND c <= 100000 AND size <= 1000")
 add("p06_healthy", lambda i: E.healthy(i.builds().select("id", F.when(F.col("outcome") == "F", True).when(F.col("outcome") == "O", None).otherwise(False).alias("ok"), F.col("size").alias("br")), ["ok"], least=3), "SELECT id, CASE outcome WHEN 'F' THEN TRUE END AS ok, size AS br FROM builds WHERE outcome <> 'P' AND size >= 3")
 add("a13_o04_top_projects", lambda i: E.top_projects(i.builds(), "project", "size"), "SELECT project, sum(size) AS total FROM builds GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 30")
 add("a13_above", lambda i: E.top_projects(i.builds(), "project", "size", min_sum=60), "SELECT project, sum(size) AS total FROM builds GROUP BY 1 HAVING sum(size) > 60")

@@ -43,7 +43,7 @@ add("w04_written_with_counts", lambda i: L.written_with_counts(_counts_log(i), o
  SELECT user_id AS file, event_id, event_type, last_value(CASE event_type WHEN 'view' THEN CAST(floor(value) AS BIGINT) % 3 END IGNORE NULLS) OVER w AS n_input,
  last_value(CASE event_type WHEN 'view' THEN CAST(floor(value) AS BIGINT) % 4 END IGNORE NULLS) OVER w AS n_output FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))
  WHERE event_type = 'purchase' AND n_input > 0 AND n_output > 0""")
-add("w05_dense_numbers", lambda i: L.number_rows(i.table("orders").select("o_custkey", "o_orderkey"), "o_custkey", ["o_orderkey"], "id", 0).withColumn("id", F.col("id").cast("long")), "SELECT o_custkey, o_orderkey, row_number() OVER (ORDER BY o_custkey, o_orderkey) - 1 AS id FROM orders")
+add("w05_dense_numbers", lambda i: L.number_rows(i.table("orders").select("o_custkey", "o_orderkey"), ["o_custkey", "o_orderkey"], "id", 0).withColumn("id", F.col("id").cast("long")), "SELECT o_custkey, o_orderkey, row_number() OVER (ORDER BY o_custkey, o_orderkey) - 1 AS id FROM orders")
 add("w06_first_error", lambda i: L.first_after(i.log(), "INPUT_SPEC", "FAILURE", ORDER), f"""SELECT file, ts, event_id, line, CAST(block AS BIGINT) AS block FROM (SELECT *, row_number() OVER (PARTITION BY file, block ORDER BY ts, event_id) AS nth FROM (
  SELECT *, sum(CASE line WHEN 'INPUT_SPEC' THEN 1 ELSE 0 END) OVER ({_W} ROWS UNBOUNDED PRECEDING) AS block FROM log) WHERE block > 0 AND line = 'TEST_FAILURE') WHERE nth = 1""")
 

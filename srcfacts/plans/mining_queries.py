@@ -41,11 +41,12 @@ add("m05_linear_two", lambda i: M.linear_two(i.trace()), """WITH s AS (SELECT p.
  SELECT seg, y, x1, x2, CAST(k1 AS BIGINT) AS slope1, CAST(k2 AS BIGINT) AS slope2, round(CAST(sc - k1 * sa - k2 * sb AS DOUBLE) / n, 3) AS intercept, n FROM k WHERE k1 <> 0 AND k2 <> 0 AND k1 * vac + k2 * vbc = vcc""")
 add("m06_argument_outputs", lambda i: M.argument_outputs(i.trace()), """SELECT o.seg, y, count(*) AS n, sum(CASE WHEN a.xv IS NULL THEN 1 ELSE 0 END) AS missed FROM outs o LEFT JOIN (SELECT DISTINCT seg, test, xv FROM ins WHERE contains(x, 'argv')) a
  ON a.seg = o.seg AND a.test = o.test AND a.xv = o.yv GROUP BY 1, 2 HAVING count(*) >= 3 AND sum(CASE WHEN a.xv IS NULL THEN 1 ELSE 0 END) < 0.1 * count(*)""")
-_REL = "SELECT seg, x, y, count(*) AS confidence, bool_and(a = b) AS eq, bool_and(a <= b) AS le, bool_and(a >= b) AS ge, bool_and(a < b) AS lt, bool_and(a > b) AS gt FROM (SELECT seg, x, y, CAST(xv AS BIGINT) AS a, CAST(yv AS BIGINT) AS b FROM pairs WHERE NOT contains(x, 'addr') AND NOT contains(y, 'addr')) GROUP BY 1, 2, 3 HAVING count(*) >= 2"
-add("m07_relations", lambda i: M.relations(i.trace().where("key not like 'addr%'")), f"SELECT seg, x, y, CASE WHEN eq THEN '=' WHEN le THEN '<=' ELSE '>=' END AS op, confidence FROM ({_REL}) WHERE eq OR le OR ge")
-add("m07_relations_strict", lambda i: M.relations(i.trace().where("key not like 'addr%'"), strict=True), f"SELECT seg, x, y, CASE WHEN eq THEN '=' WHEN lt THEN '<' WHEN gt THEN '>' WHEN le THEN '<=' ELSE '>=' END AS op, confidence FROM ({_REL}) WHERE eq OR le OR ge")
-add("m08_distances", lambda i: M.distances(i.trace().where("key <> 'addr_n'")), """SELECT seg, x, y, CAST(min(d) AS BIGINT) AS distance, count(*) AS n FROM (SELECT seg, x, y, CASE WHEN contains(x, 'addr') THEN CASE WHEN xv = yv THEN 0 END ELSE CAST(yv AS BIGINT) - CAST(xv AS BIGINT) END AS d FROM pairs
- WHERE contains(x, 'addr') = contains(y, 'addr') AND y <> 'addr_n') GROUP BY 1, 2, 3 HAVING count(*) >= 2 AND min(d) = max(d)""")
+_NUMBER = lambda v: f"CASE WHEN {v} = '(nil)' THEN 0 ELSE CAST({v} AS BIGINT) END"  # noqa: E731  reads 0x.. as well
+_REL = f"SELECT seg, x, y, count(*) AS confidence, bool_and(a = b) AS eq, bool_and(a <= b) AS le, bool_and(a >= b) AS ge, bool_and(a < b) AS lt, bool_and(a > b) AS gt FROM (SELECT seg, x, y, {_NUMBER('xv')} AS a, {_NUMBER('yv')} AS b FROM pairs WHERE contains(x, 'addr') = contains(y, 'addr')) GROUP BY 1, 2, 3 HAVING count(*) >= 2"
+add("m07_relations", lambda i: M.relations(i.trace()), f"SELECT seg, x, y, CASE WHEN eq THEN '=' WHEN le THEN '<=' ELSE '>=' END AS op, confidence FROM ({_REL}) WHERE eq OR le OR ge")
+add("m07_relations_strict", lambda i: M.relations(i.trace(), strict=True), f"SELECT seg, x, y, CASE WHEN eq THEN '=' WHEN lt THEN '<' WHEN gt THEN '>' WHEN le THEN '<=' ELSE '>=' END AS op, confidence FROM ({_REL}) WHERE eq OR le OR ge")
+add("m08_distances", lambda i: M.distances(i.trace()), f"""SELECT seg, x, y, min(d) AS distance, count(*) AS n FROM (SELECT seg, x, y, {_NUMBER('yv')} - {_NUMBER('xv')} AS d FROM pairs
+ WHERE contains(x, 'addr') = contains(y, 'addr')) GROUP BY 1, 2, 3 HAVING count(*) >= 2 AND min(d) = max(d)""")
 add("m09_discovered_constants", lambda i: M.discovered_constants(i.trace()), "SELECT seg, key, min(v) AS value FROM numbers GROUP BY seg, side, key HAVING count(*) >= 2 AND min(v) = max(v)")
 add("m10_preconditions", lambda i: M.preconditions(i.trace()), """SELECT r.seg, x, constant, CASE WHEN low = constant AND high = constant THEN '=' WHEN high <= constant THEN '<=' ELSE '>=' END AS op
  FROM (SELECT seg, key AS x, min(v) AS low, max(v) AS high FROM numbers WHERE side = 'input' GROUP BY 1, 2 HAVING count(*) >= 2) r
@@ -57,6 +58,9 @@ add("m12_full_pairs", lambda i: M.full_pairs(i.trace()), """WITH f AS (SELECT se
  SELECT seg, x, y, CASE WHEN eq THEN '=' WHEN le THEN '<=' ELSE '>=' END AS op FROM (SELECT a.seg, a.key AS x, b.key AS y, bool_and(a.v = b.v) AS eq, bool_and(a.v <= b.v) AS le, bool_and(a.v >= b.v) AS ge FROM k a JOIN k b ON a.seg = b.seg AND a.test = b.test AND a.key < b.key GROUP BY 1, 2, 3) WHERE eq OR le OR ge""")
 add("m13_sign_facts", lambda i: M.sign_facts(i.trace()), """SELECT seg, side, key, CASE WHEN min(v) > 0 THEN '0<' WHEN min(v) >= 0 THEN '0<=' WHEN max(v) < 0 THEN '<0' ELSE '<=0' END AS fact FROM numbers GROUP BY 1, 2, 3 HAVING min(v) >= 0 OR max(v) <= 0
  UNION ALL SELECT seg, side, key, 'not null' FROM known WHERE contains(key, 'addr') GROUP BY 1, 2, 3 HAVING NOT bool_or(value IN ('(nil)', '0x0'))""")
+add("m13_pair_facts", lambda i: M.pair_facts(i.trace()), """WITH v AS (SELECT seg, test, side || '_' || key AS name, v FROM numbers), c AS (SELECT seg, name, count(*) AS n FROM v GROUP BY 1, 2),
+ r AS (SELECT a.seg, a.name AS x, b.name AS y, count(*) AS n, bool_and(a.v <= b.v) AS le, bool_or(a.v = b.v) AS eq FROM v a JOIN v b ON a.seg = b.seg AND a.test = b.test AND a.name <> b.name GROUP BY 1, 2, 3)
+ SELECT r.seg, x, y, CASE WHEN eq THEN '<=' ELSE '<' END AS fact FROM r JOIN c p ON p.seg = r.seg AND p.name = x JOIN c q ON q.seg = r.seg AND q.name = y WHERE le AND r.n >= 2 AND p.n = q.n""")
 add("m14_column_classes", lambda i: M.column_classes(i.trace()), "SELECT seg, side, key, CASE WHEN min(value) = max(value) THEN 'unchanged' WHEN bool_and(value IN ('0', '1')) THEN 'binary' ELSE 'changed' END AS class FROM known GROUP BY 1, 2, 3")
 add("m15_features", lambda i: M.features(i.runs().select("seg", "test", "qty", "line"), ["qty", "line"]), """SELECT seg, test, qty, line, CAST(qty AS DOUBLE) * line AS qty_x_line, CAST(qty AS DOUBLE) / nullif(line, 0) AS qty_by_line, CAST(line AS DOUBLE) / nullif(qty, 0) AS line_by_qty,
  CAST(qty AS DOUBLE) * qty AS qty_2, CAST(qty AS DOUBLE) * qty * qty AS qty_3, CAST(line AS DOUBLE) * line * line AS line_3 FROM runs""")

@@ -66,11 +66,35 @@ def test_regression(spark):
     rows = [{("input", "a"): str(a), ("input", "b"): str(b), ("input", "c"): str(2 * a), ("output", "y"): str(3 * a - 2 * b + 7), ("output", "z"): str(a * a)} for a, b in rng.integers(1, 50, (60, 2))]
     got = {r.y: r for r in R.least_squares(_trace(spark, rows)).collect()}
     assert got["output_y"].xs == ["input_a", "input_b"] and np.allclose(got["output_y"].slopes, [3, -2]) and abs(got["output_y"].intercept - 7) < 1e-6
-    sub = {r.y: r for r in R.subset_regression(_trace(spark, rows), least_r2=0.999).collect()}
-    assert sub["output_y"].xs == ["input_a", "input_b"] and "output_z" not in sub
+    sub = [(r.y, r.xs) for r in R.subset_regression(_trace(spark, rows), least_r2=0.999).collect()]
+    assert sorted(xs for y, xs in sub if y == "output_y") == [["input_a", "input_b"], ["input_b", "input_c"]]
+    assert ["input_a*input_a"] in [xs for y, xs in sub if y == "output_z"] and ["input_a"] not in [xs for y, xs in sub if y == "output_z"]
     bent = [{("input", "a"): str(a), ("input", "b"): str(b), ("output", "y"): str(a if a < 30 else 90 - 2 * a)} for a, b in zip(range(60), rng.permutation(60), strict=True)]
     best = R.piecewise(_trace(spark, bent)).first()
-    assert best.x == "a" and best.segments == 2 and best.r2 > 0.999
+    assert best.x == "a" and best.segments == 2 and best.r2 > 0.999 and best.breaks[0] in (29.0, 30.0)
+    flat = [{("input", "a"): str(a), ("output", "y"): "7"} for a in range(5)]
+    assert [(r.xs, r.intercept, r.r2) for r in R.least_squares(_trace(spark, flat)).collect()] == [([], 7.0, 1.0)]
+
+
+def test_all_subsets_and_polynomials(spark):
+    rng = np.random.default_rng(2)
+    rows = [{("input", "a"): str(a), ("input", "b"): str(b), ("output", "y"): str(5 * a), ("output", "p"): str((a - 25) * (b - 25))} for a, b in rng.integers(1, 50, (80, 2))]
+    got = R.subset_regression(_trace(spark, rows), least_r2=0.99).collect()
+    assert sorted(r.xs for r in got if r.y == "output_y") == [["input_a"], ["input_a", "input_b"]]
+    assert not [r for r in got if r.y == "output_p"]
+    square = [{("input", "a"): str(a), ("input", "b"): str(b), ("output", "p"): str(a * a - 3 * a * b)} for a, b in rng.integers(-50, 50, (80, 2))]
+    found = R.subset_regression(_trace(spark, square), least_r2=0.999).collect()
+    assert [(r.xs, [round(k, 6) for k in r.slopes]) for r in found] == [(["input_a*input_a", "input_a*input_b"], [1.0, -3.0])]
+    assert R.subset_regression(_trace(spark, square), least_r2=0.999, polynomial=False).count() == 0
+
+
+def test_piecewise_keeps_every_value(spark):
+    """Over a thousand distinct inputs: the break is where it is, and scatter isn't averaged away."""
+    rows = [{("input", "a"): str(a), ("output", "y"): str(a if a < 2345 else 2345 - 3 * (a - 2345))} for a in range(4000)]
+    best = R.piecewise(_trace(spark, rows)).first()
+    assert best.segments == 2 and best.r2 == 1.0 and best.breaks[0] in (2344.0, 2345.0)
+    noisy = [{("input", "a"): str(a), ("output", "y"): str((a * 7919) % 101)} for a in range(4000)]
+    assert R.piecewise(_trace(spark, noisy)).first().r2 < 0.05
 
 
 def test_graph_edges(spark):
@@ -126,13 +150,15 @@ def test_small_tables(spark):
     lib = spark.createDataFrame([(1, "p", "/usr/include/a/x.h"), (0, "q", "/opt/x.h")], "pos int, package string, header string")
     assert K.header_library(spark.createDataFrame([("x.h",)], "target string"), lib, ["/usr/include/a"]).first().package == "p"
     tests = spark.createDataFrame([(t, n, v) for t, row in enumerate([("purple", "Ford"), ("red", "VW"), ("purple", "Ford")], 2) for n, v in zip(("color", "car"), row, strict=True)], "test int, name string, value string")
-    cover = {(r.value1, r.value2): (r.n, r.tests) for r in N.pair_coverage(tests).collect()}
-    assert cover["Ford", "purple"] == (2, [2, 4]) and cover["VW", "purple"] == (0, [])
+    cover = {(r.value1, r.value2): r.n for r in N.pair_coverage(tests).collect()}
+    assert cover["Ford", "purple"] == 2 and cover["VW", "purple"] == 0
+    assert sorted(r.test for r in N.pair_cases(tests).where("value1 = 'Ford' and value2 = 'purple'").collect()) == [2, 4]
     pool = N.pairwise_pool(spark.createDataFrame([("a", "1"), ("a", "2"), ("b", "x"), ("c", "y"), ("c", "z")], "name string, value string"))
     assert pool.select("test").distinct().count() == 2 + 4 + 2 and pool.groupBy("test").count().where("count <> 3").count() == 0
     assert N.pairwise_pool(spark.createDataFrame([("a", "1"), ("a", "2")], "name string, value string")).count() == 2
-    corner = {r.value for r in N.corner_values(spark, [100], 64).collect()}
-    assert {98, 102, 512, 514, 62, 66, -2} <= corner
+    bases = spark.createDataFrame([("a", 100, 64), ("b", None, None)], "name string, base int, size int")
+    corner = {(r.name, r.value) for r in N.corner_values(bases, "name", "base", "size").collect()}
+    assert {("a", v) for v in (98, 102, 512, 514, 62, 66, -2)} | {("b", -2)} <= corner and ("b", 98) not in corner
     values = N.random_values(spark.range(50).withColumnRenamed("id", "test"), spark.createDataFrame([("s", "string"), ("i", "int")], "name string, type string"), low=-3, high=3)
     assert values.count() == 100 and values.where("type = 'int' and (int(value) < -3 or int(value) > 3)").count() == 0
     rate = E.build_rate(spark.createDataFrame([(1, True, True), (1, False, False), (1, True, False), (2, False, False)], "p int, b boolean, r boolean"), "p", F.col("b"), F.col("r"), 2)
@@ -149,3 +175,97 @@ def test_two_input_rules_of_large_segments(spark):
     trace = wide.select("seg", "test", F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.lit(k).alias("key"), v.cast("string").alias("value")) for s, k, v in cells])).alias("x")).select("seg", "test", "x.*")
     got = sorted(M.linear_two(trace).collect())
     assert [tuple(r) for r in got] == [(g, "int_y", "int_a", "int_b", 2, -3, 1.0, 5000) for g in range(40)]
+
+
+def test_repeated_keys_count_once(spark):
+    rows = [(1, t, s, k, v) for t in range(4) for s, k, v in [("input", "int_x", str(t)), ("input", "int_x", str(t + 1)), ("output", "int_y", str(t + 1)), ("output", "int_y", str(t)), ("input", "addr_p", "0x1"), ("output", "addr_p", "0x1"), ("output", "addr_p", "0x0")]]
+    trace = spark.createDataFrame(rows, "seg int, test int, side string, key string, value string")
+    assert [(r.x, r.y, r.op, r.confidence) for r in M.relations(trace).collect() if r.x == "int_x"] == [("int_x", "int_y", "=", 4)]
+    assert [r.n for r in M.address_copies(trace).collect()] == [4] and [r.distance for r in M.distances(trace).collect()] == [0, 0]
+    assert [r.n for r in M.linear(trace).collect()] == [4]
+
+
+def test_repository_filter_with_its_own_values(spark):
+    """The languages that rule a repository out, its share and its sizes."""
+    of = {"c": {"C": 900, "make": 100}, "ruby": {"C": 900, "Ruby": 1}, "js": {"C": 900, "JavaScript": 1}, "java": {"C": 900, "Java": 1}, "cpp": {"C": 900, "C++": 1}, "objc": {"C": 900, "Objective-C": 1}, "python": {"C": 700, "Python": 300}, "go": {"C": 900, "Go": 100}, "less": {"C": 699, "Python": 301}, "much": {"C": 100_001}, "none": {"Go": 5}}
+    rows = [(k, v, 1000) for k, v in of.items()] + [("large", {"C": 900}, 1001), ("empty", None, 1)]
+    df = spark.createDataFrame(rows, "name string, languages map<string,long>, size long")
+    assert sorted(r.name for r in E.filter_c_repos(df).collect()) == ["c", "go", "python"]
+
+
+def _grown(spark, rows):
+    """(node, parent, kind, role) as a tree."""
+    return spark.createDataFrame([(n, p, k, r) for n, p, k, r in rows], "node_id int, parent_id int, kind string, role string")
+
+
+@pytest.mark.parametrize(
+    ("kind", "roles", "selected", "called"),
+    [
+        ("if", ["keyword", "condition", "then"], ["condition"], ["keyword", "condition", "then"]),
+        ("if", ["keyword", "condition", "then"], ["then"], []),
+        ("if", ["keyword", "condition", "then", "else keyword", "else"], ["condition"], ["keyword", "condition", "then"]),
+        ("if", ["keyword", "condition", "then", "else keyword", "else"], ["else"], []),
+        ("if", ["keyword", "condition", "then", "else keyword", "else"], ["else", "condition"], ["keyword", "condition", "then", "else keyword", "else"]),
+        ("if", ["keyword", "condition", "then", "else keyword", "else"], ["else keyword"], ["keyword", "condition", "then", "else keyword", "else"]),
+        ("for", ["keyword", "init", "condition", "increment", "body"], ["init"], ["keyword", "body"]),
+        ("for", ["keyword", "init", "condition", "increment", "body"], ["body"], []),
+        ("while", ["keyword", "condition", "body"], ["keyword"], ["keyword", "condition", "body"]),
+        ("do", ["keyword", "body", "while", "condition"], [], ["keyword", "body", "while", "condition"]),
+        ("do", ["keyword", "body", "while", "condition"], ["body"], []),
+        ("return", ["keyword", "value"], ["keyword"], ["keyword", "value"]),
+        ("switch", ["keyword", "condition", "case", "case"], ["condition"], ["keyword", "condition"]),
+        ("switch", ["keyword", "condition", "case", "case"], ["case"], ["keyword", "condition"]),
+        ("compound", ["brace", "stmt", "brace"], [], ["brace", "brace"]),
+        ("compound", ["brace", "stmt", "brace"], ["stmt"], []),
+        ("compound", ["brace", "stmt", "stmt", "brace"], ["stmt"], ["brace", "brace"]),
+    ],
+)
+def test_what_parents_call_for(spark, kind, roles, selected, called):
+    rows = [(1, None, kind, "stmt")] + [(i, 1, "x", r) for i, r in enumerate(roles, 2)]
+    chosen = [1] + [n for n, p, _, r in rows if p and r in selected]
+    got = T.mandatory(_grown(spark, rows), spark.createDataFrame([(0, n) for n in chosen], "q int, node_id int"))
+    role = {n: r for n, _, _, r in rows}
+    assert sorted(role[r.node_id] for r in got.collect()) == sorted(called)
+
+
+def test_a_case_by_its_own_keyword_needs_its_switch(spark):
+    rows = [(1, None, "switch", "stmt"), (2, 1, "x", "keyword"), (3, 1, "x", "condition"), (4, 1, "case", "case"), (5, 4, "x", "keyword"), (6, 4, "x", "condition"), (7, 4, "x", "body")]
+    call = lambda nodes: sorted(r.node_id for r in T.mandatory(_grown(spark, rows), spark.createDataFrame([(0, n) for n in nodes], "q int, node_id int")).collect())
+    assert call([1, 4, 7]) == [5, 6] and call([1, 4, 5]) == [2, 3, 5, 6]
+
+
+def test_dense_numbers_of_a_hot_key(spark):
+    rows = spark.range(3000).select((F.col("id") % 1000 == 0).alias("key"), (F.col("id") * 7919 % 3000).alias("at")).union(spark.createDataFrame([(None, 5)], "key boolean, at long"))
+    got = [(r.key, r["at"]) for r in L.number_rows(rows, ["key", "at"], "n", 1).orderBy("n").collect()]
+    want = sorted(((r.key, r["at"]) for r in rows.collect()), key=lambda x: (x[0] is not None, bool(x[0]), x[1]))
+    assert got == want
+
+
+def test_selections_by_mode(spark):
+    rows = [("f", i) for i in range(50)] + [("g", 100 + i) for i in range(2)] + [(None, 200 + i) for i in range(20)]
+    tokens = spark.createDataFrame(rows, "function string, id long")
+    for mode, pool in (("same function", range(50)), ("functions", [i for f, i in rows if f]), ("all", [i for _, i in rows])):
+        got = {}
+        for r in N.random_selections(tokens, 5, 40, mode).collect():
+            got.setdefault(r.sel_id, []).append(r.id)
+        assert len(got) == 40 and all(len(set(x)) == 5 and set(x) <= set(pool) for x in got.values()), mode
+        assert len({tuple(sorted(x)) for x in got.values()}) > 20
+    assert N.random_selections(tokens, 60, 3).count() == 0 and N.random_selections(tokens, 80, 3, "all").count() == 0
+    assert N.random_selections(tokens, 70, 3, "all").groupBy("sel_id").count().where("count <> 70").count() == 0
+
+
+def test_groups_give_their_quota(spark, monkeypatch):
+    monkeypatch.setattr(N, "RANGE_ROWS", 16)
+    rows = spark.range(4000).select(F.when(F.col("id") % 3 == 0, "a").when(F.col("id") < 30, None).otherwise("b").alias("g"), "id")
+    got = {r.g: r["count"] for r in N.per_group(rows, "g", "id", 25).groupBy("g").count().collect()}
+    assert got == {"a": 25, "b": 25, None: 20}
+    plain = sorted((r.id for r in rows.where("g = 'b'").collect()), key=lambda i: ((i % N.MODULUS) * 1103515245 + 12345) % N.MODULUS)[:25]
+    assert sorted(r.id for r in N.per_group(rows, "g", "id", 25).where("g = 'b'").collect()) == sorted(plain)
+
+
+def test_clones_of_a_large_class(spark, monkeypatch):
+    monkeypatch.setattr("srcfacts.operators.clones._paired.__defaults__", (16,))
+    from srcfacts.operators import clones as C
+
+    fragments = spark.range(100).select((F.col("id") < 90).cast("int").alias("class"), F.lit(2).alias("type"), "id")
+    assert C.pairs(fragments).count() == 90 * 89 // 2 + 10 * 9 // 2 and C.pairs(fragments).distinct().count() == 4050
