@@ -8,7 +8,6 @@ from srcfacts.functions import text as X
 from srcfacts.operators import experiments as E
 from srcfacts.operators import logs as L
 from srcfacts.plans.registry import add
-from srcfacts.streaming import live
 
 ORDER = ("ts", "event_id")
 _W = "PARTITION BY file ORDER BY ts, event_id"
@@ -138,4 +137,3 @@ add("s11_clone_report", lambda i: L.parse_clone_report(_clone_report(i)), """SEL
  UNION ALL SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey), CAST(o_orderkey % 3 + 1 AS INTEGER), 2, '/r/z.c', 1, 2 FROM orders) WHERE type <> 1""")
 add("s16_coverage", lambda i: L.parse_coverage(i.table("lineitem").select(F.col("l_orderkey").alias("file"), F.concat(F.when(F.col("l_returnflag") == "A", "Lines executed:").when(F.col("l_returnflag") == "R", "Branches executed:").otherwise("Calls:"), F.col("l_quantity").cast("long"), F.lit("% of 9")).alias("line"))),
     "SELECT l_orderkey AS file, CAST(max(CASE l_returnflag WHEN 'A' THEN l_quantity END) AS DOUBLE) AS statement, CAST(max(CASE l_returnflag WHEN 'R' THEN l_quantity END) AS DOUBLE) AS branch FROM lineitem GROUP BY 1 HAVING bool_or(l_returnflag IN ('A', 'R'))")
-add("y01_live_counts", lambda i: live.live_counts(i.log(), patterns={"success": "SUCCESS", "error": "FAILURE", "values": "="}), "SELECT file, sum(contains(line, 'SUCCESS')::INT) AS success, sum(contains(line, 'FAILURE')::INT) AS error, sum(contains(line, '=')::INT) AS values FROM log GROUP BY 1")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from srcfacts.plans.standins import Inputs, with_ctes
 
-MODULES = ("mining_queries", "log_queries", "experiment_queries", "code_queries")
+MODULES = ("mining_queries", "log_queries", "experiment_queries", "code_queries", "file_queries")
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _oracles: dict[str, str] = {}
 

@@ -7,11 +7,12 @@ query names in front of it.
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from srcfacts.session import table
+from srcfacts.session import shared_folder, table
 
 
 def _whole(c):
@@ -25,6 +26,10 @@ class Inputs:
     def table(self, name: str) -> DataFrame:
         return table(self.spark, self.sf_dir, name)
 
+    def folder(self, name: str) -> str:
+        """A new folder for files, where all executors see it."""
+        return f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
+
     # recorded runs and their values
     def runs(self) -> DataFrame:
         rows = self.table("lineitem").groupBy(F.col("l_suppkey").alias("seg"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("test"))

@@ -54,9 +54,9 @@ def write_includes(includes: DataFrame, path: str) -> None:
     includes.groupBy("file").agg(target(False).alias("local"), target(True).alias("system")).write.mode("overwrite").json(path)
 
 
-def read_libraries(spark: SparkSession, path: str) -> DataFrame:
+def read_libraries(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """(package, size, includes, libs, flags): ``flags`` gets ``-lNAME`` for each libs entry ``.../libNAME.so``; absent lists are empty."""
-    rows = spark.read.schema("package string, size string, includes array<string>, libs array<string>, flags array<string>").option("multiLine", True).json(path)
+    rows = spark.read.schema("package string, size string, includes array<string>, libs array<string>, flags array<string>").option("multiLine", multi_line).json(path)
     full = lambda c: F.coalesce(c, F.expr("cast(array() as array<string>)"))
     named = F.filter(F.transform(full(F.col("libs")), lambda x: F.regexp_extract(x, r"/lib([^/]+)\.so[0-9.]*$", 1)), lambda x: x != "")
     links = F.transform(named, lambda x: F.concat(F.lit("-l"), x))
@@ -64,13 +64,14 @@ def read_libraries(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _cells_table(lines: DataFrame, cells: Column, spark: SparkSession) -> DataFrame:
-    """Rows of cells under the cells of the first line of the file; rows of another width are dropped."""
+    """Rows of cells under the cells of the first line of the first file; rows of another width, and the same head line in other
+    files, are dropped."""
     rows = lines.select("file", "line_no", cells.alias("cells"))
     first = rows.orderBy("file", "line_no").first()
     if first is None:
         return spark.createDataFrame([], "empty string")
     header = first["cells"]
-    body = rows.where((F.size("cells") == len(header)) & ~((F.col("file") == first["file"]) & (F.col("line_no") == first["line_no"])))
+    body = rows.where((F.size("cells") == len(header)) & (F.col("cells") != F.array(*map(F.lit, header))))
     return body.select(*[F.col("cells")[i].alias(name or f"_{i}") for i, name in enumerate(header)])
 
 
@@ -145,8 +146,8 @@ def errors_at_line(frames: DataFrame, line: int, kinds: tuple[str, ...] = ("Inva
     return frames.where(F.col("kind").isin(*kinds) & (F.col("line") == line)).select("error", "kind").distinct()
 
 
-def read_repos(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("name string, full_name string, stars long, language string, size long, languages map<string,long>").option("multiLine", True).json(path)
+def read_repos(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    return spark.read.schema("name string, full_name string, stars long, language string, size long, languages map<string,long>").option("multiLine", multi_line).json(path)
 
 
 def save_facts(tables: dict[str, DataFrame], path: str) -> None:
