@@ -163,9 +163,11 @@ def linked_pairs(classes: DataFrame, threshold: float = 0.95, recall: float = 0.
     pairs = cut(met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("sure").alias("sure")))
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
     most = F.array_max(F.transform("v", lambda x: F.abs(x.cast("double"))))
+    # held in an array, so that it isn't computed again for each component
+    scaled = F.transform(F.array(most), lambda m: F.transform("v", lambda x: x.cast("double") / m))[0]
     open_ = pairs.where("not sure")
     ends = open_.select(F.col("a").alias("rep")).union(open_.select("b")).distinct()
-    sides = classes.join(ends, "rep", "left_semi").select("rep", F.transform("v", lambda x: x.cast("double") / most).alias("w")).select("rep", "w", F.sqrt(dot("w", "w")).alias("norm"))
+    sides = classes.join(ends, "rep", "left_semi").select("rep", scaled.alias("w")).select("rep", "w", F.sqrt(dot("w", "w")).alias("norm"))
     left, right = sides.toDF("a", "va", "na"), sides.toDF("b", "vb", "nb")
     checked = open_.join(left, "a").join(right, "b").where(dot("va", "vb") / (F.col("na") * F.col("nb")) >= threshold)
     return pairs.where("sure").select("a", "b").union(checked.select("a", "b"))

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from srcfacts.llm import secrets
 
@@ -30,3 +31,11 @@ def test_more_kinds():
     assert kinds["github"].startswith("ghp_") and kinds["pem"] == "-----BEGIN RSA PRIVATE KEY-----"
     assert kinds["url"] == "postgres://u:p4ss@db.example.com" and kinds["jwt"] == "eyJhbGci.eyJzdWIi.c2ln"
     assert secrets.find("") == []
+
+
+def test_very_long_texts():
+    for token in ("a", "0", "AKIA", "password=", "-----BEGIN ", " ", "é", "eyJ.", "postgres://", "ghp_"):
+        text = token * (100_000 // len(token)) + " token=abcdefghijklmnop"
+        start = time.process_time()
+        assert [s for s in secrets.find(text) if s[2] in ("assign", "access", "hex")] == brute(text), token
+        assert time.process_time() - start < 20, token
