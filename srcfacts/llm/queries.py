@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from srcfacts.llm import embeddings, html, langid, mixing, pieces, pii, quality, secrets, simhash, toxicity
+from srcfacts.llm import embeddings, html, langid, manifest, mixing, pieces, pii, quality, secrets, simhash, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_pii": pii.op8_pii,
     "op9_secrets": secrets.op9_secrets,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_manifest": manifest.op11_manifest,
 }
-ORACLE_SQL: dict[str, str] = {"op1_mixing": mixing.OP1_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_mixing": mixing.OP1_SQL, "op11_manifest": manifest.OP11_SQL}
