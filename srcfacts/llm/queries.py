@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from srcfacts.llm import embeddings, html, langid, manifest, mixing, pieces, pii, quality, secrets, simhash, toxicity
+from srcfacts.llm import conversations, embeddings, html, langid, manifest, mixing, pieces, pii, quality, secrets, simhash, substrings, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -16,5 +16,7 @@ QUERIES = {
     "op9_secrets": secrets.op9_secrets,
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_manifest": manifest.op11_manifest,
+    "op12_substrings": substrings.op12_substrings,
+    "op13_conversations": conversations.op13_conversations,
 }
-ORACLE_SQL: dict[str, str] = {"op1_mixing": mixing.OP1_SQL, "op11_manifest": manifest.OP11_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_mixing": mixing.OP1_SQL, "op11_manifest": manifest.OP11_SQL, "op12_substrings": substrings.OP12_SQL, "op13_conversations": conversations.OP13_SQL}
