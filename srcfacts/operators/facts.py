@@ -7,24 +7,59 @@ from pyspark.sql import functions as F
 
 from srcfacts.functions import text as X
 from srcfacts.operators.graph import topo_rank
+from srcfacts.operators.scan import scanned
+from srcfacts.session import cut
 
-#: Lines of one block when spans meet: both sides go to the blocks that they touch.
+#: Lines of one block when spans meet.
 BLOCK = 64
 
 
-def _blocks(begin: Column, end: Column, block: int) -> Column:
-    return F.explode(F.sequence(F.floor(begin / block).cast("long"), F.floor(F.greatest(begin, end) / block).cast("long")))
+def _cells(begin: Column, end: Column, block: int) -> Column:
+    """The fewest cells that make up the blocks of a span: (level, at), a cell of a level being 2^level blocks from at * 2^level on.
+
+    At each level an odd first block and an even last block stay, and the blocks between go on in twos: two cells a level at most.
+    """
+    first, last = F.floor(begin / block).cast("long"), F.floor(F.greatest(begin, end) / block).cast("long")
+    cell = "array<struct<level:int,at:bigint>>"
+    make = lambda on, level, at: F.when(on, F.array(F.struct(level.cast("int").alias("level"), at.alias("at")))).otherwise(F.array()).cast(cell)
+
+    def step(state: Column, level: Column) -> Column:
+        low, high = state["low"], state["high"]
+        there = low <= high
+        odd = there & (low % 2 != 0)
+        even = there & (high % 2 == 0) & (~odd | (high > low))
+        found = F.concat(state["cells"], make(odd, level, low), make(even, level, high))
+        # floor of (low + 1) / 2 and of (high - 1) / 2, for negative places too
+        return F.struct(F.shiftright(low + 1, 1).alias("low"), F.shiftright(high - 1, 1).alias("high"), found.alias("cells"))
+
+    levels = F.sequence(F.lit(0), F.ceil(F.log2((last - first + 2).cast("double"))).cast("int"))
+    start = F.struct(first.alias("low"), last.alias("high"), F.array().cast(cell).alias("cells"))
+    return F.aggregate(levels, start, step, lambda x: x["cells"])
+
+
+def covering(points: DataFrame, spans: DataFrame, key: str = "file", block: int = BLOCK, at: str = "at") -> DataFrame:
+    """(key, p, s): structs of points (key, at, ..) and of the spans (key, begin, end, ..) of their key around them, ends included;
+    spans that end before they begin are around nothing.
+
+    A span stands in the few cells of a dyadic grid that make it up, two a level at most; a point asks the cell around it at each level
+    that some span has. They meet by an equi-join, each pair in one cell, however long the spans are.
+    """
+    s = cut(spans.where("begin <= end").select(F.col(key), F.struct("*").alias("s"), F.explode(_cells(F.col("begin"), F.col("end"), block)).alias("__cell")))
+    levels = [r[0] for r in s.select("__cell.level").distinct().collect()]  # at most 64
+    ask = F.explode(F.array(*[F.struct(F.lit(x).alias("level"), F.shiftright(F.floor(F.col(at) / block).cast("long"), x).alias("at")) for x in sorted(levels)])) if levels else F.lit(None).cast("struct<level:int,at:bigint>")
+    p = points.select(F.col(key), F.struct("*").alias("p"), ask.alias("__cell"))
+    return p.join(s, [key, "__cell"]).where(F.col(f"p.{at}").between(F.col("s.begin"), F.col("s.end"))).select(key, "p", "s")
 
 
 def overlapping(left: DataFrame, right: DataFrame, key: str = "file", block: int = BLOCK) -> DataFrame:
     """(key, l, r): structs of rows whose spans [begin, end] share a line, each pair once.
 
-    Spans meet in the blocks they touch, by an equi-join; a pair counts in the block where the later of both begins.
+    The later begin of both lies in the other span: each side's begins are points in the spans of the other.
     """
-    a = left.select(F.col(key), F.struct("*").alias("l"), _blocks(F.col("begin"), F.col("end"), block).alias("__block"))
-    b = right.select(F.col(key), F.struct("*").alias("r"), _blocks(F.col("begin"), F.col("end"), block).alias("__block"))
-    met = a.join(b, [key, "__block"]).where("l.begin <= r.end and r.begin <= l.end")
-    return met.where(F.col("__block") == F.floor(F.greatest("l.begin", "r.begin") / block)).drop("__block")
+    one = covering(left.where("begin <= end").withColumn("__at", F.col("begin")), right, key, block, "__at")
+    two = covering(right.where("begin <= end").withColumn("__at", F.col("begin")), left, key, block, "__at").where("p.begin > s.begin")
+    fields = lambda side, df: F.struct(*[F.col(f"{side}.{c}").alias(c) for c in df.columns])
+    return one.select(key, fields("p", left).alias("l"), fields("s", right).alias("r")).union(two.select(key, fields("s", left), fields("p", right)))
 
 
 def enclosing(spans: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -42,26 +77,29 @@ def select_tokens(selection: DataFrame, spans: DataFrame, block: int = BLOCK) ->
 
     selection: (sel_id, file, line, col or null); spans: (file, id, begin, end, begin_col, end_col).
     """
-    points = selection.withColumn("begin", F.col("line")).withColumn("end", F.col("line"))
-    met = overlapping(points, spans, block=block)
-    at = F.struct(F.col("l.line").cast("long"), F.col("l.col").cast("long"))
-    inside = (F.struct(F.col("r.begin").cast("long"), F.col("r.begin_col").cast("long")) <= at) & (at <= F.struct(F.col("r.end").cast("long"), F.col("r.end_col").cast("long")))
-    return met.where(F.col("l.col").isNull() | inside).select("l.sel_id", "r.id").distinct()
+    met = covering(selection.withColumn("at", F.col("line")), spans, block=block)
+    at = F.struct(F.col("p.line").cast("long"), F.col("p.col").cast("long"))
+    inside = (F.struct(F.col("s.begin").cast("long"), F.col("s.begin_col").cast("long")) <= at) & (at <= F.struct(F.col("s.end").cast("long"), F.col("s.end_col").cast("long")))
+    return met.where(F.col("p.col").isNull() | inside).select("p.sel_id", "s.id").distinct()
 
 
 def innermost(points: DataFrame, spans: DataFrame, block: int = BLOCK) -> DataFrame:
     """(file, line, id): the smallest span around each (file, line); ties go to the smallest id."""
-    met = overlapping(points.select("file", "line", F.col("line").alias("begin"), F.col("line").alias("end")).distinct(), spans, block=block)
-    return met.groupBy("file", "l.line").agg(F.min_by("r.id", F.struct(F.col("r.end") - F.col("r.begin"), F.col("r.id"))).alias("id"))
+    met = covering(points.select("file", "line", F.col("line").alias("at")).distinct(), spans, block=block)
+    return met.groupBy("file", "p.line").agg(F.min_by("s.id", F.struct(F.col("s.end") - F.col("s.begin"), F.col("s.id"))).alias("id"))
 
 
 def latest_before(points: DataFrame, starts: DataFrame, key: str, at: str, start: str, id_col: str) -> DataFrame:
-    """Points with ``start``: the greatest start of their key that lies before them (0 if none): an as-of join by one window."""
-    both = points.select(F.col(key), F.col(at).alias("__at"), F.col(id_col).alias("__id"), F.lit(1).alias("__kind"), F.lit(None).alias("__start")).unionByName(
-        starts.select(F.col(key), F.col(start).alias("__at"), F.lit(None).alias("__id"), F.lit(0).alias("__kind"), F.col(start).alias("__start"))
+    """Points with ``start``: the greatest start of their key that lies before them (0 if none): an as-of merge in pieces.
+
+    Points and starts are merged in one order, points before the starts of their place; pieces of the merge are of one size
+    whatever the keys are, and each takes the latest start of the pieces before it along.
+    """
+    both = points.select(F.col(key), F.col(at).alias("__at"), F.col(id_col).alias("__id"), F.lit(0).alias("__kind")).unionByName(
+        starts.select(F.col(key), F.col(start).alias("__at"), F.lit(1).alias("__kind")).distinct(), allowMissingColumns=True
     )
-    w = Window.partitionBy(key).orderBy("__at").rangeBetween(Window.unboundedPreceding, -1)
-    return both.withColumn("__found", F.max("__start").over(w)).where("__kind = 1").select(F.col(key), F.col("__at").alias(at), F.col("__id").alias(id_col), F.coalesce("__found", F.lit(0)).alias("start"))
+    found = scanned(both, last={"__start": F.when(F.col("__kind") == 1, F.col("__at"))}, keys=(key,), order=("__at", "__kind", "__id")).where("__kind = 0")
+    return found.select(F.col(key), F.col("__at").alias(at), F.col("__id").alias(id_col), F.coalesce("__start", F.lit(0)).alias("start"))
 
 
 def dependences(snippets: DataFrame, keys: DataFrame, own_name: str = "name") -> DataFrame:
@@ -116,8 +154,6 @@ def resolve_types(types: DataFrame, typedefs: DataFrame, most_rounds: int = 50)
     part = X.type_with_indirection
     links = typedefs.groupBy("name").agg(F.min("target").alias("target")).withColumn("t", part(F.col("target"))).select(F.col("name").alias("base"), F.col("t.name").alias("next"), F.col("t.stars").alias("more"))
     rows = types.select("type").distinct().withColumn("t", part(F.col("type"))).select("type", F.col("t.name").alias("base"), F.col("t.stars").alias("stars"), F.lit(True).alias("open"))
-    from srcfacts.session import cut
-
     for _ in range(most_rounds):
         step = rows.join(links, "base", "left").where("open or next is null")
         rows = cut(step.select("type", F.when(F.col("open"), F.coalesce("next", "base")).otherwise(F.col("base")).alias("base"), (F.col("stars") + F.when(F.col("open"), F.coalesce("more", F.lit(0))).otherwise(0)).alias("stars"), (F.col("open") & F.col("next").isNotNull()).alias("open")))
@@ -210,7 +246,6 @@ def slice_sizes(slices: DataFrame, functions: DataFrame) -> DataFrame:
 
 def code_of(spans: DataFrame, lines: DataFrame, block: int = BLOCK) -> DataFrame:
     """(id, text): lines begin..end (1-based, both included) of a file. lines: (file, line_no, line)."""
-    rows = lines.select("file", "line", F.col("line_no").alias("begin"), F.col("line_no").alias("end"))
-    met = overlapping(rows, spans, block=block)
-    parts = met.groupBy("r.id").agg(F.array_sort(F.collect_list(F.struct("l.begin", "l.line"))).alias("x"))
+    met = covering(lines.select("file", "line", F.col("line_no").alias("at")), spans, block=block)
+    parts = met.groupBy("s.id").agg(F.array_sort(F.collect_list(F.struct("p.at", "p.line"))).alias("x"))
     return parts.select("id", F.array_join(F.transform("x", lambda x: x["line"]), "\n").alias("text"))

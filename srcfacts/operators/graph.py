@@ -1,7 +1,9 @@
 """Directed graphs as edge tables (src, dst, label), one edge a pair.
 
 Fixpoints are loops over frontiers: every round joins only what is new, is checkpointed to the shared folder, and is counted
-once. ``most_rounds`` bounds the depth; a graph that is deeper raises rather than giving a part.
+once. What is long rather than wide is contracted: nodes with one way in and one way out form chains, whose ends find one another by
+doubling, so that a chain takes as many rounds as its length has bits. ``most_rounds`` bounds the depth of what is left; a graph that is deeper raises rather
+than giving a part.
 """
 
 from __future__ import annotations
@@ -9,17 +11,126 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from srcfacts.session import cut
+from srcfacts.session import cut, stored
 
 MOST_ROUNDS = 10_000
+#: Rounds after which a closure goes on over the contracted graph.
+SHALLOW = 24
+#: Nodes below which contraction isn't worth its rounds.
+FEW = 64
 
 
-def closure(edges: DataFrame, seeds: DataFrame, keep_seeds: bool = True, most_rounds: int = MOST_ROUNDS) -> DataFrame:
-    """(q, node): all nodes reachable from the seeds (q, node) of each question q; without keep_seeds the seeds are left out."""
+def chains(edges: DataFrame, bases: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(edges without chains, chain nodes, ring nodes) of edges (src, dst, w, b), one a pair.
+
+    A chain node has one way in and one way out; it is given as (node, root, head, tail, w, b): the first node of its chain, the nodes
+    before and behind it. Each chain becomes an edge head -> tail. w and b compose as the function max(x + w, b) of a value
+    that goes along the edge; bases (node, base) bounds the value at a node. Nodes of rings that nothing leads into or out of come as (node, root), root the smallest node.
+    """
+    ins = edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n_in"), F.min("src").alias("prev"), F.max("w").alias("w"), F.max("b").alias("b"))
+    outs = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n_out"), F.min("dst").alias("next"), F.max("w").alias("w_out"), F.max("b").alias("b_out"))
+    inner = ins.join(outs, "node").where("n_in = 1 and n_out = 1 and prev <> node")
+    if bases is not None:
+        inner = inner.join(bases, "node", "left").withColumn("b", F.greatest("b", "base"))
+    inner = stored(inner.select("node", "prev", "next", "w", "b", "w_out", "b_out"))
+    mine = inner.select(F.col("node").alias("prev"), F.lit(True).alias("open"))
+    state = stored(inner.join(mine, "prev", "left").select("node", F.col("prev").alias("ptr"), F.col("node").alias("root"), F.col("node").alias("least"), "w", "b", F.coalesce("open", F.lit(False)).alias("open")))
+    for _ in range(state.count().bit_length() + 1):
+        if state.where("open").isEmpty():
+            break
+        far = state.select(F.col("node").alias("ptr"), F.col("ptr").alias("p2"), F.col("root").alias("r2"), F.col("least").alias("l2"), F.col("w").alias("w2"), F.col("b").alias("b2"), F.col("open").alias("o2"))
+        moved = state.where("open").join(far, "ptr").select("node", F.col("p2").alias("ptr"), F.col("r2").alias("root"), F.least("least", "l2").alias("least"), (F.col("w") + F.col("w2")).alias("w"), F.greatest(F.col("b2") + F.col("w"), F.col("b")).alias("b"), F.col("o2").alias("open"))
+        state = stored(state.where("not open").union(moved))
+    done = state.where("not open").join(inner.select("node", "next", "w_out", "b_out"), "node")
+    last = done.join(mine.select(F.col("prev").alias("next")), "next", "left_anti").select("root", F.col("ptr").alias("head"), F.col("next").alias("tail"), (F.col("w") + F.col("w_out")).alias("w"), F.greatest(F.col("b") + F.col("w_out"), "b_out").alias("b"))
+    last = stored(last)
+    gone = inner.select(F.col("node").alias("src"))
+    left = edges.select("src", "dst", "w", "b").join(gone, "src", "left_anti").join(gone.toDF("dst"), "dst", "left_anti").select("src", "dst", "w", "b")
+    joined = left.union(last.select("head", "tail", "w", "b")).groupBy("src", "dst").agg(F.max("w").alias("w"), F.max("b").alias("b"))
+    nodes = state.where("not open").join(last.select("root", "head", "tail"), "root").select("node", "root", "head", "tail", "w", "b")
+    return stored(joined), stored(nodes), state.where("open").select("node", F.col("least").alias("root"))
+
+
+def _weighted(edges: DataFrame) -> DataFrame:
+    return edges.select("src", "dst").where("src is not null and dst is not null").distinct().select("src", "dst", F.lit(1).cast("long").alias("w"), F.lit(0).cast("long").alias("b"))
+
+
+def _nodes(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+
+
+def _without(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    return edges.join(nodes.select(F.col("node").alias("src")), "src", "left_anti").join(nodes.select(F.col("node").alias("dst")), "dst", "left_anti").select(*edges.columns)
+
+
+def components(edges: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFrame:
+    """(node, component): of every node on an edge the smallest node that it reaches and that reaches it; itself if there is none.
+
+    In turns: nodes without a way in or out are alone; chains are contracted (a chain belongs to its ends if these belong together);
+    each node takes the largest node that reaches it as its colour; who reaches its own colour's node backwards is of its component. Edges
+    between colours never close a circle and go.
+    """
+    left = stored(_weighted(edges).where("src <> dst"))
+    todo = stored(_nodes(edges).where("node is not null"))
+    alone = todo.select("node", F.col("node").alias("component"))
+    found, held = [], []
+    for _ in range(most_rounds):
+        before = left.count()
+        if before == 0:
+            break
+        on = left.select(F.col("src").alias("node")).intersect(left.select(F.col("dst").alias("node")))  # with a way in and a way out
+        left = stored(left.join(on.select(F.col("node").alias("src")), "src", "left_semi").join(on.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst", "w", "b"))
+        now = left.count()
+        if now >= FEW and now * 8 > before * 7:
+            left, nodes, rings = chains(left)
+            rings = stored(rings.select("node", F.col("root").alias("component")))
+            found.append(rings)
+            held.append(nodes)
+            left = stored(_without(left.where("src <> dst"), rings))
+            now = left.count()
+        if now == 0 or now * 8 <= before * 7:
+            continue
+        colour = stored(_nodes(left).select("node", F.col("node").alias("colour")))
+        fresh = colour
+        for _ in range(most_rounds):
+            sent = fresh.join(left, fresh["node"] == left["src"]).groupBy(F.col("dst").alias("node")).agg(F.max("colour").alias("sent"))
+            fresh = stored(sent.join(colour, "node").where("sent > colour").select("node", F.col("sent").alias("colour")))
+            if fresh.isEmpty():
+                break
+            colour = stored(colour.join(fresh.select("node", F.col("colour").alias("more")), "node", "left").select("node", F.coalesce("more", "colour").alias("colour")))
+        inside = stored(left.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("c1")), "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("c2")), "dst").where("c1 = c2").select("src", "dst", "w", "b"))
+        back = closure(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")), colour.where("node = colour").select(F.col("colour").alias("q"), "node"), most_rounds=most_rounds, contract=False)
+        settled = stored(back.groupBy("q").agg(F.min("node").alias("component")).join(back, "q").select("node", "component"))
+        found.append(settled)
+        left = stored(_without(inside, settled))
+    else:
+        raise RuntimeError(f"components not settled after {most_rounds} rounds")
+    known = todo.limit(0).withColumn("component", F.col("node"))
+    for f in found:
+        known = known.unionByName(f)
+    known = stored(known)
+    for nodes in reversed(held):
+        ends = nodes.join(known.select(F.col("node").alias("head"), F.col("component").alias("c1")), "head", "left").join(known.select(F.col("node").alias("tail"), F.col("component").alias("c2")), "tail", "left")
+        # a chain whose ends are one node, or of one component, closes a circle; the component may have a smaller node now
+        same = stored(ends.where("head = tail or c1 = c2").select("node", F.coalesce("c1", "head").alias("old"), "head"))
+        least = same.groupBy("old").agg(F.min("node").alias("least"))
+        grown = known.unionByName(same.select(F.col("head").alias("node"), F.col("old").alias("component"))).distinct().unionByName(same.select("node", F.col("old").alias("component")))
+        known = stored(grown.join(least.withColumnRenamed("old", "component"), "component", "left").select("node", F.least("component", "least").alias("component")))
+    return alone.join(known, "node", "left_anti").unionByName(known)
+
+
+def closure(edges: DataFrame, seeds: DataFrame, keep_seeds: bool = True, most_rounds: int = MOST_ROUNDS, contract: bool = True) -> DataFrame:
+    """(q, node): all nodes reachable from the seeds (q, node) of each question q; without keep_seeds the seeds are left out.
+
+    After ``SHALLOW`` rounds, what is still open goes on over the contracted graph: components as one node, chains as one edge.
+    """
     step = cut(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
     start = cut(seeds.select("q", "node").distinct())
     seen, frontier, parts = start, start, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for i in range(most_rounds):
+        if contract and i == SHALLOW:
+            seen = cut(seen.union(_far(step, frontier, most_rounds)).distinct())
+            return seen if keep_seeds else seen.join(start, ["q", "node"], "left_anti")
         found = frontier.join(step, frontier["node"] == step["src"]).select("q", F.col("dst").alias("node")).distinct()
         frontier = cut(found.join(seen, ["q", "node"], "left_anti"))
         if frontier.isEmpty():
@@ -29,6 +140,23 @@ def closure(edges: DataFrame, seeds: DataFrame, keep_seeds: bool = True, most_ro
     raise RuntimeError(f"closure is deeper than {most_rounds} steps")
 
 
+def _far(step: DataFrame, start: DataFrame, most_rounds: int) -> DataFrame:
+    """(q, node) of all that the start reaches, over components and chains."""
+    part = cut(components(step))
+    of = lambda c: part.select(F.col("node").alias(c), F.col("component").alias(f"{c}_of"))
+    between = step.join(of("src"), "src").join(of("dst"), "dst").where("src_of <> dst_of").select(F.col("src_of").alias("src"), F.col("dst_of").alias("dst"))
+    left, nodes, _ = chains(cut(_weighted(between)))
+    asked = cut(start.join(part, "node", "left").select("q", F.coalesce("component", "node").alias("node")).distinct())
+    # who begins on a chain passes the rest of it and its tail
+    own = cut(asked.join(nodes.select("node", "root", "tail", F.col("w").alias("from")), "node"))
+    rest = own.select("q", "root", "from").join(nodes.select("root", "node", "w"), "root").where("w > from").select("q", "node")
+    plain = asked.join(nodes.select("node"), "node", "left_anti").select("q", "node").union(own.select("q", F.col("tail").alias("node"))).distinct()
+    reached = closure(left.select("src", "dst"), plain, most_rounds=most_rounds, contract=False)
+    passed = reached.join(nodes.select(F.col("head").alias("node"), F.col("node").alias("on")), "node").select("q", F.col("on").alias("node"))
+    every = asked.union(reached).union(rest).union(passed).distinct()
+    return every.join(part.select(F.col("component").alias("node"), F.col("node").alias("member")), "node", "left").select("q", F.coalesce("member", "node").alias("node"))
+
+
 def outermost(ids: DataFrame, outers: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFrame:
     """(q, node): each node replaced by those of its enclosing ones that nothing encloses. outers: (src, dst), dst encloses src."""
     everything = closure(outers, ids, most_rounds=most_rounds)
@@ -54,35 +182,66 @@ def neighbors(edges: DataFrame, ids: DataFrame, direction: str = "out") -> DataF
     return edges.join(ids.select(F.col("node").alias(here)).distinct(), here, "left_semi").select(F.col(here).alias("node"), F.col(there).alias("neighbor")).distinct()
 
 
-def peel(edges: DataFrame, nodes: DataFrame | None = None, most_rounds: int = MOST_ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """((node, rank), rest): nodes taken off as nothing points to them, by rounds; rest are the edges that remain: cycles and
-    what hangs on them."""
-    left = cut(edges.select("src", "dst").distinct())
-    every = left.select(F.col("src").alias("node")).union(left.select("dst"))
-    todo = cut((every.union(nodes.select("node")) if nodes is not None else every).distinct())
-    ranks = []
-    for rank in range(most_rounds):
+def topo_rank(edges: DataFrame, nodes: DataFrame | None = None, most_rounds: int = MOST_ROUNDS) -> DataFrame:
+    """(node, rank): sources first, each node behind all that lead to it, by the longest way; nodes on or behind a cycle have a null
+    rank. Order by (rank, node).
+
+    Sources are taken off in rounds, the round being their rank. What is left after ``SHALLOW`` rounds goes on with lengths on its
+    edges, chains contracted.
+    """
+    left = cut(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
+    every = _nodes(left) if nodes is None else _nodes(left).union(nodes.select("node")).distinct()
+    todo, ranked = cut(every.where("node is not null")), []
+    for rank in range(min(SHALLOW, most_rounds)):
         free = cut(todo.join(left.select(F.col("dst").alias("node")).distinct(), "node", "left_anti"))
         if free.isEmpty():
-            out = ranks[0] if ranks else todo.limit(0).withColumn("rank", F.lit(0))
-            for r in ranks[1:]:
-                out = out.union(r)
-            return out, left
-        ranks.append(free.withColumn("rank", F.lit(rank)))
+            break
+        ranked.append(free.withColumn("rank", F.lit(rank).cast("long")))
         todo = cut(todo.join(free, "node", "left_anti"))
         left = cut(left.join(free.withColumnRenamed("node", "src"), "src", "left_anti"))
-    raise RuntimeError(f"deeper than {most_rounds} rounds")
+    else:
+        if not todo.isEmpty():
+            ranked.append(_deep_ranks(_weighted(left), todo.withColumn("base", F.lit(SHALLOW).cast("long")), most_rounds))
+            todo = todo.limit(0)
+    known = todo.withColumn("rank", F.lit(None).cast("long"))
+    for r in ranked:
+        known = known.unionByName(r)
+    return known.select("node", F.col("rank").cast("int").alias("rank"))
+
+
+def _deep_ranks(left: DataFrame, todo: DataFrame, most_rounds: int) -> DataFrame:
+    """(node, rank) of nodes (node, base) that are ranked base at least: rounds as in ``topo_rank`` over edges (src, dst, w, b), and chains
+    contracted as long as that takes an eighth of the nodes; else it is tried again after twice as many rounds."""
+    left, todo, ranked, held, wait, pause = stored(left), stored(todo), [], [], 0, 1
+    for _ in range(most_rounds):
+        if wait == 0 and (some := todo.count()) >= FEW:
+            less, on, rings = chains(left, todo)
+            wait = pause = 1 if on.count() * 8 >= some else 2 * pause
+            left = stored(_without(less, rings))
+            held.append(on.select("node", "head", "w", "b"))
+            ranked.append(stored(rings.select("node", F.lit(None).cast("long").alias("rank"))))
+            todo = stored(todo.join(on.select("node").union(rings.select("node")), "node", "left_anti").select("node", "base"))
+        wait = max(0, wait - 1)
+        free = stored(todo.join(left.select(F.col("dst").alias("node")).distinct(), "node", "left_anti").select("node", F.col("base").alias("rank")))
+        if free.isEmpty():
+            break
+        ranked.append(free)
+        pushed = left.join(free.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.max(F.greatest(F.col("rank") + F.col("w"), F.col("b"))).alias("pushed"))
+        todo = stored(todo.join(free.select("node"), "node", "left_anti").join(pushed, "node", "left").select("node", F.greatest("base", "pushed").alias("base")))
+        left = stored(left.join(free.select(F.col("node").alias("src")), "src", "left_anti").select("src", "dst", "w", "b"))
+    else:
+        raise RuntimeError(f"deeper than {most_rounds} rounds")
+    known = todo.select("node", F.lit(None).cast("long").alias("rank"))
+    for r in ranked:
+        known = known.unionByName(r)
+    for on in reversed(held):
+        known = stored(known)
+        known = known.unionByName(on.join(known.select(F.col("node").alias("head"), "rank"), "head").select("node", F.when(F.col("rank").isNotNull(), F.greatest(F.col("rank") + F.col("w"), F.col("b"))).alias("rank")))
+    return known
 
 
 def has_cycle(edges: DataFrame) -> bool:
-    return not peel(edges)[1].isEmpty()
-
-
-def topo_rank(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """(node, rank): sources first; nodes on or behind a cycle have a null rank. Order by (rank, node)."""
-    ranks, rest = peel(edges, nodes)
-    cyclic = rest.select(F.col("src").alias("node")).union(rest.select("dst")).distinct().join(ranks, "node", "left_anti")
-    return ranks.union(cyclic.withColumn("rank", F.lit(None).cast("int")))
+    return not topo_rank(edges).where("rank is null").isEmpty()
 
 
 def union(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -93,12 +252,14 @@ def union(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def eliminate(edges: DataFrame, nodes: DataFrame, label: str, most_rounds: int = MOST_ROUNDS) -> DataFrame:
     """Edges without the nodes: whatever led through removed nodes leads on directly, with the label."""
-    gone = nodes.select("node").distinct()
+    gone = cut(nodes.select("node").distinct())
     into = edges.join(gone.withColumnRenamed("node", "src"), "src", "left_anti")
-    start = into.join(gone.withColumnRenamed("node", "dst"), "dst", "left_semi").select(F.col("src").alias("q"), F.col("dst").alias("node"))
-    inside = edges.join(gone.withColumnRenamed("node", "src"), "src", "left_semi")
-    through = closure(inside, start, most_rounds=most_rounds)
-    new = through.join(inside, through["node"] == inside["src"]).select(F.col("q").alias("src"), "dst", F.lit(label).alias("label")).join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst", "label").distinct()
+    entries = into.join(gone.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", F.col("dst").alias("entry"))
+    inside = cut(edges.join(gone.withColumnRenamed("node", "src"), "src", "left_semi").select("src", "dst"))
+    # what each entered node leads to, found once for all edges into it
+    through = closure(inside.join(gone.withColumnRenamed("node", "dst"), "dst", "left_semi"), entries.select(F.col("entry").alias("q"), F.col("entry").alias("node")), most_rounds=most_rounds)
+    exits = cut(through.join(inside, through["node"] == inside["src"]).select(F.col("q").alias("entry"), "dst").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").distinct())
+    new = entries.join(exits, "entry").select("src", "dst", F.lit(label).alias("label")).distinct()
     return union(into.join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti"), new)
 
 

@@ -1,7 +1,7 @@
 """Operators on ordered lines: state carried along a file, blocks, records.
 
-Lines are (file, line_no, line) with line_no giving the order in the file; windows run inside a file. Very large
-logs should be cut into files (or given a ``file`` key per run) where they were written, as a file is one ordered unit.
+Lines are (file, line_no, line) with line_no giving the order in the file. What is carried along a file goes through ``scan``, which
+works in pieces: a file of any length is spread over all tasks.
 """
 
 from __future__ import annotations
@@ -10,21 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from srcfacts.functions import text as X
+from srcfacts.operators.scan import scanned
 from srcfacts.session import cut
 
 
-def _ordered(keys: tuple[str, ...] = ("file",), order: tuple[str, ...] = ("line_no",)):
-    return Window.partitionBy(*keys).orderBy(*order)
-
-
-def carry(value: Column, keys: tuple[str, ...] = ("file",), order: tuple[str, ...] = ("line_no",)) -> Column:
-    """The last value that isn't null, up to and with this line."""
-    return F.last(value, ignorenulls=True).over(_ordered(keys, order).rowsBetween(Window.unboundedPreceding, 0))
-
-
-def block_id(opens: Column, keys: tuple[str, ...] = ("file",), order: tuple[str, ...] = ("line_no",)) -> Column:
-    """How many lines with ``opens`` there are up to and with this one: 0 before the first block."""
-    return F.sum(F.when(opens, 1).otherwise(0)).over(_ordered(keys, order).rowsBetween(Window.unboundedPreceding, 0))
+def _one(opens: Column) -> Column:
+    return F.when(opens, 1).otherwise(0)
 
 
 def to_lines(files: DataFrame) -> DataFrame:
@@ -60,9 +51,10 @@ def trace_records(lines: DataFrame, stages=STAGES, closings=CLOSINGS, order: tup
     for text, value in closings:
         status = F.coalesce(status, F.when(F.contains(line, F.lit(text)), value))
     marked = lines.withColumn("code", code).withColumn("opened", opened).withColumn("status", F.when(F.col("code").isNull(), status))
-    closed = F.when(F.col("status").isNotNull(), 1).otherwise(0)
-    before = F.coalesce(F.sum(closed).over(_ordered(("file",), order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = marked.withColumn("test", before + 1).withColumn("side", carry(F.col("opened"), ("file", "test"), order))
+    ends = F.col("status").isNotNull()
+    side = F.when(ends, F.struct(F.lit(None).cast("string").alias("at"))).when(F.col("opened").isNotNull(), F.struct(F.col("opened").alias("at")))
+    rows = scanned(marked, last={"side": side}, sums={"closed": _one(ends)}, order=order)
+    rows = rows.withColumn("test", F.col("closed") - _one(ends) + 1).withColumn("side", F.col("side.at"))
     part = F.split(line, "=", -1)
     is_value = F.col("code").isNull() & F.col("status").isNull() & line.contains("=")
     place = F.struct(*[F.col(c) for c in order])
@@ -84,8 +76,7 @@ RUN_FIELDS = (
 def segment_results(lines: DataFrame, opens: str = "Processing query", fields=RUN_FIELDS) -> DataFrame:
     """One row a segment: a line with ``opens`` begins it, field lines ``name: value`` fill its columns, the last value wins.
     Every segment has its row, the last one too; columns without a line are null."""
-    seg = block_id(F.contains("line", F.lit(opens)))
-    rows = lines.withColumn("seg", seg).where("seg > 0")
+    rows = scanned(lines, sums={"seg": _one(F.contains("line", F.lit(opens)))}).where("seg > 0")
     value = F.trim(F.split("line", ":", -1)[1])
 
     def field(text: str, name: str, kind: str) -> Column:
@@ -98,8 +89,8 @@ def segment_results(lines: DataFrame, opens: str = "Processing query", fields=RU
 
 def last_complete_block(lines: DataFrame, opens: str = "POI_INSTRUMENT", order: tuple[str, ...] = ("line_no",)) -> DataFrame:
     """Lines before the first block and those of the last block but one, as the last may be cut off; a single block stays."""
-    last = Window.partitionBy("file")
-    rows = lines.withColumn("block", block_id(F.col("line").rlike(rf"\b{opens}\b"), order=order)).withColumn("blocks", F.max("block").over(last))
+    begins = _one(F.col("line").rlike(rf"\b{opens}\b"))
+    rows = scanned(lines, sums={"block": begins}, totals={"blocks": begins}, order=order)
     return rows.where((F.col("block") == 0) | (F.col("block") == F.greatest(F.lit(1), F.col("blocks") - 1))).drop("block", "blocks")
 
 
@@ -111,7 +102,7 @@ def written_with_counts(lines: DataFrame, counts: str = r"IOData\D*(\d+)\D+(\d+)
     line = F.col("line")
     i, o = (F.regexp_extract(line, counts, k).try_cast("int") for k in (1, 2))
     state = F.when(line.rlike(counts), F.struct(i.alias("i"), o.alias("o")))
-    rows = lines.withColumn("state", carry(state, order=order)).where(line.rlike(written) & (F.col("state.i") > 0) & (F.col("state.o") > 0))
+    rows = scanned(lines, last={"state": state}, order=order).where(line.rlike(written) & (F.col("state.i") > 0) & (F.col("state.o") > 0))
     return rows.select("file", F.regexp_extract("line", written, 2).cast("long").alias("id"), F.col("state.i").alias("n_input"), F.col("state.o").alias("n_output"), F.regexp_extract("line", written, 1).alias("path"))
 
 
@@ -132,16 +123,15 @@ def number_rows(df: DataFrame, order: list[str], name: str, start: int = 1) -> D
 
 def first_after(lines: DataFrame, opens: str, wanted: str, order: tuple[str, ...] = ("line_no",)) -> DataFrame:
     """The first ``wanted`` line after each ``opens`` line (regular expressions)."""
-    rows = lines.withColumn("block", block_id(F.col("line").rlike(opens), order=order)).where((F.col("block") > 0) & F.col("line").rlike(wanted) & ~F.col("line").rlike(opens))
-    nth = F.row_number().over(Window.partitionBy("file", "block").orderBy(*order))
-    return rows.withColumn("nth", nth).where("nth = 1").drop("nth")
+    rows = scanned(lines, sums={"block": _one(F.col("line").rlike(opens))}, order=order).where((F.col("block") > 0) & F.col("line").rlike(wanted) & ~F.col("line").rlike(opens))
+    first = rows.groupBy("file", "block").agg(F.min_by(F.struct(*rows.columns), F.struct(*[F.col(c) for c in order])).alias("x"))
+    return first.select("x.*")
 
 
 def sessions(lines: DataFrame, opens: str = r"NO\.", name: str = r"^\S+\s+\S+\s+(\S+)", order: tuple[str, ...] = ("line_no",)) -> DataFrame:
     """Lines with ``session`` (0 before the first) and the name in the session's opening line."""
-    rows = lines.withColumn("session", block_id(F.col("line").rlike(opens), order=order))
     found = F.when(F.col("line").rlike(opens), F.regexp_extract("line", name, 1))
-    return rows.withColumn("session_name", carry(found, ("file",), order))
+    return scanned(lines, last={"session_name": found}, sums={"session": _one(F.col("line").rlike(opens))}, order=order)
 
 
 def errors_per_session(sessions_df: DataFrame, error: str = "error:") -> DataFrame:
@@ -157,7 +147,7 @@ def keep_own_lines(lines: DataFrame) -> DataFrame:
     """Preprocessed lines whose latest ``# n "name"`` marker names the file itself; markers are left out, malformed ones change nothing."""
     line = F.col("line")
     name = F.when(line.rlike(MARKER), F.regexp_extract(line, MARKER, 2))
-    rows = lines.withColumn("own", carry(F.when(name.isNotNull(), X.has_path_suffix(F.col("file"), name) | X.has_path_suffix(name, F.col("file")))))
+    rows = scanned(lines, last={"own": F.when(name.isNotNull(), X.has_path_suffix(F.col("file"), name) | X.has_path_suffix(name, F.col("file")))})
     return rows.where(F.coalesce("own", F.lit(False)) & ~line.startswith("#")).drop("own")
 
 
@@ -178,9 +168,10 @@ def map_lines(lines: DataFrame, points: DataFrame) -> DataFrame:
     """(file, line, mapped): a line of the source to its line in the preprocessed text, through the markers of the file itself."""
     own = X.has_path_suffix(F.col("file"), F.regexp_extract("line", MARKER, 2)) | X.has_path_suffix(F.regexp_extract("line", MARKER, 2), F.col("file"))
     markers = lines.where(F.col("line").rlike(MARKER) & own).select("file", F.regexp_extract("line", MARKER, 1).cast("int").alias("at"), F.col("line_no").alias("marker"))
-    met = points.select("file", F.col("line").alias("asked")).join(markers, "file").where("at <= asked")
-    best = met.groupBy("file", "asked").agg(F.max_by(F.struct("at", "marker"), F.struct("at", "marker")).alias("m"))
-    return best.select("file", F.col("asked").alias("line"), (F.col("m.marker") + 1 + F.col("asked") - F.col("m.at")).alias("mapped"))
+    asked = points.select("file", "line").distinct().select("file", F.col("line").alias("at"), F.lit(None).cast(markers.schema["marker"].dataType).alias("marker"), F.lit(1).alias("kind"))
+    both = markers.withColumn("kind", F.lit(0)).union(asked)
+    found = scanned(both, last={"m": F.when(F.col("kind") == 0, F.struct("at", "marker"))}, order=("at", "kind", "marker")).where("kind = 1 and m is not null")
+    return found.select("file", F.col("at").alias("line"), (F.col("m.marker") + 1 + F.col("at") - F.col("m.at")).alias("mapped"))
 
 
 def dedupe_lines(lines: DataFrame) -> DataFrame:
@@ -194,10 +185,10 @@ def parse_clone_report(lines: DataFrame) -> DataFrame:
     A line ``-- Type: n`` opens a class, ``File:`` names a fragment's file and ``Position: line a - line b`` its lines.
     """
     line = F.col("line")
-    rows = lines.withColumn("class", block_id(line.rlike(r"^--\s*Type")))
-    kind = F.when(line.rlike(r"^--\s*Type"), F.regexp_extract(line, r"Type:?\s*(\d+)", 1).try_cast("int"))
-    path = F.when(line.rlike(r"^\s*File:"), F.trim(F.regexp_extract(line, r"File:(.*)", 1)))
-    rows = rows.withColumn("type", carry(kind)).withColumn("path", carry(path, ("file", "class")))
+    opens = line.rlike(r"^--\s*Type")
+    kind = F.when(opens, F.regexp_extract(line, r"Type:?\s*(\d+)", 1).try_cast("int"))
+    path = F.when(opens, F.struct(F.lit(None).cast("string").alias("at"))).when(line.rlike(r"^\s*File:"), F.struct(F.trim(F.regexp_extract(line, r"File:(.*)", 1)).alias("at")))
+    rows = scanned(lines, last={"type": kind, "path": path}, sums={"class": _one(opens)}).withColumn("path", F.col("path.at"))
     position = r"Position:\D*(\d+)\D+(\d+)"
     kept = rows.where(line.rlike(position) & (F.col("type") != 1)).select("file", "line_no", "class", "type", "path", F.regexp_extract("line", position, 1).cast("int").alias("begin"), F.regexp_extract("line", position, 2).cast("int").alias("end"))
     return number_rows(kept, ["file", "line_no"], "id").select("file", "class", "type", F.col("id").cast("long").alias("id"), "path", "begin", "end")
@@ -215,12 +206,12 @@ def parse_io_values(lines: DataFrame) -> DataFrame:
 def parse_slices(lines: DataFrame) -> DataFrame:
     """(report, crit_file, crit_line, path, line): blocks opened by ``====``, a criterion line, then ``file line`` rows;
     absolute paths are dropped."""
-    rows = lines.withColumn("block", block_id(F.startswith("line", F.lit("====")))).where((F.col("block") > 0) & ~F.startswith("line", F.lit("====")) & (F.trim("line") != ""))
+    rows = scanned(lines, sums={"block": _one(F.startswith("line", F.lit("====")))}).where((F.col("block") > 0) & ~F.startswith("line", F.lit("====")) & (F.trim("line") != ""))
     part = F.split(F.trim("line"), r"[\s:]+")
     rows = rows.select("file", "block", "line_no", part[0].alias("path"), F.get(part, 1).try_cast("int").alias("at")).where("at is not null")
-    first = Window.partitionBy("file", "block").orderBy("line_no")
-    rows = rows.withColumn("nth", F.row_number().over(first)).withColumn("criterion", F.first(F.struct("path", "at")).over(first))
-    return rows.where((F.col("nth") > 1) & ~F.startswith("path", F.lit("/"))).select(F.col("file").alias("report"), F.col("criterion.path").alias("crit_file"), F.col("criterion.at").alias("crit_line"), "path", F.col("at").alias("line")).distinct()
+    first = cut(rows.groupBy("file", "block").agg(F.min("line_no").alias("head"), F.min_by(F.struct("path", "at"), "line_no").alias("criterion")))
+    rows = rows.join(first, ["file", "block"])  # of a checkpointed side: a block with many rows is split
+    return rows.where((F.col("line_no") > F.col("head")) & ~F.startswith("path", F.lit("/"))).select(F.col("file").alias("report"), F.col("criterion.path").alias("crit_file"), F.col("criterion.at").alias("crit_line"), "path", F.col("at").alias("line")).distinct()
 
 
 def parse_coverage(lines: DataFrame) -> DataFrame:
@@ -233,7 +224,7 @@ def parse_coverage(lines: DataFrame) -> DataFrame:
 def parse_buildrate_log(lines: DataFrame) -> DataFrame:
     """(file, project, exit_status, success, error, rate): ``./name`` opens a project; success = 0, timeout = -1; no rate = 0."""
     line = F.col("line")
-    rows = lines.withColumn("block", block_id(line.startswith("./"))).where("block > 0")
+    rows = scanned(lines, sums={"block": _one(line.startswith("./"))}).where("block > 0")
     counts = r"^SUCCESS:\s*(\d+)\s+ERROR:\s*(\d+)\s+RATE:\s*([0-9.]*)"
     found = lambda i, kind: F.max(F.when(line.rlike(counts), F.regexp_extract(line, counts, i).try_cast(kind)))
     return rows.groupBy("file", "block").agg(

@@ -121,31 +121,72 @@ def subset_regression(trace: DataFrame, most_inputs: int = 4, least_r2: float =
     return _per_segment(trace, grams(trace, products=polynomial), rules)
 
 
-def break_points(sums: np.ndarray, least: int, good: float = 0.999) -> list[int]:
-    """Starts of segments of ``least`` rows at least: greedily, each reaches as far as its line fits; then each break goes to where
-    the lines on both sides leave the smallest squares. sums: rows of (n, x, y, xx, xy, yy), ordered by x; running sums make
-    each step linear."""
+#: Distinct input values up to which breaks are the optimum over all places; more are taken in as many blocks first.
+MOST_VALUES = 4096
+
+
+def break_points(sums: np.ndarray, least: int, most: int = MOST_VALUES) -> list[int]:
+    """Starts of the segments that a line each fits best, ``least`` rows and two values in each at least.
+
+    For each number of segments the breaks with the least squares left, by dynamic programming over the last segment's start;
+    of these the number with the least information criterion, n log(squares / n) + 3 log(n) a segment. sums: rows of (n, x, y, xx, xy, yy), one a
+    value of x, ascending; running sums give the squares of any stretch. With over ``most`` values the optima are taken over the
+    borders of ``most`` blocks of values, and every break then goes to the best place between its neighbours, until none moves.
+    """
     run = np.concatenate([np.zeros((1, 6)), np.cumsum(sums, axis=0)])
-    starts, at, n = [0], 0, len(sums)
-    while n - at >= 2 * least:
-        ends = np.arange(at + least, n - least + 1)
-        fits = ends[r2_of(run[ends] - run[at]) >= good]
-        if not len(fits) or r2_of(run[n:] - run[at])[0] >= good:
-            break
-        at = int(fits[-1])
-        starts.append(at)
-    for i in [*range(1, len(starts))] * 2:
-        left, right = starts[i - 1], starts[i + 1] if i + 1 < len(starts) else n
-        cuts = np.arange(left + least, right - least + 1)
-        if len(cuts):
-            starts[i] = int(cuts[np.argmin(rest_of(run[cuts] - run[left]) + rest_of(run[right] - run[cuts]))])
-    return starts
+    values = len(sums)
+    places = np.arange(values + 1) if values <= most else np.unique(np.linspace(0, values, most + 1).astype(int))
+    total, rows = run[-1, 0], run[places, 0]
+    every = max(1, int(total // max(least, 1)))
+    cost = np.full((every, len(places)), np.inf)
+    back = np.zeros((every, len(places)), int)
+    for j in range(1, len(places)):
+        open_ = (rows[j] - rows[:j] >= least) & (places[j] - places[:j] >= 2)
+        i = int(np.count_nonzero(open_))  # those that are far enough come first
+        if i:
+            left = rest_of(run[places[j]] - run[places[:i]])
+            cost[0, j] = left[0]
+            through = cost[:-1, :i] + left
+            back[1:, j] = np.argmin(through, axis=1)
+            cost[1:, j] = np.min(through, axis=1)
+    # what rounding leaves of a perfect fit is no difference
+    floor = 1e-12 * max(rest_of(run[-1:])[0], 1e-12 * run[-1, 5], 1e-300)
+    found: list[tuple[float, list[int]]] = []
+    for k in range(every):
+        if np.isfinite(cost[k, -1]):
+            at, starts = len(places) - 1, [0]
+            for s in range(k, 0, -1):
+                at = int(back[s, at])
+                starts.insert(1, int(places[at]))
+            starts = starts if values <= most else _moved(run, starts, least)
+            left = rest_of(run[[*starts[1:], values]] - run[starts]).sum()
+            found.append((total * np.log(max(left, floor) / total) + 3 * np.log(total) * (k + 1), starts))
+    return min(found, default=(0.0, [0]))[1]
+
+
+def _moved(run: np.ndarray, starts: list[int], least: int) -> list[int]:
+    """Each break where the lines on both sides leave the least squares, in turns."""
+    bounds, moved = [*starts, len(run) - 1], True
+    while moved:
+        moved = False
+        for i in range(1, len(bounds) - 1):
+            left, right = bounds[i - 1], bounds[i + 1]
+            cuts = np.arange(left + 2, right - 1)
+            cuts = cuts[(run[cuts, 0] - run[left, 0] >= least) & (run[right, 0] - run[cuts, 0] >= least)]
+            squares = rest_of(run[cuts] - run[left]) + rest_of(run[right] - run[cuts])
+            best = int(cuts[np.argmin(squares)])
+            now = rest_of(run[[bounds[i]]] - run[left])[0] + rest_of(run[[right]] - run[bounds[i]])[0]
+            if squares.min() < now * (1 - 1e-9):
+                bounds[i], moved = best, True
+    return bounds[:-1]
 
 
 def rest_of(t: np.ndarray) -> np.ndarray:
     """Squares that the line of each row of sums leaves."""
-    n, _, y, _, _, yy = t.T
-    return np.maximum(yy - y * y / n, 0) * (1 - r2_of(t))
+    n, x, y, xx, xy, yy = t.T
+    sxx, sxy, syy = xx - x * x / n, xy - x * y / n, yy - y * y / n
+    same = sxx <= 1e-12 * np.maximum(1.0, xx)
+    return np.maximum(syy - np.where(same, 0.0, sxy * sxy / np.where(same, 1.0, sxx)), 0)
 
 
 def r2_of(t: np.ndarray) -> np.ndarray:
@@ -160,10 +201,10 @@ def r2_of(t: np.ndarray) -> np.ndarray:
 
 def piecewise(trace: DataFrame, least_share: float = 0.03) -> DataFrame:
     """(seg, y, x, segments, breaks, r2): the input by which an output is piecewise linear best: mean r2 of the segments, each
-    with ``least_share`` of the input's distinct values at least; ties go to fewer segments, then by name. breaks: the last input
-    value of every segment but the last.
+    with ``least_share`` of the rows at least (and three of them); ties go to fewer segments, then by name. breaks: the last input
+    value of every segment but the last, chosen by ``break_points``.
 
-    Sums of each distinct input value are combined before the shuffle; the values of one (seg, x, y) meet in a task.
+    Sums of each distinct input value are combined before the shuffle; the values of one (seg, x, y) meet in a task, one row of sums each.
     """
     rows = known(trace).where(~is_address_key(F.col("key"))).withColumn("v", number("value").cast("double")).where("v is not null")
     cell = F.struct("key", "v")
@@ -183,7 +224,7 @@ def piecewise(trace: DataFrame, least_share: float = 0.03) -> DataFrame:
         sums = np.stack([n, n * u, v, n * u * u, u * v, vv], axis=1)
         if len(x) < 3 or vv.sum() <= 1e-12 * max(1.0, yy.sum()):
             return made
-        starts = break_points(sums, max(2, int(np.ceil(least_share * len(x)))))
+        starts = break_points(sums, max(3, int(least_share * n.sum())))
         ends = [*starts[1:], len(x)]
         score = float(r2_of(np.stack([sums[i:j].sum(axis=0) for i, j in zip(starts, ends, strict=True)])).mean())
         return pd.DataFrame([(pdf.seg.iloc[0], name, pdf.x.iloc[0], len(starts), x[[i - 1 for i in starts[1:]]].tolist(), round(score, 9))], columns=made.columns)

@@ -1,6 +1,8 @@
 """Syntax trees as tables (file, node_id, parent_id, ord, kind, role, ...), node ids unique over all files.
 
-The ancestor table is built once, level by level, and most operators are joins with it.
+Depths, common ancestors, distances, paths and anchors go by lifting: every node knows the nodes 1, 2, 4, .. levels above it, found by doubling, so
+that a tree of any depth takes as many rounds as its depth has bits and a row a node. ``spans`` numbers a tree in its own order, so that a node
+lies in another where its span does. The table of all ancestors is for operators whose result is of that size.
 """
 
 from __future__ import annotations
@@ -8,14 +10,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from srcfacts.operators.facts import innermost
 from srcfacts.operators.logs import number_rows
-from srcfacts.session import cut
+from srcfacts.session import cut, stored
 
 MOST_DEPTH = 10_000
+#: Bits of the depth of the deepest tree; a deeper one, or a circle, raises.
+MOST_BITS = 40
 
 
 def ancestors(tree: DataFrame, most_depth: int = MOST_DEPTH) -> DataFrame:
-    """(node_id, anc, up): every node with itself (up 0) and all nodes above it."""
+    """(node_id, anc, up): every node with itself (up 0) and all nodes above it: as many rows as the depths have levels."""
     parent = cut(tree.select("node_id", "parent_id"))
     level = parent.select("node_id", F.col("node_id").alias("anc"), F.lit(0).alias("up"), F.col("parent_id").alias("next"))
     done = level.drop("next")
@@ -27,14 +32,64 @@ def ancestors(tree: DataFrame, most_depth: int = MOST_DEPTH) -> DataFrame:
     raise RuntimeError(f"the tree is deeper than {most_depth}")
 
 
-def depths(anc: DataFrame) -> DataFrame:
+def doubled(rows: DataFrame, values: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """(node, values..) with what the whole way up gives, rows (node, far, values..), far the next node up or null.
+
+    values: name -> how a row's value and that of the row ``far`` above it (its columns behind ``up_``) make one of both, and what its own becomes where nothing is above. Each
+    round doubles how far a row sees; rows that see the end are left alone.
+    """
+    state = stored(rows.select("node", "far", *values))
+    for _ in range(MOST_BITS):
+        if state.where("far is not null").isEmpty():
+            return state.drop("far")
+        above = state.select(F.col("node").alias("far"), F.col("far").alias("next"), *[F.col(n).alias(f"up_{n}") for n in values], F.lit(True).alias("there"))
+        moved = state.where("far is not null").join(above, "far", "left").select("node", F.col("next").alias("far"), *[F.when(F.col("there"), both).otherwise(alone).alias(n) for n, (both, alone) in values.items()])
+        state = stored(state.where("far is null").unionByName(moved))
+    raise RuntimeError(f"the tree is deeper than 2^{MOST_BITS}, or has a circle")
+
+
+def lift(tree: DataFrame) -> DataFrame:
+    """(node_id, depth, ups): a root has depth 0; ups[k] is the node 2^k levels above. Parents that the tree lacks count as a level without a node above."""
+    parent = F.col("parent_id")
+    rows = tree.select(F.col("node_id").alias("node"), parent.alias("far"), F.when(parent.isNull(), 0).otherwise(1).alias("depth"), F.when(parent.isNull(), F.array().cast(f"array<{tree.schema['node_id'].dataType.simpleString()}>")).otherwise(F.array(parent)).alias("ups"))
+    ups = F.when(F.col("next").isNull(), F.col("ups")).otherwise(F.concat("ups", F.array("next")))
+    found = doubled(rows, {"depth": (F.col("depth") + F.col("up_depth"), F.col("depth")), "ups": (ups, F.col("ups"))})
+    return found.select(F.col("node").alias("node_id"), "depth", "ups")
+
+
+def depths(lifted: DataFrame) -> DataFrame:
     """(node_id, depth), a root has 0."""
-    return anc.groupBy("node_id").agg(F.max("up").alias("depth"))
+    return lifted.select("node_id", "depth")
 
 
-def deepest(anc: DataFrame, sets: DataFrame) -> DataFrame:
+def deepest(lifted: DataFrame, sets: DataFrame) -> DataFrame:
     """(q, node_id): the deepest node of each set (q, node_id); ties go to the smallest id."""
-    return sets.join(depths(anc), "node_id").groupBy("q").agg(F.max_by("node_id", F.struct("depth", -F.col("node_id"))).alias("node_id"))
+    return sets.join(depths(lifted), "node_id").groupBy("q").agg(F.max_by("node_id", F.struct("depth", -F.col("node_id"))).alias("node_id"))
+
+
+def spans(tree: DataFrame, order: tuple[str, ...] = ()) -> DataFrame:
+    """(node_id, root, begin, end): places of a walk round each tree, children by the order and then by id: a node is in another, or is it,
+    where its span is inside the other's, and what comes first has the smaller begin.
+
+    The walk comes into each node and goes out of it; which step follows which is known from parents and neighbours, and every step
+    finds its distance from the end by doubling. No level and no parent has to fit into a task.
+    """
+    kids = number_rows(tree.select("node_id", "parent_id", *order), ["parent_id", *order, "node_id"], "n", 0).select("node_id", "parent_id", F.col("n").cast("long").alias("n"))
+    kids = cut(kids)
+    # walked from the last child to the first, and counted from the end: both turn round
+    before = kids.select((F.col("n") + 1).alias("n"), F.col("n").alias("n_before"), F.col("parent_id").alias("p2"))
+    up = kids.select(F.col("node_id").alias("parent_id"), F.col("n").alias("n_up"))
+    last = kids.where("parent_id is not null").groupBy("parent_id").agg(F.max("n").alias("n_last"))
+    known = kids.join(before, "n", "left").join(up, "parent_id", "left").join(last.withColumnRenamed("parent_id", "node_id"), "node_id", "left")
+    n = F.col("n")
+    same = F.col("parent_id").isNotNull() & F.col("n_up").isNotNull() & F.col("p2").eqNullSafe(F.col("parent_id"))
+    into = F.struct((2 * n).alias("node"), F.coalesce(2 * F.col("n_last"), 2 * n + 1).alias("far"))
+    out = F.struct((2 * n + 1).alias("node"), F.when(same, 2 * F.col("n_before")).otherwise(2 * F.col("n_up") + 1).alias("far"))
+    steps = known.select(F.explode(F.array(into, out)).alias("x")).select("x.node", "x.far", F.lit(0).cast("long").alias("left"), F.col("x.node").alias("end"))
+    steps = steps.withColumn("left", F.when(F.col("far").isNull(), 0).otherwise(1).cast("long"))
+    places = cut(doubled(steps, {"left": (F.col("left") + F.col("up_left"), F.col("left")), "end": (F.col("up_end"), F.col("end"))}))
+    half = places.groupBy(F.floor(F.col("node") / 2).cast("long").alias("n")).agg(F.min("left").alias("begin"), F.max("left").alias("end"), F.floor(F.min("end") / 2).cast("long").alias("n_root"))
+    return half.join(kids.select("n", "node_id"), "n").join(kids.select(F.col("n").alias("n_root"), F.col("node_id").alias("root")), "n_root").select("node_id", "root", "begin", "end")
 
 
 def children(tree: DataFrame, order: str = "ord") -> DataFrame:
@@ -62,39 +117,86 @@ def descendants(anc: DataFrame) -> DataFrame:
     return anc.select(F.col("anc").alias("node_id"), F.col("node_id").alias("inside"))
 
 
-def common_ancestor(anc: DataFrame, sets: DataFrame) -> DataFrame:
-    """(q, lca): the deepest node above all members of each set (q, node_id); none if they share no root."""
-    size = sets.distinct().groupBy("q").agg(F.count("*").alias("size"))
-    shared = sets.distinct().join(anc, "node_id").groupBy("q", "anc").agg(F.count("*").alias("n")).join(size, "q").where("n = size")
-    return shared.join(depths(anc).withColumnRenamed("node_id", "anc"), "anc").groupBy("q").agg(F.max_by("anc", "depth").alias("lca"))
+def _bits(lifted: DataFrame) -> int:
+    return lifted.agg(F.max(F.size("ups"))).first()[0] or 0
 
 
-def distance(anc: DataFrame, pairs: DataFrame, both_ends: bool = False) -> DataFrame:
-    """(a, b, lca, distance) of node pairs: edges on the way through their common ancestor; both_ends counts both ends and
-    that ancestor twice (4 more)."""
-    left, right = anc.toDF("a", "anc", "up_a"), anc.toDF("b", "anc", "up_b")
-    met = pairs.select("a", "b").distinct().join(left, "a").join(right, ["b", "anc"])
-    best = met.groupBy("a", "b").agg(F.min_by(F.struct("anc", "up_a", "up_b"), "up_a").alias("x"))
-    return best.select("a", "b", F.col("x.anc").alias("lca"), (F.col("x.up_a") + F.col("x.up_b") + F.lit(4 if both_ends else 0)).alias("distance"))
+def common_ancestor(lifted: DataFrame, sets: DataFrame) -> DataFrame:
+    """(q, lca): the deepest node above all members of each set (q, node_id); none if they share no root.
 
+    Members rise to the depth of the highest; then all rise as long as they stay apart, from the largest step down.
+    """
+    lifted = stored(lifted)
+    bits, now = _bits(lifted), sets.select("q", "node_id").distinct()
+    least = stored(now.join(depths(lifted), "node_id").groupBy("q").agg(F.min("depth").alias("least"), F.count("*").alias("size")))
+    asked = now.groupBy("q").agg(F.count("*").alias("asked"))
+    least = least.join(asked, "q").where("asked = size").select("q", "least")  # a member outside of the tree: no ancestor
+    now = stored(now.join(least, "q").join(lifted, "node_id"))
+    for k in range(bits - 1, -1, -1):
+        high = F.col("depth") - F.col("least") >= 2**k
+        now = stored(now.select("q", F.when(high, F.get("ups", F.lit(k))).otherwise(F.col("node_id")).alias("node_id"), "least").distinct().join(lifted, "node_id"))
+    for k in range(bits - 1, -1, -1):
+        above = F.get("ups", F.lit(k))
+        apart = now.groupBy("q").agg((~F.min(above).eqNullSafe(F.max(above))).alias("apart"))
+        now = stored(now.join(apart, "q").select("q", F.when(F.col("apart"), above).otherwise(F.col("node_id")).alias("node_id")).distinct().join(lifted, "node_id"))
+    parent = F.get("ups", F.lit(0))
+    found = now.groupBy("q").agg(F.min("node_id").alias("low"), F.max("node_id").alias("high"), F.min(parent).alias("p_low"), F.max(parent).alias("p_high"), F.count(parent).alias("with"), F.count("*").alias("size"))
+    return found.select("q", F.when(F.col("low") == F.col("high"), F.col("low")).when((F.col("p_low") == F.col("p_high")) & (F.col("with") == F.col("size")), F.col("p_low")).alias("lca")).where("lca is not null")
+
+
+def distance(lifted: DataFrame, pairs: DataFrame, both_ends: bool = False) -> DataFrame:
+    """(a, b, lca, distance) of node pairs: edges on the way through their common ancestor; both_ends counts both ends and
+    that ancestor twice (4 more). Pairs without a common ancestor give no row."""
+    wanted = pairs.select("a", "b").distinct().withColumn("q", F.struct("a", "b"))
+    members = wanted.select("q", F.col("a").alias("node_id")).union(wanted.select("q", F.col("b")))
+    deep = lambda c: depths(lifted).toDF(c, f"depth_{c}")
+    found = common_ancestor(lifted, members).select("q.a", "q.b", "lca").join(deep("a"), "a").join(deep("b"), "b").join(deep("lca"), "lca")
+    return found.select("a", "b", "lca", (F.col("depth_a") + F.col("depth_b") - 2 * F.col("depth_lca") + F.lit(4 if both_ends else 0)).alias("distance"))
 
-def path_closure(anc: DataFrame, sets: DataFrame, to_root: bool = False) -> DataFrame:
-    """(q, node_id): each set with the nodes on the paths to its common ancestor, or to the root."""
-    above = sets.distinct().join(anc, "node_id").select("q", F.col("anc").alias("node_id")).distinct()
-    if to_root:
-        return above
-    depth = depths(anc)
-    top = common_ancestor(anc, sets).join(depth.withColumnRenamed("node_id", "lca"), "lca").select("q", F.col("depth").alias("least"))
-    return above.join(depth, "node_id").join(top, "q").where("depth >= least").select("q", "node_id")
 
+def path_closure(lifted: DataFrame, sets: DataFrame, to_root: bool = False) -> DataFrame:
+    """(q, node_id): each set with the nodes on the paths to its common ancestor, or to the root.
 
-def anchors(tree: DataFrame, anc: DataFrame, rules: dict[str, list[str]]) -> DataFrame:
+    A way of n levels is halved until it is a node long; halves that members share are taken once.
+    """
+    lifted = cut(lifted)
+    now = sets.select("q", "node_id").distinct().join(depths(lifted), "node_id")
+    if not to_root:
+        top = common_ancestor(lifted, sets).join(depths(lifted).toDF("lca", "least"), "lca").select("q", "least")
+        now = now.join(top, "q").withColumn("depth", F.col("depth") - F.col("least"))
+    now, done = cut(now.select("q", "node_id", F.col("depth").alias("way"))), []
+    for _ in range(MOST_BITS):
+        done.append(now.where("way = 0").select("q", "node_id"))
+        open_ = now.where("way > 0")
+        if open_.isEmpty():
+            break
+        bit = F.floor(F.log2(F.col("way"))).cast("int")
+        halves = open_.join(lifted, "node_id").withColumn("bit", bit).withColumn("step", F.expr("shiftleft(1, bit)"))
+        parts = F.array(F.struct("node_id", (F.col("step") - 1).alias("way")), F.struct(F.get("ups", F.col("bit")).alias("node_id"), (F.col("way") - F.col("step")).alias("way")))
+        now = cut(halves.select("q", F.explode(parts).alias("x")).select("q", "x.node_id", "x.way").where("node_id is not null").groupBy("q", "node_id").agg(F.max("way").alias("way")))
+    out = done[0]
+    for d in done[1:]:
+        out = out.union(d)
+    return out.distinct()
+
+
+def anchors(tree: DataFrame, rules: dict[str, list[str]]) -> DataFrame:
     """(node_id, anchor): the nearest node above of one of the kinds that belong to the node's kind,
-    e.g. {"break": ["for", "while", "do", "switch"], "continue": ["for", "while", "do"], "case": ["switch"], "else": ["if"]}."""
-    wanted = F.create_map(*[x for k, v in rules.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    asked = tree.where(F.col("kind").isin(*rules)).select("node_id", wanted[F.col("kind")].alias("kinds"))
-    met = asked.join(anc.where("up > 0"), "node_id").join(tree.select(F.col("node_id").alias("anc"), F.col("kind").alias("above")), "anc").where(F.array_contains("kinds", F.col("above")))
-    return met.groupBy("node_id").agg(F.min_by("anc", "up").alias("anchor"))
+    e.g. {"break": ["for", "while", "do", "switch"], "continue": ["for", "while", "do"], "case": ["switch"], "else": ["if"]}.
+
+    Every node looks up twice as far each round and keeps the nearest node for each rule.
+    """
+    kinds = list(rules)
+    above = tree.select(F.col("node_id").alias("parent_id"), F.col("kind").alias("above"), F.lit(True).alias("known"))
+    own = tree.select("node_id", "parent_id", "kind").join(above, "parent_id", "left")
+    hits = {f"hit_{i}": F.when(F.col("above").isin(rules[k]), F.col("parent_id")) for i, k in enumerate(kinds)}
+    rows = own.select(F.col("node_id").alias("node"), F.when(F.col("known"), F.col("parent_id")).alias("far"), *[h.alias(n) for n, h in hits.items()])
+    found = doubled(rows, {n: (F.coalesce(n, f"up_{n}"), F.col(n)) for n in hits})
+    picked = F.lit(None)
+    for i, k in enumerate(kinds):
+        picked = F.when(F.col("kind") == k, F.col(f"hit_{i}")).otherwise(picked)
+    asked = tree.where(F.col("kind").isin(kinds)).select(F.col("node_id").alias("node"), "kind")
+    return asked.join(found, "node").select(F.col("node").alias("node_id"), picked.alias("anchor")).where("anchor is not null")
 
 
 # Fixed values of the language's grammar: what a selected parent brings along, as (kind, role, the role that has to be selected
@@ -138,11 +240,11 @@ def mandatory(tree: DataFrame, sets: DataFrame, rules=MANDATORY, alone=ALONE) ->
     return called.join(tree.select("node_id", "parent_id", "role"), ["parent_id", "role"]).select("q", "node_id").distinct()
 
 
-def complete(tree: DataFrame, anc: DataFrame, sets: DataFrame, most_rounds: int = 100) -> DataFrame:
+def complete(tree: DataFrame, lifted: DataFrame, sets: DataFrame, most_rounds: int = 100) -> DataFrame:
     """(q, node_id): sets closed under paths to the common ancestor and under mandatory children."""
     now, n = cut(sets.select("q", "node_id").distinct()), -1
     for _ in range(most_rounds):
-        now = cut(path_closure(anc, now).union(now).distinct())
+        now = cut(path_closure(lifted, now).union(now).distinct())
         now = cut(now.union(mandatory(tree, now)).distinct())
         if (size := now.count()) == n:
             return now
@@ -160,11 +262,12 @@ def function_headers(tree: DataFrame, anc: DataFrame, sets: DataFrame, kind: str
     return sets.select("q", "node_id").union(wanted.select("q", F.col("function").alias("node_id"))).union(parts).distinct()
 
 
-def kind_path(tree: DataFrame, anc: DataFrame) -> DataFrame:
+def kind_path(tree: DataFrame) -> DataFrame:
     """(node_id, path): kinds from the root down, apart by "/"."""
-    named = anc.join(tree.select(F.col("node_id").alias("anc"), "kind"), "anc")
-    rows = named.groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("up")).alias("k"), "kind"))).alias("x"))
-    return rows.select("node_id", F.array_join(F.transform("x", lambda x: x["kind"]), "/").alias("path"))
+    known = tree.select(F.col("node_id").alias("far"), F.lit(True).alias("there"))
+    rows = tree.select(F.col("node_id").alias("node"), F.col("parent_id").alias("far"), F.coalesce("kind", F.lit("")).alias("path")).join(known, "far", "left")
+    rows = rows.select("node", F.when(F.col("there"), F.col("far")).alias("far"), "path")
+    return doubled(rows, {"path": (F.concat_ws("/", "up_path", "path"), F.col("path"))}).select(F.col("node").alias("node_id"), "path")
 
 
 def nth_of_kind(tree: DataFrame, line: Column, order: list[str]) -> DataFrame:
@@ -186,12 +289,14 @@ def selection_distribution(sets: DataFrame, tree: DataFrame, anc: DataFrame, kin
 def nearest_definition(uses: DataFrame, scopes: DataFrame, defs: DataFrame) -> DataFrame:
     """(use_id, def_id): each used name's definition in the deepest scope around it.
 
-    uses: (use_id, scope_id, name); scopes: (scope_id, parent_id); defs: (def_id, scope_id, name).
+    uses: (use_id, scope_id, name); scopes: (scope_id, parent_id); defs: (def_id, scope_id, name). Scopes become spans of one walk, and a
+    name's definitions spans of that name: the smallest around a use is asked for, whatever lies between them.
     """
-    anc = ancestors(scopes.select(F.col("scope_id").alias("node_id"), "parent_id"))
-    around = uses.join(anc.withColumnRenamed("node_id", "scope_id"), "scope_id").select("use_id", "name", F.col("anc").alias("scope_id"), "up")
-    met = around.join(defs, ["scope_id", "name"])
-    return met.groupBy("use_id").agg(F.min_by("def_id", F.struct("up", "def_id")).alias("def_id"))
+    walk = cut(spans(scopes.select(F.col("scope_id").alias("node_id"), "parent_id")).withColumnRenamed("node_id", "scope_id"))
+    known = defs.groupBy("scope_id", "name").agg(F.min("def_id").alias("id")).join(walk, "scope_id").select(F.struct("root", "name").alias("file"), "id", "begin", "end")
+    asked = uses.select("use_id", "scope_id", "name").join(walk, "scope_id").select("use_id", F.struct("root", "name").alias("file"), F.col("begin").alias("line"))
+    found = innermost(asked, known)
+    return asked.join(found, ["file", "line"]).select("use_id", F.col("id").alias("def_id"))
 
 
 def input_variables(uses: DataFrame, definitions: DataFrame, sets: DataFrame, globals_: DataFrame) -> DataFrame:
@@ -206,7 +311,7 @@ def input_variables(uses: DataFrame, definitions: DataFrame, sets: DataFrame, gl
     return named.join(known, "name", "left").select("q", "name", F.when(F.col("local"), "local").when(F.col("global"), "global").otherwise("unknown").alias("source"))
 
 
-def slice_features(lines: DataFrame, criteria: DataFrame, anc: DataFrame, members: DataFrame) -> DataFrame:
+def slice_features(lines: DataFrame, criteria: DataFrame, lifted: DataFrame, members: DataFrame) -> DataFrame:
     """(crit, file, line, same_var, var_type, distance, ast_distance, to_lca, criterion_to_lca, level, uses_global, in_slice) for every
     line of the criterion's function: tree distances are null where no node is above both.
 
@@ -215,10 +320,11 @@ def slice_features(lines: DataFrame, criteria: DataFrame, anc: DataFrame, member
     """
     crit = criteria.join(lines.select("file", "function", "line", F.col("node_id").alias("c_node"), F.col("variables").alias("c_vars")), ["file", "line"]).select("crit", "file", "function", F.col("line").alias("c_line"), "c_node", "c_vars")
     rows = crit.join(lines, ["file", "function"])
-    left, right = anc.toDF("c_node", "anc", "up_c"), anc.toDF("node_id", "anc", "up_n")
-    met = rows.select("c_node", "node_id").distinct().join(left, "c_node").join(right, ["node_id", "anc"])
-    way = met.groupBy("c_node", "node_id").agg(F.min_by(F.struct("anc", "up_c", "up_n"), "up_c").alias("way")).select("c_node", "node_id", F.col("way.anc").alias("lca"), F.col("way.up_c").alias("up_c"), F.col("way.up_n").alias("up_n"))
-    rows = rows.join(way, ["c_node", "node_id"], "left").join(depths(anc).toDF("lca", "level"), "lca", "left")
+    pairs = rows.select(F.col("c_node").alias("a"), F.col("node_id").alias("b")).distinct()
+    deep = depths(lifted)
+    way = distance(lifted, pairs).join(deep.toDF("lca", "level"), "lca").join(deep.toDF("a", "da"), "a").join(deep.toDF("b", "db"), "b")
+    way = way.select(F.col("a").alias("c_node"), F.col("b").alias("node_id"), "level", (F.col("da") - F.col("level")).alias("up_c"), (F.col("db") - F.col("level")).alias("up_n"))
+    rows = rows.join(way, ["c_node", "node_id"], "left")
     hit = members.select("crit", "file", "line", F.lit(True).alias("hit")).distinct()
     return rows.join(hit, ["crit", "file", "line"], "left").select(
         "crit", "file", "line", F.arrays_overlap("variables", "c_vars").cast("int").alias("same_var"), "var_type", F.abs(F.col("line") - F.col("c_line")).alias("distance"), (F.col("up_c") + F.col("up_n")).alias("ast_distance"),

@@ -86,8 +86,8 @@ def _sets(i):
     return i.tree().select(F.col("size").alias("q"), "node_id")
 
 
-add("t01_depth", lambda i: T.depths(T.ancestors(i.tree())), "SELECT node_id, depth FROM depths")
-add("t01_deepest", lambda i: T.deepest(T.ancestors(i.tree()), _sets(i)), f"SELECT q, arg_max(node_id, (depth, -node_id)) AS node_id FROM ({_SETS}) JOIN depths USING (node_id) GROUP BY 1")
+add("t01_depth", lambda i: T.depths(T.lift(i.tree())), "SELECT node_id, depth FROM depths")
+add("t01_deepest", lambda i: T.deepest(T.lift(i.tree()), _sets(i)), f"SELECT q, arg_max(node_id, (depth, -node_id)) AS node_id FROM ({_SETS}) JOIN depths USING (node_id) GROUP BY 1")
 add("t02_children", lambda i: T.children(i.tree().withColumn("ord", F.col("size"))), "SELECT parent_id AS node_id, list(node_id ORDER BY size, node_id) AS children FROM tree WHERE parent_id IS NOT NULL GROUP BY 1")
 add("p04_leaves", lambda i: T.leaves(i.tree()).select("file", "node_id", "parent_id", "kind", "size"), "SELECT * FROM tree WHERE node_id NOT IN (SELECT parent_id FROM tree WHERE parent_id IS NOT NULL)")
 add("t03_tokens", lambda i: T.tokens(i.tree(), ["node_id"]).select("file", "node_id", "token"), "SELECT file, node_id, CAST(row_number() OVER (PARTITION BY file ORDER BY node_id) - 1 AS INTEGER) AS token FROM tree WHERE node_id NOT IN (SELECT parent_id FROM tree WHERE parent_id IS NOT NULL)")
@@ -102,7 +102,7 @@ def _small_sets(i):
 
 _SMALL = "SELECT parent_id AS q, node_id FROM tree WHERE parent_id IS NOT NULL"
 _SMALL_LCA = _LCA.replace(_SETS, _SMALL).replace("SELECT size AS q, count(*) AS n FROM tree GROUP BY 1", f"SELECT q, count(*) AS n FROM ({_SMALL}) GROUP BY 1")
-add("t05_common_ancestor", lambda i: T.common_ancestor(T.ancestors(i.tree()), _small_sets(i)), _SMALL_LCA)
+add("t05_common_ancestor", lambda i: T.common_ancestor(T.lift(i.tree()), _small_sets(i)), _SMALL_LCA)
 
 
 def _node_pairs(i):
@@ -110,10 +110,10 @@ def _node_pairs(i):
 
 
 _DIST = "SELECT a, b, arg_min(anc, up_a) AS lca, min(up_a) + min(up_b) AS distance FROM (SELECT p.node_id AS a, p.node_id + 7 AS b, x.anc, x.up AS up_a, y.up AS up_b FROM tree p JOIN anc x ON x.node_id = p.node_id JOIN anc y ON y.node_id = p.node_id + 7 AND y.anc = x.anc) GROUP BY 1, 2"
-add("t06_distance", lambda i: T.distance(T.ancestors(i.tree()), _node_pairs(i)), _DIST)
-add("t06_distance_both_ends", lambda i: T.distance(T.ancestors(i.tree()), _node_pairs(i), both_ends=True), f"SELECT a, b, lca, distance + 4 AS distance FROM ({_DIST})")
-add("t07_to_root", lambda i: T.path_closure(T.ancestors(i.tree()), _sets(i), to_root=True), f"SELECT DISTINCT q, anc AS node_id FROM ({_SETS}) JOIN anc USING (node_id)")
-add("t07_to_common_ancestor", lambda i: T.path_closure(T.ancestors(i.tree()), _small_sets(i)), f"SELECT DISTINCT q, anc AS node_id FROM ({_SMALL}) s JOIN anc USING (node_id) JOIN (SELECT node_id AS anc, depth FROM depths) d USING (anc) JOIN ({_SMALL_LCA}) l USING (q) JOIN (SELECT node_id AS lca, depth AS least FROM depths) m USING (lca) WHERE depth >= least")
+add("t06_distance", lambda i: T.distance(T.lift(i.tree()), _node_pairs(i)), _DIST)
+add("t06_distance_both_ends", lambda i: T.distance(T.lift(i.tree()), _node_pairs(i), both_ends=True), f"SELECT a, b, lca, distance + 4 AS distance FROM ({_DIST})")
+add("t07_to_root", lambda i: T.path_closure(T.lift(i.tree()), _sets(i), to_root=True), f"SELECT DISTINCT q, anc AS node_id FROM ({_SETS}) JOIN anc USING (node_id)")
+add("t07_to_common_ancestor", lambda i: T.path_closure(T.lift(i.tree()), _small_sets(i)), f"SELECT DISTINCT q, anc AS node_id FROM ({_SMALL}) s JOIN anc USING (node_id) JOIN (SELECT node_id AS anc, depth FROM depths) d USING (anc) JOIN ({_SMALL_LCA}) l USING (q) JOIN (SELECT node_id AS lca, depth AS least FROM depths) m USING (lca) WHERE depth >= least")
 _RULES = {"Brand#1": ["Brand#2", "Brand#3"], "Brand#4": ["Brand#5"]}
 
 
@@ -121,7 +121,7 @@ def _kinded(i):
     return i.tree().withColumn("kind", F.substring("kind", 1, 7))
 
 
-add("t08_anchors", lambda i: T.anchors(_kinded(i), T.ancestors(i.tree()), _RULES), """SELECT t.node_id, arg_min(a.anc, a.up) AS anchor FROM tree t JOIN anc a ON a.node_id = t.node_id AND a.up > 0 JOIN tree k ON k.node_id = a.anc
+add("t08_anchors", lambda i: T.anchors(_kinded(i), _RULES), """SELECT t.node_id, arg_min(a.anc, a.up) AS anchor FROM tree t JOIN anc a ON a.node_id = t.node_id AND a.up > 0 JOIN tree k ON k.node_id = a.anc
  WHERE (t.kind LIKE 'Brand#1%' AND substring(k.kind, 1, 7) IN ('Brand#2', 'Brand#3')) OR (t.kind LIKE 'Brand#4%' AND k.kind LIKE 'Brand#5%') GROUP BY 1""")
 _ROLES = {"Brand#1": ("a", "b"), "Brand#2": ("c",)}
 
@@ -154,7 +154,7 @@ add("t09_mandatory", lambda i: T.mandatory(_grammar(i), _thirds(i)), f"""WITH g
  SELECT DISTINCT a.q, g.node_id FROM a JOIN {_CALLED} ON m.parent_kind = a.kind JOIN g ON g.parent_id = a.node_id AND g.role = m.role WHERE m.needs IS NULL OR list_contains(a.roles, m.needs)""")
 add("t10_function_headers", lambda i: T.function_headers(_roled(i), T.ancestors(i.tree()), _sets(i), "Brand#3", ("a",)), f"""WITH f AS (SELECT DISTINCT s.size AS q, a.anc AS fn FROM tree s JOIN anc a USING (node_id) JOIN tree k ON k.node_id = a.anc AND k.kind LIKE 'Brand#3%'), w AS (SELECT * FROM f WHERE q IN (SELECT q FROM f GROUP BY q HAVING count(*) >= 2))
  SELECT size AS q, node_id FROM tree UNION SELECT q, fn FROM w UNION SELECT q, c.node_id FROM w JOIN {_ROLED} c ON c.parent_id = fn AND c.role = 'a'""")
-add("t11_kind_path", lambda i: T.kind_path(i.tree(), T.ancestors(i.tree())), "SELECT a.node_id, string_agg(t.kind, '/' ORDER BY a.up DESC) AS path FROM anc a JOIN tree t ON t.node_id = a.anc GROUP BY 1")
+add("t11_kind_path", lambda i: T.kind_path(i.tree()), "SELECT a.node_id, string_agg(t.kind, '/' ORDER BY a.up DESC) AS path FROM anc a JOIN tree t ON t.node_id = a.anc GROUP BY 1")
 add("t11_nth_of_kind", lambda i: T.nth_of_kind(i.tree(), F.col("size"), ["node_id"]).select("node_id", "nth"), "SELECT node_id, row_number() OVER (PARTITION BY file, kind, size ORDER BY node_id) AS nth FROM tree")
 add("a15_selection_distribution", lambda i: T.selection_distribution(_sets(i), _kinded(i), T.ancestors(i.tree()), ["Brand#1", "Brand#2"]), """SELECT s.size AS q, count(DISTINCT s.node_id) AS tokens, count(DISTINCT s.file) AS n_files, count(DISTINCT CASE WHEN k.kind LIKE 'Brand#1%' THEN anc END) AS "n_Brand#1", count(DISTINCT CASE WHEN k.kind LIKE 'Brand#2%' THEN anc END) AS "n_Brand#2",
  count(DISTINCT s.node_id) / nullif(count(DISTINCT CASE WHEN k.kind LIKE 'Brand#1%' THEN anc END), 0) AS "per_Brand#1", count(DISTINCT s.node_id) / nullif(count(DISTINCT CASE WHEN k.kind LIKE 'Brand#2%' THEN anc END), 0) AS "per_Brand#2" FROM tree s JOIN anc USING (node_id) JOIN tree k ON k.node_id = anc GROUP BY 1""")
@@ -179,7 +179,7 @@ def _feature_lines(i):
     return i.tree().select("file", F.when(F.col("size") < 25, "f").otherwise("g").alias("function"), F.col("node_id").alias("line"), "node_id", F.array((F.col("size") % 10).cast("string"), (F.col("node_id") % 10).cast("string")).alias("variables"), (F.col("size") % 4).alias("var_type"), (F.col("size") % 2 == 0).alias("uses_global"))
 
 
-add("t14_slice_features", lambda i: T.slice_features(_feature_lines(i), i.tree().where("kind = 'Brand#11'").select(F.col("node_id").alias("crit"), "file", F.col("node_id").alias("line")), T.ancestors(i.tree()), i.tree().where("parent_id is not null").select(F.col("parent_id").alias("crit"), "file", F.col("node_id").alias("line"))), """WITH l AS (SELECT *, size < 25 AS fn FROM tree),
+add("t14_slice_features", lambda i: T.slice_features(_feature_lines(i), i.tree().where("kind = 'Brand#11'").select(F.col("node_id").alias("crit"), "file", F.col("node_id").alias("line")), T.lift(i.tree()), i.tree().where("parent_id is not null").select(F.col("parent_id").alias("crit"), "file", F.col("node_id").alias("line"))), """WITH l AS (SELECT *, size < 25 AS fn FROM tree),
  p AS (SELECT c.node_id AS crit, t.node_id AS line, c.size AS cs, t.size AS ts, t.file, t.parent_id FROM l c JOIN l t ON t.file = c.file AND t.fn = c.fn WHERE c.kind = 'Brand#11'),
  w AS (SELECT p.crit, p.line, arg_min(x.anc, x.up) AS lca, min(x.up) + min(y.up) AS d, min(x.up) AS cl, min(y.up) AS tl FROM p JOIN anc x ON x.node_id = p.crit JOIN anc y ON y.node_id = p.line AND y.anc = x.anc GROUP BY 1, 2)
  SELECT p.crit, p.file, p.line, (cs % 10 IN (ts % 10, p.line % 10) OR p.crit % 10 IN (ts % 10, p.line % 10))::INT AS same_var, ts % 4 AS var_type, abs(p.line - p.crit) AS distance, w.d AS ast_distance, w.tl AS to_lca, w.cl AS criterion_to_lca, z.depth AS level, ts % 2 = 0 AS uses_global, coalesce(p.parent_id = p.crit, FALSE) AS in_slice
@@ -276,7 +276,7 @@ _CLONES = """(WITH v AS (SELECT l_orderkey AS id, count(*) AS n, list_sort(list(
 add("j12_j13_clone_pairs", lambda i: C.pairs(_fragments(i), _fragment_values(i)), f"SELECT class, type, id1, id2 FROM {_CLONES}")
 add("c01_compare", lambda i: C.compare(_fragments(i), _fragment_values(i)), f"SELECT * FROM {_CLONES}")
 add("c02_results", lambda i: C.results(C.compare(_fragments(i), _fragment_values(i))), f"SELECT class, type, id1, id2, clone FROM {_CLONES}")
-add("a19_clone_summary", lambda i: C.summary(C.compare(_fragments(i), _fragment_values(i))), f"SELECT type, count(*) AS pairs, sum(same_arity::INT) AS same_arity, sum(same_types::INT) AS same_types, sum(clone::INT) AS same_data FROM {_CLONES} GROUP BY 1")
+add("a19_clone_summary", lambda i: C.class_summary(_fragments(i), _fragment_values(i)), f"SELECT type, count(*) AS pairs, sum(same_arity::INT) AS same_arity, sum(same_types::INT) AS same_types, sum(clone::INT) AS same_data FROM {_CLONES} GROUP BY 1")
 
 # --- samples
 _H = "(({0}) % 2147483648 * 1103515245 + 12345) % 2147483648"

@@ -119,16 +119,16 @@ def test_graph_edges(spark):
 def test_tree_completion(spark):
     rows = [(1, None, "function", "root"), (2, 1, "compound", "body"), (3, 2, "if", "stmt"), (4, 3, "kw", "keyword"), (5, 3, "expr", "condition"), (6, 3, "compound", "then"), (7, 6, "tok", "brace"), (8, 6, "expr", "stmt"), (9, 2, "expr", "stmt")]
     tree = spark.createDataFrame([(1, n, p, n, k, r) for n, p, k, r in rows], "file int, node_id int, parent_id int, ord int, kind string, role string")
-    anc = T.ancestors(tree)
+    lifted = T.lift(tree)
     sel = spark.createDataFrame([(0, 3), (0, 4)], "q int, node_id int")
-    assert {r.node_id for r in T.complete(tree, anc, sel).collect()} == {3, 4, 5, 6, 7}
-    path = {r.node_id: r.path for r in T.kind_path(tree, anc).collect()}
-    assert path[3] == "function/compound/if" and {r.node_id: r.depth for r in T.depths(anc).collect()}[8] == 4
-    assert T.distance(anc, spark.createDataFrame([(8, 9)], "a int, b int")).first().distance == 4
+    assert {r.node_id for r in T.complete(tree, lifted, sel).collect()} == {3, 4, 5, 6, 7}
+    path = {r.node_id: r.path for r in T.kind_path(tree).collect()}
+    assert path[3] == "function/compound/if" and {r.node_id: r.depth for r in T.depths(lifted).collect()}[8] == 4
+    assert T.distance(lifted, spark.createDataFrame([(8, 9)], "a int, b int")).first().distance == 4
     lines = spark.createDataFrame([("a", "f", 1, 8, ["x"], 1, False), ("a", "f", 2, 9, ["x", "y"], 2, True), ("a", "g", 3, 5, [], 0, False)], "file string, function string, line int, node_id int, variables array<string>, var_type int, uses_global boolean")
     crit = spark.createDataFrame([(1, "a", 1)], "crit int, file string, line int")
     member = spark.createDataFrame([(1, "a", 2)], "crit int, file string, line int")
-    got = {r.line: r for r in T.slice_features(lines, crit, anc, member).collect()}
+    got = {r.line: r for r in T.slice_features(lines, crit, lifted, member).collect()}
     assert set(got) == {1, 2} and got[2].in_slice and got[2].same_var == 1 and got[2].distance == 1 and got[2].ast_distance == 4
 
 
@@ -269,3 +269,16 @@ def test_clones_of_a_large_class(spark, monkeypatch):
 
     fragments = spark.range(100).select((F.col("id") < 90).cast("int").alias("class"), F.lit(2).alias("type"), "id")
     assert C.pairs(fragments).count() == 90 * 89 // 2 + 10 * 9 // 2 and C.pairs(fragments).distinct().count() == 4050
+
+
+def test_clone_counts_without_pairs(spark):
+    from srcfacts.operators import clones as C
+
+    fragments = spark.createDataFrame([(i % 3, 2 + i % 3 % 2, i // 2 if i < 6 else i) for i in range(40)] + [(0, 2, 9)], "class long, type int, id long")
+    values = spark.createDataFrame([(i, s, t, str(v)) for i in range(40) for s, t, v in [("input", "int", i % 2), ("output", "int" if i % 3 else "char", i % 4)][: 1 + (i % 5 > 0)]], "id long, side string, type string, value string")
+    one = sorted(map(tuple, C.class_summary(fragments, values).collect()))
+    two = sorted(map(tuple, C.summary(C.compare(fragments, values)).collect()))
+    assert one == two and len(one) == 2
+    many = spark.range(200_000).select(F.lit(1).alias("class"), F.lit(2).alias("type"), "id")
+    same = many.select("id", F.lit("input").alias("side"), F.lit("int").alias("type"), (F.col("id") % 2).cast("string").alias("value"))
+    assert tuple(C.class_summary(many, same).first()) == (2, 200_000 * 199_999 // 2, 200_000 * 199_999 // 2, 200_000 * 199_999 // 2, 2 * (100_000 * 99_999 // 2))
