@@ -115,3 +115,13 @@ def test_stages_keep_columns_of_any_name(spark, folder):
         docs = spark.createDataFrame(rows, docs.schema)
     docs.write.parquet(f"{folder}/last-in")
     assert P.encode(spark, spark.read.parquet(f"{folder}/last-in"), folder).count() == docs.count()
+
+
+def test_texts_of_one_id_are_documents_each(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(3, a, 1), (7, a, 2), (7, b, 3), (9, c, 4), (9, c, 5), (None, a, 6), (8, None, 7), (8, "", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key int")
+    got = P.drop_copies(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(3, a), (7, b), (9, c), (None, a), *[(r.doc_id, r.text) for r in got.where("doc_id = 8").collect()]], key=str)
+    assert got.where("doc_id = 8").count() == 1
