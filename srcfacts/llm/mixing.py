@@ -98,15 +98,22 @@ def template(shared: DataFrame, period: int = PERIOD) -> DataFrame:
     return slots.join(queue, ["share", "place"]).select("source", "share", "nth", "slot")
 
 
+_SMALL = ("bigint", "int", "smallint", "tinyint", "double", "float", "boolean", "date", "timestamp")
+
+
 def ranked(docs: DataFrame, ranges: int, id_col: str = "doc_id", source_col: str = "source", seed: int = 11, keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, source, rank, row): place of each row in its source, by a seeded hash of the id, then the id; row: a struct
     of the columns to keep."""
     row = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.lit(None).cast("boolean")
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit(NO_SOURCE)).alias("source"), row.alias("row"))
+    # rows without an id are dealt by what else they hold: what is kept anyway, or columns that cost little to read
+    hashed = [c for c, kind in docs.dtypes if c in keep and "map<" not in kind] or [c for c, kind in docs.dtypes if kind in _SMALL] or [source_col]
+    of_row = F.xxhash64(*[F.col(f"`{c}`") for c in hashed])
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit(NO_SOURCE)).alias("source"), row.alias("row"), of_row.alias("of_row"))
     # ids are hashed by whole-number arithmetic that any SQL engine repeats; others by their crc32
-    number = F.coalesce(F.col("id").cast("long") if dict(docs.dtypes)[id_col] in ("bigint", "int", "smallint", "tinyint") else F.crc32(F.col("id").cast("string").cast("binary")), F.lit(0))
-    mixed = F.pmod(F.pmod(number, F.lit(1 << 31)) * 1103515245 + 12345 + seed, F.lit(1 << 31))
-    rows = rows.withColumn("hash", mixed).withColumn("range", F.floor(F.col("hash") * ranges / (1 << 31)))
+    number = F.col("id").cast("long") if dict(docs.dtypes)[id_col] in ("bigint", "int", "smallint", "tinyint") else F.crc32(F.col("id").cast("string").cast("binary"))
+    low, high = F.pmod(number, F.lit(1 << 31)), F.pmod(F.shiftright(number, 31), F.lit(1 << 31))
+    mixed = F.pmod(low * 1103515245 + high * 69069 + 12345 + seed, F.lit(1 << 31))
+    rows = rows.withColumn("hash", F.coalesce(mixed, F.pmod("of_row", F.lit(1 << 31)))).drop("of_row").withColumn("range", F.floor(F.col("hash") * ranges / (1 << 31)))
     return numbered(rows, ["source"], "range", ["hash", "id"], "rank").select("id", "source", "row", "rank")
 
 
@@ -171,7 +178,8 @@ edf(slot, source, share, period, nxt, picked) AS (
       SELECT slot, source, share, period, nxt, nxt * period // share <= slot + 1 AS ready,
         ((nxt + 1) * period + share - 1) // share AS deadline FROM edf WHERE slot + 1 < period))),
 slots AS (SELECT source, nxt - 1 AS nth, slot AS first FROM edf WHERE picked),
-hashed AS (SELECT doc_id, source, ((coalesce(doc_id, 0) % 2147483648 + 2147483648) % 2147483648 * 1103515245 + 12356) % 2147483648 AS h FROM docs),
+bits AS (SELECT doc_id, source, (doc_id % 2147483648 + 2147483648) % 2147483648 AS low FROM docs),
+hashed AS (SELECT doc_id, source, (low * 1103515245 + ((doc_id - low) // 2147483648 % 2147483648 + 2147483648) % 2147483648 * 69069 + 12356) % 2147483648 AS h FROM bits),
 ranks AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY h, doc_id NULLS FIRST) - 1 AS rank FROM hashed),
 horizon AS (SELECT min(((n + {BLOCK - 1}) // {BLOCK}) * period // share) AS h FROM shared)
 SELECT doc_id, source, block, slot, block * period // share AS release, ((block + 1) * period + share - 1) // share AS deadline,

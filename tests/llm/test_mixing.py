@@ -84,3 +84,12 @@ def test_very_many_sources(spark):
     assert got.count() == 0
     slots = M.template(spark.createDataFrame(list(shared.items()), "source string, share int"), n).agg(F.count("*"), F.count_distinct("slot")).first()
     assert tuple(slots) == (n, n)
+
+
+def test_ranges_of_odd_ids(spark):
+    """Ids that agree in their lower bits, and rows without an id, go to many ranges."""
+    docs = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, F.col("id") * (1 << 31)).alias("doc_id"), F.lit("s").alias("source"), F.col("id").alias("n_chars"))
+    got = M.ranked(docs, 256)
+    assert got.count() == 20_000 and got.select("rank").distinct().count() == 20_000 and got.agg(F.max("rank")).first()[0] == 19_999
+    low = M.ranked(spark.range(50).select(F.col("id").alias("doc_id"), F.lit("s").alias("source")), 4).orderBy("rank").collect()
+    assert [r.id for r in low] == sorted(range(50), key=lambda i: ((i * 1103515245 + 12356) % 2**31, i))
