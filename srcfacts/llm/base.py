@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from srcfacts.session import cut
+from srcfacts.session import stored
 
 #: Rows handed to a text function at once, and rows of an Arrow batch at most: Spark builds batches outside its heap, by
 #: doubling buffers, so that 10,000 rows (its default) with long texts would take gigabytes of an executor.
@@ -70,10 +70,11 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     """(node, component) of every node on an edge (a, b); component = its smallest node.
 
     Alternating large and small stars: each round sends every node's neighbours to the smallest one,
-    so that the rounds grow with the logarithm of a component's size. Smallest nodes are combined before the shuffle, and
-    Spark splits the rows of a hub in the joins (adaptive skew joins). Every round is checkpointed to the shared folder. Null ends and self-loops are left out; no edges give an empty result.
+    so that the rounds grow with the logarithm of a component's size. Smallest nodes are combined before the shuffle and written
+    before they are joined: both sides of the join are then shuffled for it, so that Spark may split a hub's rows, or the small side
+    is broadcast by its measured size. Every round is written to the shared folder. Null ends and self-loops are left out; no edges give an empty result.
     """
-    links = cut(edges.select("a", "b").where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    links = stored(edges.select("a", "b").where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
 
     def summary(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -81,12 +82,13 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     seen = summary(links)
     for _ in range(most_rounds if seen[0] else 0):
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = stored(large)
+        least = stored(large.groupBy("a").agg(F.min("b").alias("m")))
         joined = large.join(least, "a")
         small = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        links = cut(small.where("a <> b").distinct())
+        links = stored(small.where("a <> b").distinct())
         now = summary(links)
         if now == seen:
             break

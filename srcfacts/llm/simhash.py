@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from srcfacts.llm.base import components, text_pass
-from srcfacts.session import cut
+from srcfacts.session import cut, stored
 
 SEED = 42
 BUCKET = 64
@@ -176,7 +176,7 @@ def links(nodes: DataFrame, tau: int = 2, bucket: int = BUCKET) -> DataFrame:
     signed = lambda b: (1 << b) - (1 << 64) if b == 63 else 1 << b
     # A part's value is keyed by (part, value); the number of distinct fingerprints under it is its weight.
     keyed = nodes.select("fp", "rep", F.posexplode(F.array(*[_part_value(p) for p in parts])).alias("part", "value"))
-    weights = keyed.groupBy("part", "value").agg(F.count("*").alias("weight"))
+    weights = stored(keyed.groupBy("part", "value").agg(F.count("*").alias("weight")))  # so that the join may split a crowded value
     index = cut(keyed.join(weights, ["part", "value"]))
 
     widths, flips = [len(p) for p in parts], [[0, *(signed(b) for b in p)] for p in parts]
