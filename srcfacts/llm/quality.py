@@ -7,8 +7,9 @@ bin), their mean and covariance, and again. Starts are two robust ones; the smal
 rejected if its squared Mahalanobis distance, scaled so that the ``h`` quantile is that of chi-square, exceeds the
 chi-square quantile of ``1 - alpha``.
 
-An estimate takes ``ROWS_PER_STATISTIC`` rows for each statistic: smaller groups are estimated with their language, smaller
-languages with all rows, and ``estimated_with`` says which it was. A floor
+Every group has an estimate of its own, whatever its size: to its moments those of its language are added with the weight of
+``ROWS_PER_STATISTIC`` rows for each statistic, and to a language's those of all rows, and so it is with the counts that give the
+``h`` quantile. A few rows say little against their language, thousands speak for themselves; ``own_share`` is a group's own weight. A floor
 under each statistic's spread keeps constant columns from making the covariance singular. Null language or source is
 a group of its own; null and empty texts have no words and fail the base rules. Extra columns are ignored, repeated
 rows keep a row each, an empty table gives an empty result. Whole groups never meet in one task: only sums do.
@@ -27,7 +28,7 @@ from pyspark.sql import types as T
 
 from srcfacts.llm.base import text_pass
 from srcfacts.llm.quality_stats import counts
-from srcfacts.session import cut
+from srcfacts.session import cut, stored
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_distinct", "n_lines")
 #: Least spread of each transformed statistic.
@@ -72,28 +73,34 @@ def vector() -> list[Column]:
 
 
 def _solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Mean, inverse covariance and log determinant of each group's sums; one small row per group."""
+    """Mean, inverse covariance and log determinant of each group's moments; one small row per group."""
     pairs = [(i, j) for i in range(P) for j in range(i, P)]
     for b in batches:
         out = []
         for r in b.itertuples(index=False):
-            n = max(r.n, 1)
-            mean = np.array([getattr(r, f"s{i}") for i in range(P)]) / n
+            mean = np.array([getattr(r, f"m{i}") for i in range(P)])
             cov = np.zeros((P, P))
             for i, j in pairs:
-                cov[i, j] = cov[j, i] = getattr(r, f"s{i}_{j}") / n - mean[i] * mean[j]
+                cov[i, j] = cov[j, i] = getattr(r, f"m{i}_{j}") - mean[i] * mean[j]
             cov += np.diag(np.square(FLOOR))
-            out.append((r.g, r.start, mean.tolist(), np.linalg.inv(cov).ravel().tolist(), float(np.linalg.slogdet(cov)[1])))
-        yield pd.DataFrame(out, columns=["g", "start", "mean", "inverse", "logdet"])
+            out.append((r.l, r.g, r.start, mean.tolist(), np.linalg.inv(cov).ravel().tolist(), float(np.linalg.slogdet(cov)[1])))
+        yield pd.DataFrame(out, columns=["l", "g", "start", "mean", "inverse", "logdet"])
 
 
-ESTIMATE = "g string, start int, mean array<double>, inverse array<double>, logdet double"
+ESTIMATE = "l string, g string, start int, mean array<double>, inverse array<double>, logdet double"
+MOMENTS = [f"{i}" for i in range(P)] + [f"{i}_{j}" for i in range(P) for j in range(i, P)]
 
 
-def _sums(rows: DataFrame) -> DataFrame:
-    """Estimates from the rows (g, start, x0..): sums combined before the shuffle."""
-    sums = [F.sum(f"x{i}").alias(f"s{i}") for i in range(P)] + [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i in range(P) for j in range(i, P)]
-    return rows.groupBy("g", "start").agg(F.count("*").alias("n"), *sums).mapInPandas(_solve, ESTIMATE)
+def _estimates(rows: DataFrame, prior: int) -> DataFrame:
+    """Estimates of each group from the rows (l, g, start, x0..): sums are combined before the shuffle, and only sums of groups go
+    up to their languages and to all rows, whose moments come back with the weight of ``prior`` rows."""
+    power = lambda m: F.col("x" + m) if "_" not in m else F.col("x" + m.split("_")[0]) * F.col("x" + m.split("_")[1])
+    sums = stored(rows.groupBy("l", "g", "start").agg(F.count("*").alias("n"), *[F.sum(power(m)).alias(f"s{m}") for m in MOMENTS]))
+    up = lambda *keys: sums.groupBy(*keys).agg(F.sum("n").alias("n"), *[F.sum(f"s{m}").alias(f"s{m}") for m in MOMENTS])
+    every = up("start").select("start", *[(F.col(f"s{m}") / F.col("n")).alias(f"a{m}") for m in MOMENTS])
+    shrunk = lambda own, above: [((F.col(f"s{m}") + prior * F.col(f"{above}{m}")) / (F.col("n") + prior)).alias(f"{own}{m}") for m in MOMENTS]
+    by_lang = stored(up("l", "start").join(F.broadcast(every), "start").select("l", "start", *shrunk("b", "a")))  # ``every``: a row a start
+    return sums.join(by_lang, ["l", "start"]).select("l", "g", "start", *shrunk("m", "b")).mapInPandas(_solve, ESTIMATE)
 
 
 def _distance() -> Column:
@@ -105,52 +112,60 @@ def _bin() -> Column:
     return F.floor(BINS_PER_DOUBLING * F.log2(F.greatest(F.col("d2"), F.lit(1e-9)))).cast("int")
 
 
-def _edges(measured: DataFrame, h: float) -> DataFrame:
-    """(g, start, edge): the first histogram bin up to which lies the part ``h`` of the group's rows."""
-    counted = measured.groupBy("g", "start", "bin").agg(F.count("*").alias("c"))
+def _edges(measured: DataFrame, h: float, prior: int = 0) -> DataFrame:
+    """(g, start, edge): the first histogram bin up to which lies the part ``h`` of the group's rows, to which the shares of its
+    language are added with the weight of ``prior`` rows, and to these those of all rows."""
+    counted = measured.groupBy("l", "g", "start", "bin").agg(F.count("*").cast("double").alias("c"))
+    if prior:
+        counted = stored(counted)
+        share = lambda df, *keys: df.withColumn("c", F.col("c") / F.sum("c").over(Window.partitionBy(*keys)))
+        every = share(counted.groupBy("start", "bin").agg(F.sum("c").alias("c")), "start")
+        langs = counted.select("l", "start").distinct()
+        by_lang = counted.groupBy("l", "start", "bin").agg(F.sum("c").alias("c")).union(langs.join(every, "start").select("l", "start", "bin", F.col("c") * prior)).groupBy("l", "start", "bin").agg(F.sum("c").alias("c"))
+        by_lang = stored(share(by_lang, "l", "start"))
+        groups = counted.select("l", "g", "start").distinct()
+        added = groups.join(by_lang, ["l", "start"]).select("l", "g", "start", "bin", F.col("c") * prior)
+        counted = counted.union(added).groupBy("l", "g", "start", "bin").agg(F.sum("c").alias("c"))
     whole = Window.partitionBy("g", "start")
     run = counted.withColumn("up_to", F.sum("c").over(whole.orderBy("bin"))).withColumn("all", F.sum("c").over(whole))
-    return run.where(F.col("up_to") >= h * F.col("all")).groupBy("g", "start").agg(F.min("bin").alias("edge"))
+    return run.where(F.col("up_to") >= h * F.col("all") * (1 - 1e-12)).groupBy("g", "start").agg(F.min("bin").alias("edge"))
 
 
-def outlier_distances(stats: DataFrame, h: float = 0.75, least: int = ROWS_PER_STATISTIC * P, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """``stats`` with ``d2``, the scaled squared distance from the centre of what ``estimated_with`` names: source, language, all."""
+def outlier_distances(stats: DataFrame, h: float = 0.75, prior: int = ROWS_PER_STATISTIC * P, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """``stats`` with ``d2``, the scaled squared distance from the centre of the row's group, and ``own_share``, n / (n + prior) of a group of n."""
     lang, source = (F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in (lang_col, source_col))
     named = stats.withColumn("__l", lang).withColumn("__g", F.concat_ws("\1", lang, source))
-    small = cut(named.groupBy("__l", "__g").agg(F.count("*").alias("n")))
-    by_lang = small.groupBy("__l").agg(F.sum("n").alias("nl"))
+    points = cut(named.select(F.col("__l").alias("l"), F.col("__g").alias("g"), *[c.alias(f"x{i}") for i, c in enumerate(vector())]))
+    sizes = stored(points.groupBy("g").agg(F.count("*").alias("size")))
     # One row a group: broadcast while there are few groups, else joined by key.
-    near = F.broadcast if small.count() <= MOST_BROADCAST else lambda df: df
-    keys = cut(small.join(by_lang, "__l").select("__g", F.when(F.col("n") >= least, F.col("__g")).when(F.col("nl") >= least, F.col("__l")).otherwise(F.lit("")).alias("g"), F.when(F.col("n") >= least, "source").when(F.col("nl") >= least, "language").otherwise("all").alias("estimated_with")))
-    points = named.join(near(keys.drop("estimated_with")), "__g").select("g", *[c.alias(f"x{i}") for i, c in enumerate(vector())])
-    points = cut(points)
+    near = F.broadcast if sizes.count() <= MOST_BROADCAST else lambda df: df
 
-    # Starts: one from coordinate-wise medians, one from all rows.
-    medians = points.groupBy("g").agg(*[F.percentile_approx(f"x{i}", F.lit([0.25, 0.5, 0.75]), 1000).alias(f"q{i}") for i in range(P)])
+    # Starts: one from coordinate-wise medians of the language, one from all rows.
+    medians = points.groupBy("l").agg(*[F.percentile_approx(f"x{i}", F.lit([0.25, 0.5, 0.75]), 1000).alias(f"q{i}") for i in range(P)])
     spread = [F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(FLOOR[i])) for i in range(P)]
     diagonal = F.array(*[1 / (spread[i] * spread[i]) if i == j else F.lit(0.0) for i in range(P) for j in range(P)])
-    first = medians.select("g", F.lit(0).alias("start"), F.array(*[F.col(f"q{i}")[1] for i in range(P)]).alias("mean"), diagonal.alias("inverse"), F.lit(0.0).alias("logdet"))
-    estimates = cut(first.union(_sums(points.withColumn("start", F.lit(1)))))
+    middle = stored(medians.select("l", F.lit(0).alias("start"), F.array(*[F.col(f"q{i}")[1] for i in range(P)]).alias("mean"), diagonal.alias("inverse"), F.lit(0.0).alias("logdet")))
+    first = points.select("l", "g").distinct().join(middle, "l").select("l", "g", "start", "mean", "inverse", "logdet")
+    estimates = stored(first.union(_estimates(points.withColumn("start", F.lit(1)), prior)))
     for _ in range(STEPS):
-        measured = points.join(near(estimates.drop("logdet")), "g").withColumn("d2", _distance()).withColumn("bin", _bin()).drop("mean", "inverse")
-        edges = cut(_edges(measured, h))
-        estimates = cut(_sums(measured.join(near(edges), ["g", "start"]).where("bin <= edge")))
-    best = estimates.groupBy("g").agg(F.min_by(F.struct("start", "mean", "inverse"), F.struct("logdet", "start")).alias("e")).select("g", F.col("e.start").alias("start"), F.col("e.mean").alias("mean"), F.col("e.inverse").alias("inverse"))
-    best = cut(best)
-    measured = points.join(near(best), "g").withColumn("d2", _distance()).withColumn("bin", _bin())
-    scale = cut(_edges(measured, h).select("g", (chi2_quantile(h) / F.pow(F.lit(2.0), (F.col("edge") + 1) / BINS_PER_DOUBLING)).alias("scale")))
-    known = cut(keys.join(best.join(scale, "g"), "g").drop("start"))
+        measured = points.join(near(estimates.drop("logdet", "l")), "g").withColumn("d2", _distance()).withColumn("bin", _bin()).drop("mean", "inverse")
+        edges = stored(_edges(measured, h))
+        estimates = stored(_estimates(measured.join(near(edges), ["g", "start"]).where("bin <= edge"), prior))
+    best = stored(estimates.groupBy("g").agg(F.min_by(F.struct("start", "mean", "inverse"), F.struct("logdet", "start")).alias("e")).select("g", F.col("e.mean").alias("mean"), F.col("e.inverse").alias("inverse")))
+    measured = points.join(near(best), "g").withColumn("start", F.lit(0)).withColumn("d2", _distance()).withColumn("bin", _bin())
+    scale = _edges(measured, h, prior).select("g", (chi2_quantile(h) / F.pow(F.lit(2.0), (F.col("edge") + 1) / BINS_PER_DOUBLING)).alias("scale"))
+    known = stored(best.join(scale, "g").join(sizes, "g").select(F.col("g").alias("__g"), "mean", "inverse", "scale", (F.col("size") / (F.col("size") + prior)).alias("own_share")))
     xs = {f"x{i}": c for i, c in enumerate(vector())}
-    return named.join(near(known), "__g").withColumns(xs).withColumn("d2", _distance() * F.col("scale")).drop("__l", "__g", "g", "mean", "inverse", "scale", *xs)
+    return named.join(near(known), "__g").withColumns(xs).withColumn("d2", _distance() * F.col("scale")).drop("__l", "__g", "mean", "inverse", "scale", *xs)
 
 
-def verdicts(docs: DataFrame, h: float = 0.75, least: int = ROWS_PER_STATISTIC * P, alpha: float = 1e-9) -> DataFrame:
+def verdicts(docs: DataFrame, h: float = 0.75, prior: int = ROWS_PER_STATISTIC * P, alpha: float = 1e-9) -> DataFrame:
     """(doc_id, counts, base_failed, d2, kept) for documents (doc_id, text, lang, source)."""
     stats = cut(statistics(docs))
-    found = outlier_distances(stats, h, least).withColumn("base_failed", base_failed())
+    found = outlier_distances(stats, h, prior).withColumn("base_failed", base_failed())
     return found.withColumn("kept", ~F.col("base_failed") & (F.col("d2") <= chi2_quantile(1 - alpha)))
 
 
 def op5_quality(spark, sf_dir: str) -> DataFrame:
     found = verdicts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("d2", 3).alias("distance"), "estimated_with")
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("d2", 3).alias("distance"), F.round("own_share", 3).alias("own_share"))
