@@ -34,6 +34,8 @@ UNPAINTED = frozenset("head script style template noscript title meta link base
 #: Two line breaks around these, one around the other blocks.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table article section figure fieldset hr".split())
 BLOCK = SPACED | frozenset("html body div header footer nav aside main address li dt dd form figcaption details summary legend center tr caption thead tbody tfoot option optgroup select".split())
+#: Boxes in a line: their text stands apart from what is beside them.
+CONTROLS = frozenset("button textarea".split())
 CLOSES_P = BLOCK - frozenset("html body tr caption thead tbody tfoot option optgroup select".split())
 #: A start tag ends these open elements, unless one of the second set stands between.
 IMPLIED = {
@@ -141,13 +143,14 @@ def _number(text: str | None, least: int, most: int, otherwise: int) -> int:
 
 
 class Node:
-    __slots__ = ("name", "gone", "seen", "start", "spans", "parts")
+    __slots__ = ("name", "gone", "seen", "start", "step", "spans", "parts")
 
     def __init__(self, name: str):
         self.name = name
         self.gone = name in UNPAINTED
         self.seen: bool | None = None  # visibility, where the element has one of its own
         self.start: int | None = None  # number of an ordered list or item
+        self.step = 1  # from one number of an ordered list to the next
         self.spans = (1, 1)  # columns and rows of a cell; 0 rows: to the end of the row group
         self.parts: list = []  # text or Node
 
@@ -172,7 +175,9 @@ def _read(node: Node, rest: str) -> None:
     if name == "details":
         node.start = 1 if "open" in found else 0
     elif name == "ol":
-        node.start = _number(found.get("start"), -(10**9), 10**9, 1)
+        node.step = -1 if "reversed" in found else 1
+        # a reversed list without a start ends at 1; its items are counted when it is laid out
+        node.start = None if "reversed" in found and "start" not in found else _number(found.get("start"), -(10**9), 10**9, 1)
     elif name == "li" and "value" in found:
         node.start = _number(found["value"], -(10**9), 10**9, 1)
     elif name in ("td", "th"):
@@ -510,7 +515,7 @@ def _flow(node: Node, visible: bool, nested: bool = False, taken: int = 0) -> Ge
     """The lines of a node. Tables yield their cells to ``render``, which runs them in turn: nothing recurses."""
     out = Lines(nested, taken)
     # [parts, index of the next one, node, number of its next list item, visible, in a box]
-    stack: list[list] = [[node.parts, 0, node, 1 if node.start is None else node.start, visible, False]]
+    stack: list[list] = [[node.parts, 0, node, _first_number(node), visible, False]]
     while stack:
         top = stack[-1]
         parts, i, x, _, seen, boxed = top
@@ -518,6 +523,8 @@ def _flow(node: Node, visible: bool, nested: bool = False, taken: int = 0) -> Ge
             stack.pop()
             if boxed:
                 out.close_box()
+            elif x.name in CONTROLS:
+                out.blank = True
             elif x.name in BLOCK and stack:
                 out.end_line(2 if x.name in SPACED else 1)
             continue
@@ -556,26 +563,30 @@ def _flow(node: Node, visible: bool, nested: bool = False, taken: int = 0) -> Ge
             mark = "  " if name == "dd" else "- "
             if name == "li" and x.name == "ol":
                 number = top[3] if part.start is None else part.start
-                mark, top[3] = f"{number}. ", number + 1
+                mark, top[3] = f"{number}. ", number + x.step  # an item counts where it shows nothing, too
             if _holds_text(part):
                 out.open_box(mark)
                 stack.append([part.parts, 0, part, 1, here, True])
-            elif x.name == "ol" and name == "li":
-                top[3] -= part.start is None
         else:
             if name in BLOCK:
                 # a list inside a list item follows its text without an empty line
                 tight = name in ("ul", "ol", "dl") and (out.nested or out.boxes)
                 out.end_line(2 if name in SPACED and not tight else 1)
-            elif name in ("td", "th"):
+            elif name in ("td", "th") or name in CONTROLS:
                 out.blank = True
             inner = part.parts
             if name == "details" and not part.start:
                 inner = next(([y] for y in inner if isinstance(y, Node) and y.name == "summary"), [])
-            stack.append([inner, 0, part, 1 if part.start is None else part.start, here, False])
+            stack.append([inner, 0, part, _first_number(part), here, False])
     return out.done()
 
 
+def _first_number(node: Node) -> int:
+    if node.start is not None:
+        return node.start
+    return 1 if node.step > 0 else sum(isinstance(x, Node) and x.name == "li" and not x.gone for x in node.parts)
+
+
 def _holds_text(node: Node) -> bool:
     """Cheap: whether anything but blanks stands right below."""
     return any(not isinstance(x, str) or not x.isspace() for x in node.parts)

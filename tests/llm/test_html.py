@@ -181,3 +181,11 @@ def test_time_grows_with_the_page(token):
         return time.process_time() - start
 
     assert taken(80_000) < 4 * 2.5 * max(min(taken(20_000) for _ in range(2)), 0.02)
+
+
+def test_numbers_and_controls():
+    assert text_of("<ol><li></li><li>b</li></ol>") == "2. b"
+    assert text_of("<ol reversed><li>a</li><li hidden>no</li><li>b<li>c</ol>") == "3. a\n2. b\n1. c"
+    assert text_of("<ol reversed start=9><li>a</li><li value=4>b<li>c</ol>") == "9. a\n4. b\n3. c"
+    assert text_of("<p>x<button>go</button><textarea>t</textarea>y") == "x go t y"
+    assert text_of("<button>go</button>") == "go"
