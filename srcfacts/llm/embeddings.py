@@ -108,7 +108,9 @@ def _compared(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[p
         b = pa.Table.from_batches(held).combine_chunks().to_batches()[0] if len(held) > 1 else held[0]
         q = b.column("q")
         n, offsets = b.num_rows, np.frombuffer(q.buffers()[1], np.int32)[q.offset : q.offset + b.num_rows + 1]
-        x = np.frombuffer(q.buffers()[2], np.int8)[offsets[0] : offsets[-1]].reshape(n, -1).astype(np.float32)
+        x = np.frombuffer(q.buffers()[2], np.int8)[offsets[0] : offsets[-1]].reshape(n, -1)
+        # sums of products of 127 are whole numbers, which 24 bits hold exactly up to some 1,000 components
+        x = x.astype(np.float32 if x.shape[1] * 127 * 127 < 1 << 24 else np.float64)
         scale, lost, side = (b.column(c).to_numpy() for c in ("scale", "lost", "mine"))
         long = scale * np.linalg.norm(x.astype(np.float64), axis=1)
         across = b.column("low")[0].as_py() != b.column("high")[0].as_py()
