@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from srcfacts.operators import mining as M
@@ -104,6 +106,45 @@ add("a07_reach_summary", lambda i: M.reach_summary(i.runs()), """SELECT seg, sum
  sum((reach_code < 5 AND status_code = 0)::INT) AS missed_success, sum((reach_code < 5 AND status_code <> 0)::INT) AS missed_failure, count(*) AS total FROM runs GROUP BY 1""")
 
 
-add("m16_least_squares", lambda i: L.least_squares(i.trace()).select("seg", "y", "xs", F.transform("slopes", lambda v: F.round(v, 4)).alias("slopes"), F.round("r2", 6).alias("r2"), "n"))
-add("m17_subset_regression", lambda i: L.subset_regression(i.trace()).select("seg", "y", "xs", F.transform("slopes", lambda v: F.round(v, 4)).alias("slopes"), F.round("r2", 6).alias("r2"), "n"))
+# --- least squares: closed forms of centred sums over the tests that have all number columns of their segment
+_INS = ("int_argv_1", "int_line", "int_qty")
+
+
+def _square(rows, columns):
+    """Determinant of centred sums c_<row>_<column> in SQL, along the first row."""
+    if not rows:
+        return "1.0"
+    rest = [f"c_{rows[0]}_{c} * ({_square(rows[1:], [x for x in columns if x != c])})" for c in columns]
+    return " ".join(("+ " if k % 2 == 0 else "- ") + term for k, term in enumerate(rest))
+
+
+def _fitted(xs):
+    """(slopes, r2) in SQL of y on the inputs, by Cramer's rule."""
+    whole = _square(xs, xs)
+    slopes = [f"({_square(xs, xs[:k] + ('y',) + xs[k + 1:])}) / ({whole})" for k in range(len(xs))]
+    return slopes, "(" + " + ".join(f"{s} * c_{x}_y" for s, x in zip(slopes, xs, strict=True)) + ") / c_y_y"
+
+
+_PAIRS = [(a, b) for k, a in enumerate((*_INS, "y")) for b in (*_INS, "y")[k:]]
+_CENTRED = "WITH w AS (SELECT seg, test, " + ", ".join(f"max(CASE WHEN side = 'input' AND key = '{x}' THEN v END)::HUGEINT AS {x}" for x in _INS) + ", count(DISTINCT (side, key)) AS k FROM numbers GROUP BY 1, 2), " + \
+    "full_ AS (SELECT w.* FROM w JOIN (SELECT seg, count(DISTINCT (side, key)) AS k FROM numbers GROUP BY 1) s ON s.seg = w.seg AND s.k = w.k), " + \
+    "p AS (SELECT f.*, o.key AS name, o.v::HUGEINT AS y FROM full_ f JOIN numbers o ON o.seg = f.seg AND o.test = f.test AND o.side = 'output'), " + \
+    "c AS (SELECT seg, 'output_' || name AS name, count(*) AS n, " + ", ".join(f"(count(*) * sum({a} * {b}) - sum({a}) * sum({b}))::DOUBLE AS c_{a}_{b}" for a, b in _PAIRS) + " FROM p GROUP BY 1, 2), " + \
+    "d AS (SELECT *, " + ", ".join(f"c_{a}_{b} AS c_{b}_{a}" for a, b in _PAIRS if a != b) + " FROM c)"
+
+
+def _rows_sql(xs):
+    slopes, r2 = _fitted(xs)
+    named = ", ".join(f"'input_{x}'" for x in xs)
+    return f"SELECT seg, name AS y, [{named}] AS xs, [{', '.join(f'round({s}, 4) + 0.0' for s in slopes)}] AS slopes, round({r2}, 6) AS r2, {r2} AS exact, n FROM d WHERE c_y_y <> 0"
+
+
+def _rounded(df):
+    return df.select("seg", "y", "xs", F.transform("slopes", lambda v: F.round(v, 4) + F.lit(0.0)).alias("slopes"), F.round("r2", 6).alias("r2"), "n")
+
+
+_SUBSETS = [xs for size in (1, 2, 3) for xs in combinations(_INS, size)]
+add("m16_least_squares", lambda i: _rounded(L.least_squares(i.trace())), f"""{_CENTRED} SELECT seg, y, xs, slopes, r2, n FROM ({_rows_sql(_INS)}) WHERE n > 3 AND exact > 0.9
+ UNION ALL SELECT seg, name, []::VARCHAR[], []::DOUBLE[], 1.0, n FROM d WHERE n >= 3 AND c_y_y = 0""")
+add("m17_subset_regression", lambda i: _rounded(L.subset_regression(i.trace())), f"{_CENTRED} SELECT seg, y, xs, slopes, r2, n FROM ({' UNION ALL '.join(map(_rows_sql, _SUBSETS))}) WHERE n >= greatest(3, len(xs) + 2) AND exact >= 0.8")
 add("m18_piecewise", lambda i: L.piecewise(i.trace()))
