@@ -89,3 +89,50 @@ def test_time_grows_with_the_text(token):
 
     short = min(taken(15_000) for _ in range(2))
     assert taken(60_000) < 4 * 2.5 * max(short, 0.02)
+
+
+def test_tape_maps_back_whatever_is_rewritten():
+    rng = random.Random(5)
+    for _ in range(500):
+        text = "".join(rng.choice("abcdé ") for _ in range(rng.randint(0, 30)))
+        tape, plain = pii.Tape(text), [(c, i, i + 1) for i, c in enumerate(text)]
+        for _ in range(3):
+            cuts = sorted(rng.sample(range(len(plain) + 1), min(len(plain) + 1, 2 * rng.randint(0, 3)) // 2 * 2))
+            edits = [(a, b, rng.choice(["", "x", "yz"])) for a, b in zip(cuts[::2], cuts[1::2], strict=True)]
+            tape.rewrite(edits)
+            made, at = [], 0
+            for a, b, new in edits:
+                made += plain[at:a] + [(c, plain[a][1], plain[b - 1][2]) for c in new]
+                at = b
+            plain = made + plain[at:]
+            assert tape.text == "".join(c for c, _, _ in plain)
+            assert [tape.source(i, i + 1) for i in range(len(plain))] == [(a, b) for _, a, b in plain]
+
+
+def test_planted_disguises_are_found_where_they_are():
+    """Identifiers disguised at random, in plain text: the one span is the disguised stretch."""
+    rng = random.Random(12)
+    words = {"0": "zero", "1": "one", "2": "two", "3": "three", "4": "four", "5": "five", "6": "six", "7": "seven", "8": "eight", "9": "nine"}
+    alike = {"a": "а", "e": "е", "o": "о", "p": "р", "c": "с"}
+    wide = lambda s: "".join(chr(ord(c) + 0xFEE0) if c.isascii() and c.isalnum() else c for c in s)
+
+    def email():
+        name = "".join(rng.choice("abcdeop") for _ in range(rng.randint(3, 8))) + rng.choice(["", ".x", "7"]) + "2"
+        name = "".join(alike.get(c, c) if rng.random() < 0.3 else c for c in name)
+        name = name[0] + "​" * (rng.random() < 0.3) + name[1:]
+        return name + rng.choice([" [at] ", "(at)", " at ", "＠", " { AT } "]) + "example" + rng.choice([".", " [dot] ", " dot ", "．", "(.)"]) + rng.choice(["com", "org", "net"])
+
+    def phone():
+        digits = "".join(rng.choice("123456789") for _ in range(rng.randint(9, 12)))
+        return rng.choice(["plus " + " ".join(words[d] for d in digits), "+" + wide(digits), "+1 5O5 l" + digits[:2] + "-" + digits[2:6]])
+
+    def ip():
+        parts = [str(rng.randint(1, 255)) for _ in range(4)]
+        return rng.choice([" [dot] ", "(dot)", " [.] "]).join(parts)
+
+    for _ in range(1500):
+        kind, made = rng.choice([("email", email), ("phone", phone), ("ip", ip)])
+        text = made()
+        before, after = rng.choice(["", "see ", "Größe: ", "ok, "]), rng.choice(["", " thanks", ", bye", "\nnext"])
+        every = pii.find(before + text + after)[1]
+        assert every[kind] == [(len(before), len(before) + len(text))], (before + text + after, every)
