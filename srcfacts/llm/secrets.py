@@ -45,7 +45,7 @@ MORE = [
     Rule("google", r"AIza[A-Za-z0-9_-]+", False, 39, r"AIza[A-Za-z0-9_-]"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", False, 0, r"eyJ[A-Za-z0-9_-]+\.eyJ"),
     Rule("pem", r"-----BEGIN ([A-Z]+ )*PRIVATE KEY-----", False, 0, ""),
-    Rule("url", r"[a-z][a-z0-9+.-]*://[^\x00-\x20/:@]+:[^\x00-\x20/@]+@[A-Za-z0-9.-]+", False, 0, r"[a-z]://[^\x00-\x20/:@]+:[^\x00-\x20/@]+@[A-Za-z0-9.-]"),
+    Rule("url", r"[a-z][a-z0-9+.-]*://[^\x00-\x20/:@]+:[^\x00-\x20/@]+@[A-Za-z0-9.-]+", False, 0, r"[a-z0-9+.-]://[^\x00-\x20/:@]+:[^\x00-\x20/@]+@[A-Za-z0-9.-]"),
 ]
 
 
@@ -82,7 +82,7 @@ class Scanner:
             start = self._back(back, data, at, low)
             if start < 0:
                 continue
-            if self.wide_start[k]:  # the scheme may be longer than its trigger's one letter
+            if self.wide_start[k]:  # the scheme may be longer than its trigger's one character
                 while start > low and data[start - 1 : start] in SCHEME:
                     start -= 1
                 while start < at and not data[start : start + 1].islower():

@@ -57,7 +57,7 @@ def brute_all(text):
 
 def test_all_rules_match_plain_expressions():
     rng = random.Random(11)
-    bits = ["ghp_", "gho_x", "xoxb-", "xoxp-9", "sk_live_", "rk_live_Z", "AIza", "eyJ", ".", "eyJa", "-----BEGIN ", "RSA ", "EC ", "PRIVATE KEY-----", "http", "s3+x", "://", "u", ":", "p4ß", "@", "host", "://u:p4ß", "@host.é", "a1B2" * 10, "-", "_", "/", " ", "é", "\n", "token", "=", "0f" * 8, "AKIA", "Z9" * 9]
+    bits = ["ghp_", "gho_x", "xoxb-", "xoxp-9", "sk_live_", "rk_live_Z", "AIza", "eyJ", ".", "eyJa", "eyJb.eyJc.", "eyJd.", "-----BEGIN ", "RSA ", "EC ", "PRIVATE KEY-----", "http", "s3+x", "://", "u", ":", "p4ß", "@", "host", "://u:p4ß", "@host.é", "a1B2" * 10, "-", "_", "/", " ", "é", "\n", "token", "=", "0f" * 8, "AKIA", "Z9" * 9]
     hit = set()
     for _ in range(12_000):
         text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 12)))
