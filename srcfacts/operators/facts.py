@@ -44,9 +44,10 @@ def covering(points: DataFrame, spans: DataFrame, key: str = "file", block: int
     A span stands in the few cells of a dyadic grid that make it up, two a level at most; a point asks the cell around it at each level
     that some span has. They meet by an equi-join, each pair in one cell, however long the spans are.
     """
-    s = cut(spans.where("begin <= end").select(F.col(key), F.struct("*").alias("s"), F.explode(_cells(F.col("begin"), F.col("end"), block)).alias("__cell")))
-    levels = [r[0] for r in s.select("__cell.level").distinct().collect()]  # at most 64
-    ask = F.explode(F.array(*[F.struct(F.lit(x).alias("level"), F.shiftright(F.floor(F.col(at) / block).cast("long"), x).alias("at")) for x in sorted(levels)])) if levels else F.lit(None).cast("struct<level:int,at:bigint>")
+    some = spans.where("begin <= end")
+    longest = some.agg(F.max(F.floor(F.col("end") / block) - F.floor(F.col("begin") / block))).first()[0] or 0  # blocks; a level for each of its bits
+    s = some.select(F.col(key), F.struct("*").alias("s"), F.explode(_cells(F.col("begin"), F.col("end"), block)).alias("__cell"))
+    ask = F.explode(F.array(*[F.struct(F.lit(x).alias("level"), F.shiftright(F.floor(F.col(at) / block).cast("long"), x).alias("at")) for x in range(max(1, (int(longest) + 1).bit_length()))]))
     p = points.select(F.col(key), F.struct("*").alias("p"), ask.alias("__cell"))
     return p.join(s, [key, "__cell"]).where(F.col(f"p.{at}").between(F.col("s.begin"), F.col("s.end"))).select(key, "p", "s")
 
@@ -67,9 +68,9 @@ def enclosing(spans: DataFrame, block: int = BLOCK) -> DataFrame:
 
     spans: (file, id, begin, end); equal spans are ordered by id.
     """
-    met = overlapping(spans, spans, block=block)
-    before = F.struct("r.begin", (-F.col("r.end")).alias("e"), "r.id") < F.struct("l.begin", (-F.col("l.end")).alias("e"), "l.id")
-    return met.where(before & (F.col("l.begin") < F.col("r.end"))).select(F.col("l.id").alias("src"), F.col("r.id").alias("dst"))
+    met = covering(spans.withColumn("__at", F.col("begin")), spans, block=block, at="__at")  # what comes before begins before: src begins in it
+    before = F.struct("s.begin", (-F.col("s.end")).alias("e"), "s.id") < F.struct("p.begin", (-F.col("p.end")).alias("e"), "p.id")
+    return met.where(before & (F.col("p.begin") < F.col("s.end"))).select(F.col("p.id").alias("src"), F.col("s.id").alias("dst"))
 
 
 def select_tokens(selection: DataFrame, spans: DataFrame, block: int = BLOCK) -> DataFrame:

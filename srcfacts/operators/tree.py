@@ -134,7 +134,8 @@ def common_ancestor(lifted: DataFrame, sets: DataFrame) -> DataFrame:
     now = stored(now.join(least, "q").join(lifted, "node_id"))
     for k in range(bits - 1, -1, -1):
         high = F.col("depth") - F.col("least") >= 2**k
-        now = stored(now.select("q", F.when(high, F.get("ups", F.lit(k))).otherwise(F.col("node_id")).alias("node_id"), "least").distinct().join(lifted, "node_id"))
+        now = now.select("q", F.when(high, F.get("ups", F.lit(k))).otherwise(F.col("node_id")).alias("node_id"), "least").join(lifted, "node_id")
+        now = stored(now) if k % 8 == 0 else now
     for k in range(bits - 1, -1, -1):
         above = F.get("ups", F.lit(k))
         apart = now.groupBy("q").agg((~F.min(above).eqNullSafe(F.max(above))).alias("apart"))
@@ -146,12 +147,32 @@ def common_ancestor(lifted: DataFrame, sets: DataFrame) -> DataFrame:
 
 def distance(lifted: DataFrame, pairs: DataFrame, both_ends: bool = False) -> DataFrame:
     """(a, b, lca, distance) of node pairs: edges on the way through their common ancestor; both_ends counts both ends and
-    that ancestor twice (4 more). Pairs without a common ancestor give no row."""
-    wanted = pairs.select("a", "b").distinct().withColumn("q", F.struct("a", "b"))
-    members = wanted.select("q", F.col("a").alias("node_id")).union(wanted.select("q", F.col("b")))
+    that ancestor twice (4 more). Pairs without a common ancestor give no row.
+
+    The deeper node rises to the other's depth, then both rise as long as they stay apart, each row by itself.
+    """
+    lifted = stored(lifted)
+    bits = _bits(lifted)
+    at = lambda c: lifted.select(F.col("node_id").alias(c), F.col("ups").alias(f"up_{c}"))
     deep = lambda c: depths(lifted).toDF(c, f"depth_{c}")
-    found = common_ancestor(lifted, members).select("q.a", "q.b", "lca").join(deep("a"), "a").join(deep("b"), "b").join(deep("lca"), "lca")
-    return found.select("a", "b", "lca", (F.col("depth_a") + F.col("depth_b") - 2 * F.col("depth_lca") + F.lit(4 if both_ends else 0)).alias("distance"))
+    far = F.abs(F.col("depth_a") - F.col("depth_b"))
+    ends = F.when(F.col("depth_a") < F.col("depth_b"), F.struct(F.col("b").alias("x"), F.col("a").alias("y"))).otherwise(F.struct(F.col("a").alias("x"), F.col("b").alias("y")))
+    now = pairs.select("a", "b").distinct().join(deep("a"), "a").join(deep("b"), "b").select("a", "b", far.alias("far"), ends.alias("e")).select("a", "b", "far", "e.x", "e.y", F.col("far").alias("rest"))
+    for k in range(bits - 1, -1, -1):
+        high = F.col("rest") >= 2**k
+        now = now.join(at("x"), "x").select("a", "b", "far", F.when(high, F.get("up_x", F.lit(k))).otherwise(F.col("x")).alias("x"), "y", F.when(high, F.col("rest") - 2**k).otherwise(F.col("rest")).alias("rest"))
+        now = stored(now) if k % 8 == 0 else now
+    now = now.withColumn("rose", F.lit(0))
+    for k in range(bits - 1, -1, -1):
+        above = {c: F.get(f"up_{c}", F.lit(k)) for c in ("x", "y")}
+        apart = above["x"].isNotNull() & (above["x"] != above["y"])
+        moved = [F.when(apart, above[c]).otherwise(F.col(c)).alias(c) for c in ("x", "y")]
+        now = now.join(at("x"), "x").join(at("y"), "y").select("a", "b", "far", *moved, (F.col("rose") + F.when(apart, 2**k).otherwise(0)).alias("rose"))
+        now = stored(now) if k % 8 == 0 else now
+    parent = {c: F.get(f"up_{c}", F.lit(0)) for c in ("x", "y")}
+    same = F.col("x") == F.col("y")
+    found = now.join(at("x"), "x").join(at("y"), "y").select("a", "b", F.when(same, F.col("x")).when(parent["x"] == parent["y"], parent["x"]).alias("lca"), (F.col("far") + F.when(same, 0).otherwise(2 * (F.col("rose") + 1))).alias("distance"))
+    return found.where("lca is not null").select("a", "b", "lca", (F.col("distance") + F.lit(4 if both_ends else 0)).alias("distance"))
 
 
 def path_closure(lifted: DataFrame, sets: DataFrame, to_root: bool = False) -> DataFrame:
