@@ -84,3 +84,21 @@ def test_rows(spark, table):
     texts = P.decoded(got, table).collect()
     assert sorted(r.text for r in texts) == ["", "", "  x\n", "a b", "a b"]
     assert P.encoded(df.limit(0), table).count() == 0
+
+
+def test_every_word_goes_through_the_relational_lattice(spark, table):
+    """Rare words, long ones and runs of blanks included: tasks get a table in which they'd find no piece themselves."""
+    import sentencepiece
+
+    poor = table._replace(begun={p: k for p, k in table.begun.items() if k == table.tied})
+    assert P.segment("▁the", poor) != P.segment("▁the", table)
+    library, rng = sentencepiece.SentencePieceProcessor(model_file=P.MODEL), random.Random(6)
+    letters = "aeinrstthé.,X日1"
+    words = ["".join(rng.choice(letters) for _ in range(rng.choice((1, 5, 9, 58, 59, 60, 61, 62, 200)))) for _ in range(400)] + ["", "", "▁", "a▁b", "the" * 700]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 30))) for _ in range(120)] + [w * 2 for w in words]
+    got = P.encoded(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), poor, keep=("text",))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" in plan and "hashpartitioning(word" not in plan  # grouped where the words are
+    for r in got.collect():
+        assert list(r.ids) == library.encode(r.text), r.text
+        assert r.exact == (P.decode(r.ids, table) == r.text)
