@@ -102,3 +102,40 @@ def test_every_word_goes_through_the_relational_lattice(spark, table):
     for r in got.collect():
         assert list(r.ids) == library.encode(r.text), r.text
         assert r.exact == (P.decode(r.ids, table) == r.text)
+
+
+def test_only_substrings_with_a_head_are_looked_up(spark, table):
+    """Two substrings a start at most are exploded, longer ones only in sizes that pieces of that beginning have; edges as by brute force."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    words = sorted({P.SPACE + "".join(rng.choice(["a", "e", "n", "t", "th", "ing", "é", "日", "x"]) for _ in range(rng.randint(0, 20))) for _ in range(200)})
+    chunks = spark.createDataFrame([(0, w, 0, w) for w in words], "bucket int, word string, at int, chunk string").repartition(3, "bucket")
+    pieces = P.table_of(spark, table)
+    got = P.lattice(chunks, pieces, ("bucket",))
+    want = {w: sorted((table.order[w[s:e]] << 36) + s * 64 + e - s for s in range(len(w)) for e in range(s + 2, len(w) + 1) if table.order.get(w[s:e], table.tied) != table.tied) for w in words}
+    assert {r.word: list(r.edges) for r in got.collect()} == {w: x for w, x in want.items() if x}
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+    assert P.heads_at(spark).groupBy("n", "s").count().agg(F.max("count")).first()[0] == 2
+    sizes = {(p[: P.HEAD], len(p)) for p, k in table.order.items() if k != table.tied}
+    rows = P.heads_of(pieces).collect()
+    assert len(rows) == len(sizes) and {(r.head, r["size"]) for r in rows} == sizes
+    assert all((r.own is None) == (r["size"] > P.HEAD or r.head not in table.order) for r in rows)
+
+
+def test_words_are_learnt_all_at_once(table):
+    """By cuts, by edges and with characters that have no piece, as one by one; none, too."""
+    import pyarrow as pa
+
+    words = ["the", "", "x", "日本😀", "a\nb", "unbelievable,", "é" * 58, "y" * 70]
+    cuts = []
+    for w in words[:-1]:
+        at = np.cumsum([0, *(len(x) for x in P.segment(P.SPACE + w, table))])
+        cuts.append(sum(1 << int(i) for i in at))
+    encoder = P.Encoder(table, {})
+    encoder.learn(words, pa.array([*cuts, None], pa.int64()), pa.array([None] * 7 + [[7]], pa.list_(pa.int64())))
+    assert encoder.edges == {words[-1]: [7]}
+    assert encoder.known == {w: np.array(P.ids_of(P.segment(P.SPACE + w, table), table), "<i4").tobytes() for w in words[:-1]}
+    encoder.learn([], pa.array([], pa.int64()), pa.array([], pa.list_(pa.int64())))
+    encoder.learn(["z" * 70], pa.array([None], pa.int64()), pa.array([[9]], pa.list_(pa.int64())))
+    assert encoder.edges == {words[-1]: [7], "z" * 70: [9]} and len(encoder.known) == 7
