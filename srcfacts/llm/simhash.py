@@ -14,6 +14,9 @@ Links (at most ``tau`` differing bits) are found without comparing all pairs:
    meet at their one-bit variants instead, which is exact too and linear (two are within 2 bits
    just when they share a variant of at most one flipped bit).
 
+``far_pairs`` is the search for edited copies, whose fingerprints are many bits apart: fingerprints of several words, in which
+groups of bits that agree whole give candidates (see there).
+
 Equal fingerprints are one node throughout, so exact copies cost nothing. Extra columns are ignored; repeated rows
 keep a row each; an empty table gives an empty result.
 """
@@ -37,6 +40,9 @@ from srcfacts.session import cut, stored
 
 SEED = 42
 BUCKET = 64
+#: Of wide fingerprints: the share of bits in which sets of similarity 0.8 differ at most (4 of 5 elements; 0.152 for large sets), bits
+#: of the two words checked that may differ, fingerprints that should share a group's value, and that meet in a task at most.
+DIFFER, FAR, SHARED, BLOCK = 0.1875, 36, 16384, 32768
 
 
 def shingle_hashes(text: str, k: int) -> np.ndarray:
@@ -222,6 +228,119 @@ def links(nodes: DataFrame, tau: int = 2, bucket: int = BUCKET) -> DataFrame:
     return pairs
 
 
+def wide_layout(n: int) -> tuple[int, int, int]:
+    """(bits of a group, groups, words of a fingerprint) for ``n`` fingerprints.
+
+    More fingerprints get wider groups, so that few share a value, and more of them: two that differ in ``DIFFER`` of their bits
+    agree on no group with a probability of e^-10 (3e-7 for large sets at 0.8 and groups of 8 bits).
+    """
+    width = min(16, max(8, math.ceil(math.log2(max(n, 1) / SHARED))))
+    groups = math.ceil(-10 / math.log1p(-((1 - DIFFER) ** width)))
+    return width, groups, -(-groups // (64 // width))
+
+
+def wide_fingerprint(h: np.ndarray, words: int) -> np.ndarray:
+    """SimHash of ``words`` 64-bit words: the first by the hashes themselves, the others by a mix of each; a bit is set if it is in over half."""
+    ones, odd = np.zeros(64 * words, np.int64), np.arange(words, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for at in range(0, len(h), 255):  # sums of a chunk fit a byte
+        x = h[at : at + 255, None] + odd
+        for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
+        x ^= x >> np.uint64(31)
+        x[:, 0] = h[at : at + 255]
+        ones += np.add.reduce(np.unpackbits(x.view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(h), bitorder="little").view(np.int64)
+
+
+def _meet(n: np.ndarray, left: np.ndarray, right: np.ndarray, mine: np.ndarray, across: bool, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places (i, j) of the pairs of one block, or across two, that are of near sizes and within ``FAR`` bits; rows ascend by ``n``.
+
+    Over ``most`` pairs for each row that has any, it is paired with its first partner only, and all such rows are returned too.
+    """
+    left, right = left.view(np.uint64), right.view(np.uint64)  # of signed numbers the bits of the absolute value would be counted
+    count, places, step = len(n), np.arange(len(n)), max(16, (1 << 20) // len(n))
+    ends = np.searchsorted(4 * n, 5 * n, side="right")
+    first, degree, pairs, total = np.full(count, count), np.zeros(count, np.int64), [], 0
+    for at in range(0, count, step):
+        i, to = places[at : at + step, None], ends[min(at + step, count) - 1]
+        j = places[None, at:to]
+        far = np.bitwise_count(left[i] ^ left[j]) + np.bitwise_count(right[i] ^ right[j])
+        x, y = np.nonzero((far <= FAR) & (j > i) & (j < ends[i]) & ((mine[i] != mine[j]) == across))
+        x, y = x + at, y + at
+        np.minimum.at(first, y, x)
+        degree += np.bincount(x, minlength=count) + np.bincount(y, minlength=count)
+        total += len(x)
+        if total <= most * count:
+            pairs.append((x, y))
+    if total <= most * np.count_nonzero(degree):
+        return *(np.concatenate(z) for z in zip(*pairs)), places[:0]
+    j = np.nonzero(first < count)[0]
+    return first[j], j, np.nonzero(degree)[0]
+
+
+def _meetings(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """(bucket, a, b) of rows sorted by (bucket, low, high, n)."""
+
+    def found(t: pa.Table, starts: np.ndarray, stops: np.ndarray) -> Iterator[pa.RecordBatch]:
+        bucket, low, high, n, left, right, mine = (t.column(c).to_numpy() for c in ("bucket", "low", "high", "n", "left", "right", "mine"))
+        node, made = t.column("node").combine_chunks(), []
+        for p, q in zip(starts.tolist(), stops.tolist(), strict=True):
+            if q - p > 1:
+                i, j, opened = _meet(n[p:q], left[p:q], right[p:q], mine[p:q], low[p] != high[p], most)
+                made.append((np.concatenate([i, opened]) + p, np.concatenate([j, np.full(len(opened), -1 - p)]) + p))
+        if made:
+            i, j = (np.concatenate(x) for x in zip(*made, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[i]), node.take(pa.array(i)), node.take(pa.array(j, mask=j < 0))], names=["bucket", "a", "b"])
+
+    held, rows, enough = [], 0, 1 << 14
+    for b in batches:
+        held.append(b)
+        rows += b.num_rows
+        if rows >= enough:
+            t = pa.Table.from_batches(held)
+            starts = _starts(t)
+            yield from found(t, starts[:-1], starts[1:])
+            held = t.slice(starts[-1]).to_batches()  # the last block may go on
+            rows -= int(starts[-1])
+            enough = (1 << 14) + 2 * rows
+    if rows:
+        t = pa.Table.from_batches(held)
+        starts = _starts(t)
+        yield from found(t, starts, np.append(starts[1:], rows))
+
+
+def _starts(t: pa.Table) -> np.ndarray:
+    """Where the blocks of sorted rows begin."""
+    new = np.zeros(t.num_rows, bool)
+    new[0] = True
+    for c in ("bucket", "low", "high"):
+        x = t.column(c).to_numpy()
+        new[1:] |= x[1:] != x[:-1]
+    return np.nonzero(new)[0]
+
+
+def far_pairs(nodes: DataFrame, layout: tuple[int, int, int], most: int = 4, block: int = BLOCK) -> DataFrame:
+    """(bucket, a, b) of distinct nodes (node, n, wide): pairs that agree whole on a group of bits (their bucket), are within ``FAR`` of the
+    128 bits of the two words after the group's, and of sizes ``n`` with the smaller one 4/5 of the larger at least.
+
+    By pigeonhole pairs of near sizes that differ in ``FAR`` bits in all are found for certain (there are more groups); pairs beyond
+    that with the probability that ``wide_layout`` states. Where a bucket holds over ``most`` pairs for each node that has any, these are paired with one partner each and
+    listed as (bucket, a, null): all pairs of a bucket's listed nodes are open, and for the caller to look through.
+    """
+    width, groups, words = layout
+    per = 64 // width
+    keyed = nodes.select("node", F.col("n").cast("int").alias("n"), "wide", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g")).select(
+        F.expr(f"(g * {1 << width}L) + (shiftrightunsigned(wide[g div {per}], cast(g % {per} as int) * {width}) & {(1 << width) - 1}L)").alias("bucket"),
+        "node", "n", F.expr(f"wide[(g div {per} + 1) % {words}]").alias("left"), F.expr(f"wide[(g div {per} + 2) % {words}]").alias("right"),
+    )
+    crowds = stored(keyed.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks > 1"))
+    dealt = keyed.join(crowds, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("low", F.least("mine", "other")).withColumn("high", F.greatest("mine", "other"))
+    kind = nodes.schema["node"].dataType.simpleString()
+    blocks = spread.drop("other", "blocks").repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "n")
+    return blocks.mapInArrow(lambda batches: _meetings(batches, most), f"bucket long, a {kind}, b {kind}")
+
+
 def near_duplicates(docs: DataFrame, k: int = 3, tau: int = 2, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
     """(id, fp long, component): the smallest id reachable over links of at most ``tau`` bits, itself included.
 

@@ -84,3 +84,33 @@ def test_rows(spark):
     got = sorted((r.doc_id or -1, r.component or -1) for r in S.near_duplicates(df).collect())
     assert got == [(-1, -1), (1, 1), (2, 2), (3, 1), (3, 1), (4, 2), (9, 9)]
     assert S.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_wide_search_finds_pairs_at_four_fifths(spark):
+    """Sets of similarity 0.8 exactly, small and large, between unlike ones; blocks of any size and either way of writing."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    draw = lambda n: rng.integers(0, 1 << 64, n, np.uint64)
+    layout = S.wide_layout(200)
+    rows, want = [], set()
+    for common, a, b in [(4, 1, 0), (12, 2, 1), (80, 10, 10), (200, 50, 0)] * 25:
+        x = draw(common + a + b)
+        for s in (x[: common + a], np.concatenate([x[:common], x[common + a :]])):
+            rows.append((len(rows), len(s), S.wide_fingerprint(s, layout[-1]).tolist()))
+        want.add((len(rows) - 2, len(rows) - 1))
+    assert S.wide_fingerprint(x, 3)[0] == S.wide_fingerprint(x, 1)[0]
+    nodes = spark.createDataFrame(rows, "node long, n long, wide array<long>")
+    for most, block in ((4, 1000), (0, 1000), (4, 2)):
+        met = S.far_pairs(nodes, layout, most, block).collect()
+        pairs = {tuple(sorted((r.a, r.b))) for r in met if r.b is not None}
+        assert want <= pairs and len(pairs) < len(want) + 20, (most, block)
+        assert {r.a for r in met if r.b is None} == ({x for p in pairs for x in p} if not most else set())
+
+
+def test_wide_fingerprint_begins_with_the_plain_one():
+    import numpy as np
+
+    text = " ".join(f"w{i}" for i in range(600))  # no shingle twice
+    assert S.wide_fingerprint(S.shingle_hashes(text, 3), 6)[0] == S.fingerprint(text)
+    assert not S.wide_fingerprint(np.empty(0, np.uint64), 6).any()
