@@ -44,6 +44,6 @@ def test_orders_with_the_numbers_of_function_ends(against_sql):
     """Orders 1000000 on have the numbers of entries and exits; some lead to such a node and call it as well."""
     customers = [(c,) for c in range(4)]
     orders = _orders([1, 2, 3, 7, *range(1000000, 1000010), 2000004, 2000008], lambda k: 1 if k == 2000004 else 2 if k == 2000008 else k % 5, lambda k: "PPF"[k % 3])
-    for name in ("g09_icfg", "g08_eliminate_callsites"):
+    for name in ("g09_icfg", "g08_eliminate_callsites", "g09_icfg_without_ends"):
         found = against_sql(name, orders=orders, customer=customers)
         assert found
