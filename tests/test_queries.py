@@ -6,6 +6,7 @@ from collections import Counter
 import duckdb
 import pytest
 
+from srcfacts.operators import facts as K
 from srcfacts.plans import registry
 
 DAY = datetime.datetime(1995, 3, 1)
@@ -47,3 +48,16 @@ def test_orders_with_the_numbers_of_function_ends(against_sql):
     for name in ("g09_icfg", "g08_eliminate_callsites", "g09_icfg_without_ends"):
         found = against_sql(name, orders=orders, customer=customers)
         assert found
+
+
+def test_call_graph_without_a_shuffle_of_pairs(spark, against_sql, monkeypatch):
+    """A name that all call is dealt into parts; callers and functions with several common names make one pair."""
+    monkeypatch.setattr(K, "PAIRS", 10)
+    against_sql("j06_call_graph", orders=_orders(range(300), lambda k: k % 60), supplier=[(s,) for s in range(120)])
+    calls = spark.createDataFrame([(1, ["a", "b", None, "a"]), (1, ["c"]), (2, None), (None, ["b"]), *[(k, ["b", "c"]) for k in range(5, 40)]], "id int, callees array<string>")
+    functions = spark.createDataFrame([(10, "a"), (10, "b"), (10, "b"), (11, "c"), (11, "b"), (12, None), (None, "c"), (13, "z")], "id int, name string")
+    found = K.call_graph(calls, functions)
+    want = {(1, 10), (1, 11), (1, None), (None, 10), (None, 11)} | {(k, d) for k in range(5, 40) for d in (10, 11, None)}
+    assert Counter((r.src, r.dst) for r in found.collect()) == Counter(want)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan.split("Join")[0]  # pairs are made last and not put together again
