@@ -5,8 +5,10 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from srcfacts.operators import facts as K
+from srcfacts.operators import tree as T
 from srcfacts.plans import registry
 
 DAY = datetime.datetime(1995, 3, 1)
@@ -61,3 +63,25 @@ def test_call_graph_without_a_shuffle_of_pairs(spark, against_sql, monkeypatch):
     assert Counter((r.src, r.dst) for r in found.collect()) == Counter(want)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan.split("Join")[0]  # pairs are made last and not put together again
+
+
+def test_slice_features_without_a_shuffle_of_pairs(spark, against_sql, monkeypatch):
+    """Functions in parts and lots; the chains of bushy and of deep trees give the levels that walking up gives."""
+    monkeypatch.setattr(T, "CRITERIA", 4)
+    monkeypatch.setattr(T, "LINES", 16)
+    found = against_sql("t14_slice_features", part=[(p, f"Brand#{1 + p * 7 % 13}", p * 5 % 50) for p in range(700)])
+    assert any(r[-1] for r in found)
+    up = {n: None if n in (1, 200) else n - 1 if n < 60 or n % 5 else n // 3 for n in range(1, 260)} | {300: 999, 301: 999, 302: 301}
+    tree = spark.createDataFrame(list(up.items()), "node_id int, parent_id int")
+    lines = tree.select(F.lit("a").alias("file"), F.lit("f").alias("function"), F.col("node_id").alias("line"), "node_id", F.array(F.lit("x")).alias("variables"), F.lit(1).alias("var_type"), F.lit(True).alias("uses_global"))
+    lines = lines.union(spark.createDataFrame([("a", "f", 500, 500, ["y"], 1, True)], lines.schema))  # a line outside of the tree
+    got = T.slice_features(lines, lines.select(F.col("line").alias("crit"), "file", "line"), T.lift(tree), lines.where("line % 7 = 0").select((F.col("line") - 1).alias("crit"), "file", "line"))
+    way = lambda n: [n, *(way(up[n]) if up.get(n) in up else [])]
+    rows = got.collect()
+    assert len(rows) == (len(up) + 1) ** 2
+    for r in rows:
+        a, b = way(r.crit), way(r.line)
+        lca = next((x for x in a if x in b and x in up), None)
+        assert (r.criterion_to_lca, r.to_lca) == ((a.index(lca), b.index(lca)) if lca else (None, None)), (r.crit, r.line)
+        assert r.in_slice == (r.line % 7 == 0 and r.crit == r.line - 1) and r.same_var == ((r.crit == 500) == (r.line == 500))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 6
