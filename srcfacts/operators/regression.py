@@ -17,13 +17,53 @@ from pyspark.sql import functions as F
 from srcfacts.operators.mining import is_address_key, known, number
 
 
+#: Columns up to which a test's values become columns of their own (their products, if asked for, included); with more they travel as arrays.
+MOST_COLUMNS = 20
+
+
+def _values(trace: DataFrame, *names: str) -> DataFrame:
+    """The trace's number columns with their value v as double, null where it isn't a number."""
+    return known(trace).where(~is_address_key(F.col("key"))).select("seg", "test", *names, number("value").cast("double").alias("v"))
+
+
+def _few(rows: DataFrame, *names: str) -> list:
+    """The distinct names that have numbers, MOST_COLUMNS + 1 at most."""
+    return sorted(rows.where("v is not null").select(*names).distinct().limit(MOST_COLUMNS + 1).collect())
+
+
 def grams(trace: DataFrame, products: bool = False) -> DataFrame:
     """(seg, keys, n, sums, products): sums over the tests that have all number columns of their segment.
 
     keys: side_key names, sorted, and behind them with ``products`` the products ``a*b`` of each two inputs, squares
     included; sums[i], products[i * k + j] by their order.
+
+    Sums are taken for each set of columns that tests of a segment have; a segment's is the one with all its columns.
     """
-    rows = known(trace).where(~is_address_key(F.col("key"))).select("seg", "test", F.concat_ws("_", "side", "key").alias("key"), number("value").cast("double").alias("v")).where("v is not null").groupBy("seg", "test", "key").agg(F.max("v").alias("v"))
+    rows = _values(trace, F.concat_ws("_", "side", "key").alias("key"))
+    names = [r.key for r in _few(rows, "key")]
+    ins = [i for i, name in enumerate(names) if name.startswith("input_")]
+    made = [(a, b) for k, a in enumerate(ins) for b in ins[k:]] if products else []
+    k = len(names) + len(made)
+    if not names or k > MOST_COLUMNS:
+        return _long_grams(rows.where("v is not null").groupBy("seg", "test", "key").agg(F.max("v").alias("v")), products)
+    tests = rows.groupBy("seg", "test").agg(*[F.max(F.when(F.col("key") == name, F.col("v"))).alias(f"c{i}") for i, name in enumerate(names)])
+    mask = sum((F.when(F.col(f"c{i}").isNotNull(), F.lit(1 << i)).otherwise(F.lit(0)) for i in range(len(names))), F.lit(0))
+    wide = tests.select("seg", mask.alias("mask"), *[f"c{i}" for i in range(len(names))], *[(F.col(f"c{a}") * F.col(f"c{b}")).alias(f"c{len(names) + i}") for i, (a, b) in enumerate(made)]).where("mask > 0")
+    sums = wide.groupBy("seg", "mask").agg(F.count("*").alias("n"), *[F.sum(f"c{i}").alias(f"s{i}") for i in range(k)], *[F.sum(F.col(f"c{i}") * F.col(f"c{j}")).alias(f"p{i}_{j}") for i in range(k) for j in range(i, k)])
+    cells = sums.select("seg", "mask", "n", F.array(*[f"s{i}" for i in range(k)]).alias("s"), F.array(*[f"p{min(i, j)}_{max(i, j)}" for i in range(k) for j in range(k)]).alias("p"))
+    full = cells.groupBy("seg").agg(F.bit_or("mask").alias("all"), F.max_by(F.struct("mask", "n", "s", "p"), "mask").alias("r")).where("r.mask = all").select("seg", "r.*")
+    bit = lambda i: F.col("mask").bitwiseAND(1 << i) != 0
+    here = F.array(*map(bit, range(len(names))), *[bit(a) & bit(b) for a, b in made])
+    at = full.withColumn("at", F.filter(F.array(*map(F.lit, range(k))), lambda i: F.get(here, i)))
+    keys = F.array(*map(F.lit, names), *[F.lit(f"{names[a]}*{names[b]}") for a, b in made])
+    of = lambda c, i: F.get(F.col(c), i)
+    return at.select(
+        "seg", F.transform("at", lambda i: F.get(keys, i)).alias("keys"), F.flatten(F.transform("at", lambda i: F.transform(F.col("at"), lambda j: of("p", i * k + j)))).alias("products"), "n", F.transform("at", lambda i: of("s", i)).alias("sums")
+    )
+
+
+def _long_grams(rows: DataFrame, products: bool) -> DataFrame:
+    """``grams`` of (seg, test, key, v), one row a key, for any number of names."""
     names = rows.groupBy("seg").agg(F.array_sort(F.collect_set("key")).alias("keys"))
     tests = rows.groupBy("seg", "test").agg(F.array_sort(F.collect_list(F.struct("key", "v"))).alias("x"))
     full = tests.join(names, "seg").where(F.size("x") == F.size("keys"))
@@ -97,28 +137,51 @@ def least_squares(trace: DataFrame, least_r2: float = 0.90, least_rows: int = 3)
     return _per_segment(trace, grams(trace), rules)
 
 
+def _fits(n: np.ndarray, s: np.ndarray, p: np.ndarray, y: int, xs: list[int], at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``_fit`` of the segments ``at`` of one list of columns: (those that have one, slopes, intercepts, r2)."""
+    at = at[p[at, y, y] - s[at, y] ** 2 / n[at] > 1e-9 * np.maximum(1.0, p[at, y, y])]
+    c = p[at][:, [*xs, y]][:, :, [*xs, y]] - s[at][:, [*xs, y], None] * s[at][:, None, [*xs, y]] / n[at][:, None, None]
+    a, b, yy = c[:, :-1, :-1], c[:, :-1, -1], c[:, -1, -1]
+    scale = np.sqrt(np.maximum(np.diagonal(a, axis1=1, axis2=2), 0))
+    ok = (scale > 1e-9).all(axis=1)
+    ok[ok] = np.linalg.cond(a[ok] / (scale[ok, :, None] * scale[ok, None, :])) <= 1e10
+    at, k = at[ok], np.linalg.solve(a[ok], b[ok][:, :, None])[:, :, 0]
+    return at, k, (s[at, y] - (k * s[at][:, xs]).sum(axis=1)) / n[at], (k * b[ok]).sum(axis=1) / yy[ok]
+
+
 def subset_regression(trace: DataFrame, most_inputs: int = 4, least_r2: float = 0.8, least_rows: int = 3, polynomial: bool = True) -> DataFrame:
     """(seg, y, xs, slopes, intercept, r2, n): for every output all sets of up to ``most_inputs`` inputs with r2 at the bound.
 
     Where none is found, with ``polynomial``: one or two terms out of a, b, a*a, b*b and a*b of each two inputs, a
-    product among them. Terms are named ``a*b``.
+    product among them. Terms are named ``a*b``. Segments of the same columns are fitted together.
     """
 
-    def rules(keys: list[str], n: int, s: np.ndarray, p: np.ndarray) -> Iterator[tuple]:
+    def rules(keys: list[str], n: np.ndarray, s: np.ndarray, p: np.ndarray) -> Iterator[tuple]:
         ins = [i for i, name in enumerate(keys) if name.startswith("input_") and "*" not in name]
         terms = [i for i, name in enumerate(keys) if "*" in name]
         of = {i: frozenset(keys[i].split("*")) for i in ins + terms}
+        plain = [xs for size in range(1, min(most_inputs, len(ins)) + 1) for xs in combinations(ins, size)]
         bent = [xs for size in (1, 2) for xs in combinations(ins + terms, size) if any(i in terms for i in xs) and len(frozenset().union(*(of[i] for i in xs))) <= 2]
-
-        def accepted(y: int, sets) -> list[tuple]:
-            tried = ((list(xs), _fit(n, s, p, y, list(xs))) for xs in sets if n >= max(least_rows, len(xs) + 2))
-            return [(keys[y], [keys[i] for i in xs], f[1], f[2], f[0]) for xs, f in tried if f and f[0] >= least_r2]
-
         for y in (i for i, name in enumerate(keys) if name.startswith("output_")):
-            found = accepted(y, (xs for size in range(1, min(most_inputs, len(ins)) + 1) for xs in combinations(ins, size)))
-            yield from found or accepted(y, bent)
+            open_ = np.ones(len(n), bool)
+            for sets in (plain, bent):
+                left = open_.copy()
+                for xs in sets:
+                    at, k, rest, r2 = _fits(n, s, p, y, list(xs), np.nonzero(left & (n >= max(least_rows, len(xs) + 2)))[0])
+                    good = r2 >= least_r2
+                    open_[at[good]] = False
+                    yield from ((i, keys[y], [keys[x] for x in xs], *row) for i, *row in zip(at[good], k[good].tolist(), rest[good].tolist(), r2[good].tolist(), strict=True))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out: list[tuple] = []
+            for keys, rows in b.groupby(b["keys"].map(tuple), sort=False):
+                k, n, seg = len(keys), rows["n"].to_numpy(), rows["seg"].tolist()
+                found = rules(list(keys), n.astype(float), np.stack(rows["sums"].to_list()), np.stack(rows["products"].to_list()).reshape(-1, k, k))
+                out += [(seg[i], *row, int(n[i])) for i, *row in found]
+            yield pd.DataFrame(out, columns=COLUMNS)
 
-    return _per_segment(trace, grams(trace, products=polynomial), rules)
+    return grams(trace, products=polynomial).mapInPandas(run, RULE.format(seg=trace.schema["seg"].dataType.simpleString()))
 
 
 #: Distinct input values up to which breaks are the optimum over all places; more are taken in as many blocks first.

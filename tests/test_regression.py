@@ -74,3 +74,21 @@ def test_blocks_then_moved():
 def test_few_rows():
     assert R.break_points(sums_of(np.arange(4.0), np.array([1.0, 5, 2, 9]))[0], 3) == [0]
     assert R.break_points(sums_of(np.array([1.0, 1, 2]), np.array([1.0, 5, 2]))[0], 3) == [0]
+
+
+def test_columns_and_arrays_agree(spark, monkeypatch):
+    """Segments of different columns, tests with gaps, repeated keys: values as columns give what values as arrays give, and are not collected."""
+    rows = []
+    for seg in range(4):
+        for t in range(30):
+            x, z = t % 11, (t * 7 + seg) % 5
+            vals = [("input", "a", x), ("input", "b", z), ("output", "y", 2 * x - z if seg < 2 else x * z), ("output", "w", abs(x - 5))] + ([("input", "c", t)] if seg == 3 and t % 4 else []) + ([("input", "a", x - 1)] if t == 3 else [])
+            rows += [(seg, t, s, k, str(v)) for s, k, v in vals]
+    trace = spark.createDataFrame([*rows, (9, 1, "input", "a", "x"), (9, 1, "input", "addr", "0x1")], "seg int, test int, side string, key string, value string")
+    plain = lambda df: sorted(tuple(tuple(np.round(x, 6)) if isinstance(x, list) and x and isinstance(x[0], float) else str(x) if not isinstance(x, float) else round(x, 6) for x in r) for r in df.collect())
+    made = lambda: [plain(f(trace)) for f in (R.least_squares, R.subset_regression, R.piecewise)]
+    assert "collect_list" not in R.grams(trace, True)._jdf.queryExecution().optimizedPlan().toString()
+    found = made()
+    assert all(found)
+    monkeypatch.setattr(R, "MOST_COLUMNS", 0)
+    assert made() == found
