@@ -11,6 +11,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -262,37 +263,134 @@ def r2_of(t: np.ndarray) -> np.ndarray:
     return np.where(flat, 1.0, np.where(same, 0.0, fit))
 
 
+#: Distinct input values up to which the breaks of many inputs are searched at once, and cells of such a search.
+NARROW, CELLS = 256, 1 << 20
+
+
+def many_break_points(sums: np.ndarray, first: np.ndarray, values: np.ndarray, least: np.ndarray) -> list[np.ndarray]:
+    """``break_points`` of many stretches of rows ``first`` to ``first + values``, each of NARROW values at most."""
+    found: list[np.ndarray] = [np.zeros(1, int)] * len(first)
+    total = np.add.reduceat(sums[:, 0], first) if len(first) else np.zeros(0)
+    every = np.maximum(1, total // np.maximum(least, 1)).astype(int)
+    order, begin = np.lexsort((every, values)), 0
+    while begin < len(order):
+        end = min(len(order), begin + max(1, CELLS // int((values[order[begin]] + 1) * every[order[begin:]].max())))
+        while end > begin + 1 and (end - begin) * int((values[order[end - 1]] + 1) * every[order[begin:end]].max()) > CELLS:
+            end = begin + (end - begin) // 2
+        part, begin = order[begin:end], end
+        v, e, far = values[part], every[part], int(values[part].max())
+        place = np.arange(far)
+        block = np.where((place < v[:, None])[:, :, None], sums[np.minimum(first[part][:, None] + place, len(sums) - 1)], 0.0)
+        run = np.concatenate([np.zeros((len(part), 1, 6)), np.cumsum(block, axis=1)], axis=1)
+        cost = np.full((len(part), int(e.max()), far + 1), np.inf)
+        back = np.zeros(cost.shape, np.int32)
+        for j in range(2, far + 1):
+            open_ = run[:, j, None, 0] - run[:, : j - 1, 0] >= np.maximum(least[part], 1)[:, None]
+            i = int(open_.sum(axis=1).max())
+            if i:
+                stretch = np.where(open_[:, :i, None], run[:, j, None] - run[:, :i], 1.0)
+                left = np.where(open_[:, :i], rest_of(stretch.reshape(-1, 6)).reshape(len(part), i), np.inf)
+                cost[:, 0, j] = left[:, 0]
+                through = cost[:, :-1, :i] + left[:, None]
+                back[:, 1:, j] = np.argmin(through, axis=2)
+                cost[:, 1:, j] = np.min(through, axis=2)
+        g = np.arange(len(part))
+        last, whole, k = cost[g, :, v], run[g, v], np.arange(cost.shape[1])
+        floor = 1e-12 * np.maximum(np.maximum(rest_of(whole), 1e-12 * whole[:, 5]), 1e-300)
+        n = whole[:, 0, None]
+        score = np.where(np.isfinite(last) & (k < e[:, None]), n * np.log(np.maximum(last, floor[:, None]) / n) + 3 * np.log(n) * (k + 1), np.inf)
+        for x, (best, some) in enumerate(zip(np.argmin(score, axis=1), np.isfinite(score).any(axis=1), strict=True)):
+            starts, at = [0], int(v[x])
+            for s in range(int(best) if some else 0, 0, -1):
+                at = int(back[x, s, at])
+                starts.insert(1, at)
+            found[part[x]] = np.array(starts)
+    return found
+
+
+def _pieces(rows: pa.Table, first: np.ndarray, least_share: float) -> pa.Table:
+    """The best breaks of each stretch of rows (seg, x, y, a, n, b, bb), one (seg, x, y) each, ascending in a."""
+    a, n, b, bb = (rows.column(c).to_numpy().astype(float) for c in ("a", "n", "b", "bb"))
+    values = np.diff(np.append(first, len(a)))
+    of = np.repeat(np.arange(len(first)), values)
+    # centred, so that differences of running sums keep their digits
+    weight = np.add.reduceat(n, first)
+    u, cy = a - (np.add.reduceat(a, first) / values)[of], (np.add.reduceat(b, first) / weight)[of]
+    sums = np.stack([n, n * u, b - n * cy, n * u * u, u * (b - n * cy), bb - 2 * cy * b + n * cy * cy], axis=1)
+    open_ = (values >= 3) & (np.add.reduceat(sums[:, 5], first) > 1e-12 * np.maximum(1.0, np.add.reduceat(bb, first)))
+    least = np.maximum(3, (least_share * weight).astype(int))
+    at = np.nonzero(open_ & (values <= NARROW))[0]
+    starts = dict(zip(at.tolist(), many_break_points(sums, first[at], values[at], least[at]) if len(at) else [], strict=True))
+    starts |= {int(i): np.array(break_points(sums[first[i] : first[i] + values[i]], int(least[i]))) for i in np.nonzero(open_ & (values > NARROW))[0]}
+    kept, breaks, scores = sorted(starts), [], []
+    for i in kept:
+        stretch = slice(first[i], first[i] + values[i])
+        scores.append(round(float(r2_of(np.add.reduceat(sums[stretch], starts[i])).mean()), 9))
+        breaks.append(a[stretch][starts[i][1:] - 1].tolist())
+    named = rows.select(["seg", "y", "x"]).take(pa.array(first[kept] if kept else [], pa.int64()))
+    return named.append_column("segments", pa.array([len(starts[i]) for i in kept], pa.int32())).append_column("breaks", pa.array(breaks, pa.list_(pa.float64()))).append_column("r2", pa.array(scores, pa.float64()))
+
+
 def piecewise(trace: DataFrame, least_share: float = 0.03) -> DataFrame:
     """(seg, y, x, segments, breaks, r2): the input by which an output is piecewise linear best: mean r2 of the segments, each
     with ``least_share`` of the rows at least (and three of them); ties go to fewer segments, then by name. breaks: the last input
-    value of every segment but the last, chosen by ``break_points``.
+    value of every segment but the last, chosen by ``break_points``. Of a key that a test repeats the largest number counts.
 
-    Sums of each distinct input value are combined before the shuffle; the values of one (seg, x, y) meet in a task, one row of sums each.
+    Sums of each distinct input value are combined before the shuffle; the values of one (seg, x, y) meet in a task, one row of sums each, and
+    tasks search the breaks of many (seg, x, y) at once.
     """
-    rows = known(trace).where(~is_address_key(F.col("key"))).withColumn("v", number("value").cast("double")).where("v is not null")
-    cell = F.struct("key", "v")
-    mine = lambda which: F.collect_list(F.when(F.col("side") == which, cell))
-    tests = rows.groupBy("seg", "test").agg(mine("input").alias("ins"), mine("output").alias("outs")).select("seg", "outs", F.explode("ins").alias("i")).select("seg", "i", F.explode("outs").alias("o"))
-    a, b = F.col("i.v"), F.col("o.v")
-    points = tests.groupBy("seg", F.col("i.key").alias("x"), F.col("o.key").alias("y"), a.alias("a")).agg(F.count("*").alias("n"), F.sum(b).alias("b"), F.sum(b * b).alias("bb"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("a")
-        name = pdf.y.iloc[0]
-        x, n, y, yy = (pdf[c].to_numpy(float) for c in ("a", "n", "b", "bb"))
-        made = pd.DataFrame(columns=["seg", "y", "x", "segments", "breaks", "r2"])
-        # centred, so that differences of running sums keep their digits
-        cx, cy = x.mean(), y.sum() / n.sum()
-        u, v, vv = x - cx, y - n * cy, yy - 2 * cy * y + n * cy * cy
-        sums = np.stack([n, n * u, v, n * u * u, u * v, vv], axis=1)
-        if len(x) < 3 or vv.sum() <= 1e-12 * max(1.0, yy.sum()):
-            return made
-        starts = break_points(sums, max(3, int(least_share * n.sum())))
-        ends = [*starts[1:], len(x)]
-        score = float(r2_of(np.stack([sums[i:j].sum(axis=0) for i, j in zip(starts, ends, strict=True)])).mean())
-        return pd.DataFrame([(pdf.seg.iloc[0], name, pdf.x.iloc[0], len(starts), x[[i - 1 for i in starts[1:]]].tolist(), round(score, 9))], columns=made.columns)
+    rows = _values(trace, "side", "key")
+    names = _few(rows.where(F.col("side").isin("input", "output")), "side", "key")
+    if names and len(names) <= MOST_COLUMNS:
+        cells = {(r.side, r.key): f"c{i}" for i, r in enumerate(names)}
+        tests = rows.groupBy("seg", "test").agg(*[F.max(F.when((F.col("side") == s) & (F.col("key") == k), F.col("v"))).alias(c) for (s, k), c in cells.items()])
+        ins, outs = ({k: c for (s, k), c in cells.items() if s == which} for which in ("input", "output"))
+        none = lambda fields: F.array().cast(f"array<struct<{fields}>>")
+        asked = F.array(*[F.struct(F.lit(k).alias("x"), F.col(c).alias("a")) for k, c in ins.items()]) if ins else none("x:string,a:double")
+        wide = tests.select("seg", *outs.values(), F.explode(asked).alias("i")).select("seg", "i.x", "i.a", *outs.values()).where("a is not null")
+        wide = wide.groupBy("seg", "x", "a").agg(F.count("*").alias("rows"), *[f(c).alias(f"{n}_{c}") for c in outs.values() for n, f in (("n", F.count), ("b", F.sum), ("bb", lambda c: F.sum(F.col(c) * F.col(c))))])
+        got = F.array(*[F.struct(F.lit(k).alias("y"), *[F.col(f"{n}_{c}").alias(n) for n in ("n", "b", "bb")]) for k, c in outs.items()]) if outs else none("y:string,n:bigint,b:double,bb:double")
+        points = wide.repartition("seg", "x").select("seg", "x", "a", F.explode(got).alias("o")).select("seg", "x", "o.y", "a", "o.n", "o.b", "o.bb").where("n > 0")
+    else:
+        once = rows.where("v is not null").groupBy("seg", "test", "side", "key").agg(F.max("v").alias("v"))
+        mine = lambda which: F.collect_list(F.when(F.col("side") == which, F.struct("key", "v")))
+        tests = once.groupBy("seg", "test").agg(mine("input").alias("ins"), mine("output").alias("outs")).select("seg", "outs", F.explode("ins").alias("i")).select("seg", "i", F.explode("outs").alias("o"))
+        a, b = F.col("i.v"), F.col("o.v")
+        points = tests.groupBy("seg", F.col("i.key").alias("x"), F.col("o.key").alias("y"), a.alias("a")).agg(F.count("*").alias("n"), F.sum(b).alias("b"), F.sum(b * b).alias("bb")).repartition("seg", "x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []  # a stretch may go on in the next batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            if held and _key(held[0], 0) == _key(rows, rows.num_rows - 1):
+                held.append(rows)
+                continue
+            rows = pa.concat_tables([*held, rows]).combine_chunks()
+            first = _stretches(rows)
+            if len(first) > 1:
+                yield from _pieces(rows.slice(0, first[-1]), first[:-1], least_share).to_batches()
+            held = [rows.slice(first[-1])]
+        if held:
+            yield from _pieces(pa.concat_tables(held).combine_chunks(), np.zeros(1, int), least_share).to_batches()
 
     seg = trace.schema["seg"].dataType.simpleString()
-    found = points.groupBy("seg", "x", "y").applyInPandas(run, f"seg {seg}, y string, x string, segments int, breaks array<double>, r2 double")
+    found = points.sortWithinPartitions("seg", "x", "y", "a").mapInArrow(run, f"seg {seg}, y string, x string, segments int, breaks array<double>, r2 double")
     best = Window.partitionBy("seg", "y").orderBy(F.desc("r2"), "segments", "x")
     return found.withColumn("__n", F.row_number().over(best)).where("__n = 1").drop("__n")
+
+
+def _key(rows: pa.Table, at: int) -> tuple:
+    return tuple(rows.column(c)[at].as_py() for c in ("seg", "x", "y"))
+
+
+def _stretches(rows: pa.Table) -> np.ndarray:
+    """Where a new (seg, x, y) begins."""
+    new = np.zeros(rows.num_rows, bool)
+    for c in ("seg", "x", "y"):
+        code = rows.column(c).combine_chunks().dictionary_encode(null_encoding="encode")
+        code = (code.combine_chunks() if isinstance(code, pa.ChunkedArray) else code).indices.to_numpy(zero_copy_only=False)
+        new[1:] |= code[1:] != code[:-1]
+    new[0] = True
+    return np.nonzero(new)[0]

@@ -76,6 +76,25 @@ def test_few_rows():
     assert R.break_points(sums_of(np.array([1.0, 1, 2]), np.array([1.0, 5, 2]))[0], 3) == [0]
 
 
+def test_breaks_of_many_stretches_at_once(monkeypatch):
+    """The same breaks as one at a time, with few and many values, in one search and in several."""
+    rng = np.random.default_rng(3)
+    parts = []
+    for k in range(60):
+        v = int(rng.integers(3, 60))
+        x, n = np.sort(rng.choice(500, v, replace=False)).astype(float), rng.integers(1, 9, v).astype(float)
+        y = np.where(x < 200, 3 * x, 900 - 2 * x) * (k % 3) + rng.normal(0, 1 + k % 7, v)
+        x -= x.mean()
+        parts.append(np.stack([n, n * x, n * y, n * x * x, n * x * y, n * y * y + n * 0.1], axis=1))
+    values = np.array([len(p) for p in parts])
+    least = np.array([max(3, int(0.03 * p[:, 0].sum())) for p in parts])
+    want = [R.break_points(p, int(m)) for p, m in zip(parts, least)]
+    assert any(len(w) > 2 for w in want)
+    for cells in (R.CELLS, 2000):
+        monkeypatch.setattr(R, "CELLS", cells)
+        assert [s.tolist() for s in R.many_break_points(np.concatenate(parts), np.cumsum(values) - values, values, least)] == want
+
+
 def test_columns_and_arrays_agree(spark, monkeypatch):
     """Segments of different columns, tests with gaps, repeated keys: values as columns give what values as arrays give, and are not collected."""
     rows = []
