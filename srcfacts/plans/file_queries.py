@@ -181,7 +181,7 @@ def _fragments(i):
     rows = i.table("supplier").select(c("s_suppkey").alias("id"), F.concat(F.lit("/r/b"), c("s_suppkey") % 4, F.lit("/x.c")).alias("path"), F.lit(1).alias("begin"), (c("s_suppkey") % 9).cast("int").alias("end"))
     folder = i.folder("fragments")
     S.write_partitioned(rows, folder, "/r")
-    return i.spark.read.json(folder).select("bench", c("frag").cast("long").alias("frag"), "id", "path", c("end").cast("int").alias("end"))
+    return i.spark.read.schema("id long, path string, begin int, `end` int").json(folder).select("bench", c("frag").cast("long").alias("frag"), "id", "path", c("end").cast("int").alias("end"))
 
 
 add("s22_partitioned", _fragments, "SELECT 'b' || (s_suppkey % 4) AS bench, CAST(s_suppkey AS BIGINT) AS frag, CAST(s_suppkey AS BIGINT) AS id, '/r/b' || (s_suppkey % 4) || '/x.c' AS path, CAST(s_suppkey % 9 AS INTEGER) AS \"end\" FROM supplier")

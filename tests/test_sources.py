@@ -89,3 +89,13 @@ def test_store_graph_and_trace(spark, tmp_path):
     S.write_partitioned(frags, str(tmp_path / "p"), "/r")
     assert {r.bench for r in spark.read.json(str(tmp_path / "p")).select("bench").collect()} == {"b1", "b2"}
     assert frags.select(S.benchmark_of(F.col("path"), "/r").alias("b")).first().b == "b1"
+
+
+def test_partitioned_fragments_are_one_file_each(spark, tmp_path):
+    """Rows of a fragment that lie in several partitions, and all fragments not in one task."""
+    rows = [(i % 12, f"/r/b{i % 12 % 3}/x.c", 1, i) for i in range(96)]
+    S.write_partitioned(spark.createDataFrame(rows, "id long, path string, begin int, end int").repartition(8, "end"), str(tmp_path / "p"), "/r")
+    files = [f for f in (tmp_path / "p").rglob("part-*.json")]
+    assert len(files) == 12 and len({f.parent for f in files}) == 12 and len({f.name.split("-")[1] for f in files}) > 1
+    back = spark.read.json(str(tmp_path / "p"))
+    assert sorted((r.frag, r.id, f"/r/{r.bench}/x.c", r.end) for r in back.collect()) == sorted((a, a, p, e) for a, p, _, e in rows)
