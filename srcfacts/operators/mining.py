@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from srcfacts.functions import text as X
+from srcfacts.session import stored
 
 MIN_ROWS = 3
 
@@ -394,6 +395,7 @@ def is_entry(rhs: Column) -> Column:
 def mappable(transfers: DataFrame, conditions: DataFrame) -> DataFrame:
     """(id, seg, mapped): whether every output of the condition has an rhs that depends only on the entry."""
     names = conditions.select("id", _output_names(F.col("condition")).alias("names")).select("id", F.size("names").alias("k"), F.explode("names").alias("lhs"))
+    transfers = stored(transfers.select("seg", "lhs", "rhs").distinct())  # mined once, read twice
     good = transfers.where(is_entry(F.col("rhs"))).select("seg", "lhs").distinct()
     segs = transfers.select("seg").distinct()
     counted = names.join(good, "lhs").groupBy("id", "seg").agg((F.count("*") == F.max("k")).alias("mapped"))

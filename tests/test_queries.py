@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from srcfacts.operators import facts as K
+from srcfacts.operators import mining as M
 from srcfacts.operators import tree as T
 from srcfacts.plans import registry
 
@@ -85,3 +86,14 @@ def test_slice_features_without_a_shuffle_of_pairs(spark, against_sql, monkeypat
         assert (r.criterion_to_lca, r.to_lca) == ((a.index(lca), b.index(lca)) if lca else (None, None)), (r.crit, r.line)
         assert r.in_slice == (r.line % 7 == 0 and r.crit == r.line - 1) and r.same_var == ((r.crit == 500) == (r.line == 500))
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 6
+
+
+def test_mappable_mines_its_transfers_once(spark):
+    transfers = spark.range(40).select((F.col("id") % 4).alias("seg"), F.concat(F.lit("output_"), F.col("id") % 5).alias("lhs"), F.when(F.col("id") % 3 == 0, "input_argv_1").otherwise("input_x").alias("rhs"))
+    conditions = spark.createDataFrame([(1, "output_1 > 5"), (2, "output_1 > output_4"), (3, "1 > 2")], "id int, condition string")
+    found = M.mappable(transfers, conditions)
+    rows = transfers.collect()
+    good = {(r.seg, r.lhs) for r in rows if r.rhs == "input_argv_1"}
+    want = {(i, s, all((s, n) in good for n in names)) for i, names in ((1, ["output_1"]), (2, ["output_1", "output_4"])) for s in range(4)}
+    assert {tuple(r) for r in found.collect()} == want
+    assert "Range" not in found._jdf.queryExecution().optimizedPlan().toString()
